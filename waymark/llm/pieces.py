@@ -12,27 +12,22 @@ from __future__ import annotations
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
-def pieces(text: str) -> list[str]:
-    """Concatenated they are the text."""
-    first, *rest = text.split(" ")
-    if not rest:
-        return [text]
-    out = [first]
-    for part in rest:
-        # A part that is empty or begins with white space, or follows one that ends with it, continues a run.
-        if not part or part[0].isspace() or not out[-1] or out[-1][-1].isspace():
+def _careful(text: str) -> list[str]:
+    out: list[str] = []
+    for part in text.split(" "):
+        # A part that is empty or begins with white space, or follows one that is empty or ends with it, continues a run.
+        if out and (not part or part[0].isspace() or not out[-1] or out[-1][-1].isspace()):
             out[-1] += " " + part
         else:
-            out.append(" " + part)
+            out.append(part)
     return out
 
 
 def cut(text: str) -> list[str]:
-    """pieces(text), without the careful loop where no run of white space touches a blank."""
+    """The pieces, all but the first without their leading blank: " ".join(cut(text)) is the text."""
     if "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _SPACES):
-        return pieces(text)
-    parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+        return _careful(text)
+    return text.split(" ")
 
 
 class PieceCache:
@@ -42,7 +37,7 @@ class PieceCache:
     is full the old one is forgotten.
     """
 
-    def __init__(self, make, limit: int = 250_000):
+    def __init__(self, make, limit: int = 300_000):
         self.make, self.limit, self.young, self.old = make, limit, {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[list]:
@@ -51,12 +46,22 @@ class PieceCache:
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        missing = set().union(*split).difference(young)
+        found = [list(map(young.get, parts)) for parts in split]
+        gaps = [[i for i, v in enumerate(values) if v is None] if None in values else () for values in found]
+        missing = {parts[i] for parts, at in zip(split, gaps) for i in at}
         seen = missing.intersection(old)
         young.update((p, old[p]) for p in seen)
         new = list(missing - seen)
-        young.update(zip(new, self.make(new)))
-        return [list(map(young.__getitem__, parts)) for parts in split]
+        young.update(zip(new, self.make([" " + p for p in new])))
+        for parts, values, at in zip(split, found, gaps):
+            for i in at:
+                values[i] = young[parts[i]]
+        firsts = list({parts[0] for parts in split if parts})  # without a blank
+        value = dict(zip(firsts, self.make(firsts)))
+        for parts, values in zip(split, found):
+            if parts:
+                values[0] = value[parts[0]]
+        return found
 
 
 def chunks_of(texts: list, size: int = 2_000_000):

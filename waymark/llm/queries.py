@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, language_id, mixing, quality_rules, simhash
+from waymark.llm import bpe, language_id, mixing, quality_rules, simhash, token_store, warc
 
 
 def queries() -> dict:
     return {
+        "op1_token_store": token_store.op1_token_store,
+        "op2_warc": warc.op2_warc,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_mixing": mixing.op6_mixing,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
