@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, language_id, mixing, quality_rules, simhash, token_store, warc
+from waymark.llm import bpe, context_tree, language_id, mixing, quality_rules, simhash, token_store, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_mixing": mixing.op6_mixing,
+        "op7_context_tree": context_tree.op7_context_tree,
         "op8_bpe": bpe.op8_bpe,
         "op10_language_id": language_id.op10_language_id,
     }
