@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, context_tree, language_id, mixing, quality_rules, simhash, token_store, warc
+from waymark.llm import bpe, context_tree, html_extraction, language_id, mixing, quality_rules, simhash, token_store, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_mixing": mixing.op6_mixing,
         "op7_context_tree": context_tree.op7_context_tree,
         "op8_bpe": bpe.op8_bpe,
+        "op9_html_extraction": html_extraction.op9_html_extraction,
         "op10_language_id": language_id.op10_language_id,
     }
 
