@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, context_tree, html_extraction, language_id, mixing, quality_rules, simhash, token_store, warc
+from waymark.llm import bpe, context_tree, html_extraction, image_copies, language_id, mixing, quality_rules, simhash, token_store, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_store": token_store.op1_token_store,
         "op2_warc": warc.op2_warc,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_image_copies": image_copies.op4_image_copies,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op7_context_tree": context_tree.op7_context_tree,
