@@ -173,7 +173,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
 
 def _loose(spark: SparkSession, path: str, kind: int) -> DataFrame:
-    return spark.read.schema(_PARTS.split(", ", 1)[1]).parquet(f"{path}/loose/kind={kind}")
+    return spark.read.schema(_PARTS).parquet(f"{path}/loose").where(F.col("kind") == kind)  # reads one partition
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
