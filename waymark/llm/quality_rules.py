@@ -91,29 +91,39 @@ def host_rates(failures: DataFrame, host: str = "host") -> DataFrame:
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed", "host_rate", "kept")
 
 
+def ruled(docs: DataFrame) -> DataFrame:
+    """docs with measures, base_failed and rule_failed."""
+    docs = measures(docs.drop(*[c for c in OWN if c in docs.columns]))
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    broken = 100 * F.col("n_symbols") > MAX_SYMBOLS_PERCENT * F.col("n_words")
+    return docs.withColumn("base_failed", base).withColumn("rule_failed", F.col("base_failed") | broken)
+
+
+def with_verdicts(rows: DataFrame, failures: DataFrame, host: str = "source") -> DataFrame:
+    """rows (of ruled) with host_rate and kept; failures: host, failed of all rows."""
+    rates = written(host_rates(failures).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate")), "host-rates")
+    out = rows.join(rates, rows[host].eqNullSafe(rates["__host"]), "left").drop("__host")
+    return out.withColumn("kept", ~F.col("rule_failed") & (F.col("host_rate") <= MAX_HOST_RATE))
+
+
 def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     """Each row's columns but its text, with measures, base_failed, rule_failed, host_rate and kept.
 
     The measures are written once without texts, so that texts are read once and never shuffled.
     """
-    docs = measures(docs.drop(*[c for c in OWN if c in docs.columns]))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    broken = 100 * F.col("n_symbols") > MAX_SYMBOLS_PERCENT * F.col("n_words")
-    slim = docs.withColumn("base_failed", base).withColumn("rule_failed", F.col("base_failed") | broken).drop("text")
-    slim = written(slim, "measures")
-    rates = written(host_rates(slim.select(F.col(host).alias("host"), F.col("rule_failed").alias("failed"))).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate")), "host-rates")
-    out = slim.join(rates, slim[host].eqNullSafe(rates["__host"]), "left").drop("__host")
-    return out.withColumn("kept", ~F.col("rule_failed") & (F.col("host_rate") <= MAX_HOST_RATE))
+    slim = written(ruled(docs).drop("text"), "measures")
+    return with_verdicts(slim, slim.select(F.col(host).alias("host"), F.col("rule_failed").alias("failed")), host)
 
 
 def kept_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that are kept, unchanged: those judged away go by an anti-join on id, host and a hash of the text."""
-    keys = {"__id": F.col("doc_id"), "__text": F.xxhash64("text"), "__host": F.col(host)}
-    gone = judged(docs.select("doc_id", "text", F.col(host).alias("source")).withColumns({"__text": keys["__text"]})).where(~F.col("kept"))
-    gone = written(gone.select(F.col("doc_id").alias("__gid"), F.col("__text").alias("__gtext"), F.col("source").alias("__ghost")).distinct(), "rejected")
-    rows = docs.withColumns(keys)
-    on = rows["__id"].eqNullSafe(gone["__gid"]) & (rows["__text"] == gone["__gtext"]) & rows["__host"].eqNullSafe(gone["__ghost"])
-    return rows.join(gone, on, "left_anti").select(docs.columns)
+    """The rows of docs that are kept, unchanged.
+
+    Texts are measured twice, for the hosts' rates and for the rows' own verdicts, rather than joined
+    with a table of verdicts: what the rows meet has a row for each host, so no text is shuffled.
+    """
+    failures = ruled(docs.select("text", F.col(host).alias("host"))).select("host", F.col("rule_failed").alias("failed"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col(host).alias("__source"), "text")
+    return with_verdicts(ruled(rows), failures, "__source").where("kept").select("__row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
