@@ -99,13 +99,21 @@ def flow(capacity: dict[tuple, int], quota: dict, max_passes: int = MAX_PASSES)
     return {p: {s: graph[a[0]][a[3]][1] for a in graph[i] for s in p if a[0] == at[s] and graph[a[0]][a[3]][1]} for i, p in enumerate(patterns)}
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", sources: str = "sources", size: str = "size", max_passes: int = MAX_PASSES, seed: str = SEED) -> tuple[DataFrame, dict]:
-    """docs with passes (how often the mix takes each document) and the plan that led to it.
+def _keyed(docs: DataFrame, id_col: str, sources: str, seed: str) -> DataFrame:
+    """docs with __pattern, __order (seeded) and __range (of the order)."""
+    names = F.sort_array(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    out = docs.withColumn("__pattern", F.to_json(F.struct(names.alias("s")), {"ignoreNullFields": "false"})).withColumn("__order", order)
+    return out.withColumn("__range", F.substring("__order", 1, _RANGES))
+
 
-    sources: array of the names a document belongs to (nulls are a name); its patterns and sources are
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", sources: str = "sources", size: str = "size", max_passes: int = MAX_PASSES, seed: str = SEED) -> tuple[DataFrame, dict]:
+    """A row for each membership pattern: full passes, and the key (range, order, id, size) up to which documents are taken once more; and the plan in numbers.
+
+    sources: array of the names a document belongs to (nulls are a name). Patterns and sources are
     aggregated on Spark and only these aggregates, one row for each pattern, come to the driver.
     """
-    docs = docs.withColumn("__pattern", F.to_json(F.struct(F.sort_array(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("s")), {"ignoreNullFields": "false"}))
+    docs = _keyed(docs, id_col, sources, seed)
     sums = docs.groupBy("__pattern").agg(F.sum(size).cast("long").alias("tokens"), F.first(sources).alias("names")).collect()  # one row for each membership pattern
     key = lambda s: (s is None, s if s is not None else "")
     pattern = {r["__pattern"]: tuple(sorted(set(r["names"] or ()), key=key)) for r in sums}
@@ -119,22 +127,33 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", sources: str = "sources", siz
 
     # Of each pattern: how many full passes, and the tokens of the last, partial one.
     rows = [(k, *(divmod(sum(routed[p].values()), capacity[p]) if capacity[p] else (0, 0))) for k, p in pattern.items()]
-    plan = small(docs.sparkSession, rows, "__pattern string, __full long, __rest long")
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    docs = docs.join(plan, "__pattern").withColumn("__order", order).withColumn("__range", F.substring("__order", 1, _RANGES))
-    ranges = docs.groupBy("__pattern", "__range", "__rest").agg(F.sum(size).alias("s"))
+    full = small(docs.sparkSession, rows, "__pattern string, __full long, __rest long")
+    ranges = docs.groupBy("__pattern", "__range").agg(F.sum(size).alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("__pattern").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("__before", before)  # 16 ** _RANGES rows for each pattern at most
-    split = written(ranges.where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("s") > F.col("__rest"))).select("__pattern", "__range", "__before"), "mix-ranges")
-    docs = docs.join(split.select("__pattern", F.col("__range").alias("__split"), "__before"), "__pattern", "left")
-    inside = docs.where(F.col("__range") == F.col("__split"))
+    ranges = ranges.withColumn("__before", before).join(full, "__pattern")  # 16 ** _RANGES rows for each pattern at most
+    split = written(ranges.where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("s") > F.col("__rest"))).select("__pattern", "__range", "__before", "__rest"), "mix-ranges")
+    inside = docs.join(split, ["__pattern", "__range"])  # one range of each pattern
     running = F.sum(size).over(Window.partitionBy("__pattern").orderBy("__order", id_col, size).rowsBetween(Window.unboundedPreceding, -1))
-    inside = inside.withColumn("__extra", (2 * (F.col("__before") + F.coalesce(running, F.lit(0))) + F.col(size) <= 2 * F.col("__rest")).cast("long"))
-    outside = docs.where(~F.col("__range").eqNullSafe(F.col("__split")))
-    outside = outside.withColumn("__extra", F.coalesce(F.col("__range") < F.col("__split"), F.lit(False)).cast("long"))
-    out = inside.unionByName(outside).withColumn("passes", F.least(F.col("__full") + F.col("__extra"), F.lit(max_passes)))
-    out = out.drop(*[c for c in out.columns if c.startswith("__")])
-    return out, {"names": names, "sizes": dict(zip(names, source_size)), "targets": dict(zip(names, target)), "flow": routed}
+    # Documents are taken up to the one in which the remainder ends, and that one if over half of it fits.
+    inside = inside.where(F.col(size) > 0).withColumn("__b", F.col("__before") + F.coalesce(running, F.lit(0))).where(2 * F.col("__b") + F.col(size) <= 2 * F.col("__rest"))
+    last = inside.groupBy("__pattern").agg(F.max(F.struct("__order", F.col(id_col).alias("id"), F.col(size).alias("size"))).alias("__last"))
+    plan = full.join(split.select("__pattern", F.col("__range").alias("__split")), "__pattern", "left").join(last, "__pattern", "left").drop("__rest")
+    return written(plan, "mix-plan"), {"names": names, "sizes": dict(zip(names, source_size)), "targets": dict(zip(names, target)), "flow": routed}
+
+
+def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", sources: str = "sources", size: str = "size", max_passes: int = MAX_PASSES, seed: str = SEED) -> DataFrame:
+    """docs with passes: how often the mix takes each document. Only the plan, a row for each pattern, is joined."""
+    docs = _keyed(docs, id_col, sources, seed).join(plan, "__pattern")
+    within = F.struct("__order", F.col(id_col).alias("id"), F.col(size).alias("size")) <= F.col("__last")
+    more = (F.col("__range") < F.col("__split")) | ((F.col("__range") == F.col("__split")) & F.coalesce(within, F.lit(False)))
+    out = docs.withColumn("passes", F.least(F.col("__full") + F.coalesce(more, F.lit(False)).cast("long"), F.lit(max_passes)))
+    return out.drop("__pattern", "__order", "__range", "__full", "__split", "__last")
+
+
+def mixed(docs: DataFrame, **options) -> tuple[DataFrame, dict]:
+    """docs (doc_id, sources, size) with passes, and the plan in numbers."""
+    plan, numbers = plan_mix(docs, **options)
+    return apply_mix(docs, plan, **options), numbers
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -150,15 +169,11 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row as often as it is taken."""
-    keys = {"__id": F.col("doc_id"), "__source": F.col("source"), "__size": word_count(F.col("text"))}
-    slim = written(docs.select(F.col("doc_id"), F.col("source"), keys["__size"].alias("size"), F.array("source").alias("sources")), "sizes")
-    passes = mixed(slim)[0].where("passes > 0").groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"))
-    passes = written(passes.select(F.col("doc_id").alias("__pid"), F.col("source").alias("__psource"), F.col("size").alias("__psize"), "passes"), "passes")
-    rows = docs.withColumns(keys)
-    on = rows["__id"].eqNullSafe(passes["__pid"]) & rows["__source"].eqNullSafe(passes["__psource"]) & (rows["__size"] == passes["__psize"])
-    taken = rows.join(passes, on)
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "passes"))).select(docs.columns)
+    """docs as the mix takes them: each row as often as it is taken. Texts are counted twice and never shuffled."""
+    plan, _ = plan_mix(written(_sized(docs.select("doc_id", "text", "source")).drop("text"), "sizes"))
+    rows = docs.select(F.struct("*").alias("__row"), "doc_id", "text", "source")
+    taken = apply_mix(_sized(rows), plan).where("passes > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "passes"))).select("__row.*")
 
 
 #: DuckDB SQL with the same rows.
