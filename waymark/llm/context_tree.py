@@ -22,16 +22,19 @@ count as the empty text in the crc32 fold.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import id_crc, table, written
 
 DEPTH = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 #: Keys for each partition in which trees are weighted.
 TREE_ROWS = 200_000
 END = b"\n"
@@ -96,6 +99,12 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
+def _slices(texts: pa.ChunkedArray, rows: int = 500):
+    """The texts in lists of so many rows, so that a block is never held as Python objects."""
+    for i in range(0, len(texts), rows):
+        yield texts.slice(i, rows).to_pylist()
+
+
 _FACTS = "blk int, key long, word binary, n long"
 _FACTS_SCHEMA = pa.schema([("blk", pa.int32()), ("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
@@ -103,18 +112,23 @@ _FACTS_SCHEMA = pa.schema([("blk", pa.int32()), ("key", pa.int64()), ("word", pa
 def _facts(group: pa.Table, depth: int) -> pa.Table:
     """A block's distinct keys and words with their counts in its training texts; the end is the empty word."""
     blk = group.column("blk")[0].as_py()
-    words: dict[bytes, int] = {}
+    words: Counter[bytes] = Counter()
     parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     for train in (True, False):
-        texts = [tokens(t) for t, own in zip(group.column("text").to_pylist(), group.column("train").to_pylist()) if own == train]
-        for w in texts:
-            for x in (*w, b""):
-                words[x] = words.get(x, 0) + train
-        for keys, _ in _streams(texts, depth):
-            found, counts = np.unique(keys, return_counts=True)
-            parts.append((found, counts * train))
-            if sum(len(p[0]) for p in parts) > 2_000_000:
-                parts = [_merged(parts)]
+        own = group.filter(pc.equal(group.column("train"), train)).column("text")
+        for part in _slices(own):
+            texts = [tokens(t) for t in part]
+            seen = Counter(chain.from_iterable(texts))
+            seen[b""] = len(texts)
+            words.update(seen if train else dict.fromkeys(seen, 0))
+            for keys, _ in _streams(texts, depth):
+                found, counts = np.unique(keys, return_counts=True)
+                parts.append((found, counts * train))
+                held += len(found)
+                if held > 2_000_000:
+                    parts = [_merged(parts)]
+                    held = len(parts[0][0])
     keys, counts = _merged(parts)
     n, m = len(keys), len(words)
     return pa.Table.from_arrays(
@@ -247,19 +261,23 @@ def _score(docs: pa.Table, facts: pa.Table, depth: int, total: int, distinct: in
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     own = facts.filter(facts.column("word").is_valid())
-    count = dict(zip(own.column("word").to_pylist(), own.column("v").to_pylist()))
     below = math.log10(total + 0.1 * (distinct + 1))
-    logs = {w: math.log10(c + 0.1) - below for w, c in count.items()}
-    texts = [tokens(t) for t in docs.column("text").to_pylist()]
-    n_bytes, scores = [], []
-    for own_keys, lengths in _streams(texts, depth):
-        each = values[np.searchsorted(keys, own_keys)]
-        starts = np.cumsum([0, *lengths[:-1].tolist()])
-        scores += np.add.reduceat(each, starts).tolist()
-        n_bytes += lengths.tolist()
-    known = [sum(1 for w in (*t, b"") if count[w] > 0) for t in texts]
-    base = [math.fsum(map(logs.__getitem__, (*t, b""))) for t in texts]
-    columns = [docs.column("doc_id").combine_chunks(), [len(t) + 1 for t in texts], known, n_bytes, base, scores]
+    counts = own.column("v").to_numpy()
+    logs = dict(zip(own.column("word").to_pylist(), (np.log10(counts + 0.1) - below).tolist()))
+    unknown = -1.0 - below + 1e-9  # a word without a count
+    n_tokens, known, n_bytes, base, scores = [], [], [], [], []
+    for part in _slices(docs.column("text")):
+        texts = [tokens(t) for t in part]
+        for t in texts:
+            own_logs = np.array([*map(logs.__getitem__, t), logs[b""]])
+            n_tokens.append(len(own_logs))
+            known.append(int(np.count_nonzero(own_logs > unknown)))
+            base.append(float(own_logs.sum()))
+        for own_keys, lengths in _streams(texts, depth):
+            each = values[np.searchsorted(keys, own_keys)]
+            scores += np.add.reduceat(each, np.cumsum([0, *lengths[:-1].tolist()])).tolist()
+            n_bytes += lengths.tolist()
+    columns = [docs.column("doc_id").combine_chunks(), n_tokens, known, n_bytes, base, scores]
     return pa.Table.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, _SCORES)], schema=_SCORES)
 
 
