@@ -37,7 +37,7 @@ class PieceCache:
     is full the old one is forgotten.
     """
 
-    def __init__(self, make, limit: int = 300_000):
+    def __init__(self, make, limit: int = 100_000):
         self.make, self.limit, self.young, self.old = make, limit, {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[list]:
@@ -64,7 +64,7 @@ class PieceCache:
         return found
 
 
-def chunks_of(texts: list, size: int = 2_000_000):
+def chunks_of(texts: list, size: int = 1_000_000):
     """Slices of the list with about size characters, one text at least."""
     start, total = 0, 0
     for i, t in enumerate(texts):
