@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import id_crc, table, written
 
 DEPTH = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Keys for each partition in which trees are weighted.
 TREE_ROWS = 200_000
 END = b"\n"
@@ -95,14 +95,20 @@ def _streams(texts: list[list[bytes]], depth: int, size: int = 1 << 20):
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else order
+    return keys[starts], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], starts) if len(keys) else np.empty(0, np.int64)
 
 
-def _slices(texts: pa.ChunkedArray, rows: int = 500):
-    """The texts in lists of so many rows, so that a block is never held as Python objects."""
-    for i in range(0, len(texts), rows):
-        yield texts.slice(i, rows).to_pylist()
+def _slices(texts: pa.ChunkedArray, size: int = 2 << 20):
+    """The texts in lists of about size bytes, so that a block is never held as Python objects."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
+    while start < len(texts):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size)) + 1
+        yield texts.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 _FACTS = "blk int, key long, word binary, n long"
@@ -116,7 +122,7 @@ def _facts(group: pa.Table, depth: int) -> pa.Table:
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
     for train in (True, False):
-        own = group.filter(pc.equal(group.column("train"), train)).column("text")
+        own = group.column("text").filter(pc.equal(group.column("train"), train))
         for part in _slices(own):
             texts = [tokens(t) for t in part]
             seen = Counter(chain.from_iterable(texts))
@@ -126,7 +132,7 @@ def _facts(group: pa.Table, depth: int) -> pa.Table:
                 found, counts = np.unique(keys, return_counts=True)
                 parts.append((found, counts * train))
                 held += len(found)
-                if held > 2_000_000:
+                if held > 1_250_000:
                     parts = [_merged(parts)]
                     held = len(parts[0][0])
     keys, counts = _merged(parts)
@@ -262,14 +268,16 @@ def _score(docs: pa.Table, facts: pa.Table, depth: int, total: int, distinct: in
     keys, values = keys[order], values[order]
     own = facts.filter(facts.column("word").is_valid())
     below = math.log10(total + 0.1 * (distinct + 1))
-    counts = own.column("v").to_numpy()
-    logs = dict(zip(own.column("word").to_pylist(), (np.log10(counts + 0.1) - below).tolist()))
+    vocabulary, logs = own.column("word").combine_chunks(), np.log10(own.column("v").to_numpy() + 0.1) - below
     unknown = -1.0 - below + 1e-9  # a word without a count
     n_tokens, known, n_bytes, base, scores = [], [], [], [], []
-    for part in _slices(docs.column("text")):
+    for part in _slices(docs.column("text"), 4 << 20):
         texts = [tokens(t) for t in part]
+        each = logs[pc.index_in(pa.array(chain.from_iterable([*t, b""] for t in texts), pa.binary()), value_set=vocabulary).to_numpy()]
+        start = 0
         for t in texts:
-            own_logs = np.array([*map(logs.__getitem__, t), logs[b""]])
+            own_logs = each[start : start + len(t) + 1]
+            start += len(own_logs)
             n_tokens.append(len(own_logs))
             known.append(int(np.count_nonzero(own_logs > unknown)))
             base.append(float(own_logs.sum()))
