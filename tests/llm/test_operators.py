@@ -174,6 +174,19 @@ def brute_ctw(train, text, depth):
     return total
 
 
+def test_context_tree_slices_and_merges():
+    import pyarrow as pa
+
+    texts = [None, "", "a" * 50, *["bc"] * 30, None, "d" * 9, ""]
+    for rows in (texts, [], [None], [""]):
+        for size in (1, 10, 1000):
+            parts = list(context_tree._slices(pa.chunked_array([pa.array(rows, pa.string())]), size))
+            assert [t for p in parts for t in p] == rows and all(parts)
+    keys, counts = context_tree._merged([(np.array([3, 5], np.uint64), np.array([1, 2])), (np.array([1, 5], np.uint64), np.array([0, 4]))])
+    assert (keys.tolist(), counts.tolist()) == ([1, 3, 5], [0, 1, 6])
+    assert not len(context_tree._merged([(np.empty(0, np.uint64), np.empty(0, np.int64))])[0])
+
+
 def test_context_tree_matches_brute_force(spark):
     texts = ["the cat sat", "the cat ran", "a dog ran the", None, "zebra", "The Cat"]
     df = docs(spark, texts).select("doc_id", "text", (F.col("doc_id") < 3).alias("train"))
