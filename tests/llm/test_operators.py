@@ -222,6 +222,20 @@ def test_html_main_text(spark):
     assert (got[100].text, got[101].text, got[102].text) == ("", "plain text", "deep")
 
 
+def html_texts(spark, rows):
+    return {r.page_id: r.text for r in html_extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_host_with_two_layouts(spark):
+    def page(i):
+        text = f"<h1>Head {i}</h1><p>text {i} " + "w " * 30 + "</p>"
+        body = f"<article>{text}</article>" if i % 3 else f"<main class='other'>{text}<div class='legal'>All rights</div></main>"
+        return f"<html><body><nav><ul><li><a href=x>m</a></li></ul></nav><div class='ad'>ad {i}</div>{body}<footer><p>foot</p></footer></body></html>"
+
+    got = html_texts(spark, [(i, "http://h/x", page(i)) for i in range(1, 31)] + [(100, "http://h/x", "<html><body><nav><ul><li>m</li></ul></nav><div class='ad'>a</div><section><p>only one</p></section><footer><p>foot</p></footer></body></html>")])
+    assert got == {**{i: f"Head {i} text {i} " + " ".join(["w"] * 30) for i in range(1, 31)}, 100: "only one"}
+
+
 def test_language_id_on_held_out_rows(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = table.where("doc_id % 4 <> 2")

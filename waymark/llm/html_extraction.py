@@ -6,10 +6,14 @@ host's pages meet in the reference's nodes. What the pages have at a node is cou
 of the host: nodes whose text stays the same are template, nodes whose text varies are slots. The
 content is the least container that holds most of the varying text; its template nodes and parts
 with a boilerplate role (menus, forms, adverts, comments, ...) are left out, everything else in it is
-kept. Pages that the wrapper doesn't fit are their own reference.
-
-Three passes over the pages, none of which shuffles them: a reference page for each host (least id
-with text), counts for each node, extraction. References and wrappers are written and small; Spark
+kept. A wrapper fits a page if half the page's tree matches, the content's container has a partner on
+it and most of its text isn't in places that the reference lacks. The pages of a host that its wrapper
+doesn't fit (another layout) get a wrapper of their own in the same way, up to LAYOUTS wrappers a host;
+pages that none of them fits are their own reference.
+
+Four passes over the pages, none of which shuffles them: a reference page for each host (least id
+with text), counts for each node, a search for pages of other layouts (these are written and go through
+the same passes again), extraction. References and wrappers are written and small; Spark
 broadcasts them if their files are below its threshold and joins by host otherwise.
 
 Defined cases: null html has empty text; a null or odd url belongs to the host ''; hosts with fewer
@@ -19,6 +23,7 @@ as browsers do it (an open p ends at the next block, missing end tags at the end
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 import zlib
@@ -35,6 +40,8 @@ MIN_PAGES, MIN_SHARE = 5, 0.8
 DOMINANT = 0.6
 #: A page whose match is below this share of its own tree is its own reference.
 MIN_FIT = 0.5
+#: Wrappers of a host, each for the pages that those before don't fit.
+LAYOUTS = 4
 MAX_DEPTH = 100
 
 # Element names of HTML.
@@ -260,16 +267,38 @@ def wrapper(reference: Node, seen: dict[int, tuple[int, int, int, int]], pages:
         at = best
 
 
-def content(root: Node, blocks, ids: dict[int, int], slot: int, template: frozenset[int]) -> str:
-    """The blocks inside the slot that are neither template nor boilerplate, joined by one blank. ids: see aligned()."""
-    inside: dict[int, bool] = {}
+def places(root: Node, ids: dict[int, int], slot: int) -> dict[int, bool | None]:
+    """For each node id: True inside the slot, False outside it, None in a part with a boilerplate role. ids: see aligned()."""
+    out: dict[int, bool | None] = {}
     for node, parent in _walk(root):
-        of = ids[node.id]
-        if of == slot:
-            inside[node.id] = True
+        if ids[node.id] == slot:
+            out[node.id] = True
         else:
-            inside[node.id] = bool(parent and inside[parent.id] and not node.role)
-    return " ".join(text for node, text, _ in blocks if inside[node.id] and ids[node.id] not in template)
+            out[node.id] = None if node.role else out[parent.id] if parent else False
+    return out
+
+
+def content(blocks, ids: dict[int, int], at: dict[int, bool | None], template: frozenset[int]) -> str:
+    """The blocks inside the slot that are neither template nor boilerplate, joined by one blank. at: see places()."""
+    return " ".join(text for node, text, _ in blocks if at[node.id] and ids[node.id] not in template)
+
+
+def fitted(root: Node, blocks, reference: Node, slot: int, template: frozenset[int]) -> str | None:
+    """The text of a page by a wrapper, None if it doesn't fit. Both trees must be numbered."""
+    ids = aligned(root, reference)
+    if ids is None or slot not in ids.values():
+        return None
+    at = places(root, ids, slot)
+    text = content(blocks, ids, at, template)
+    strange = sum(len(t) for node, t, links in blocks if at[node.id] is False and ids[node.id] < 0 and 2 * links <= len(t))
+    return text if strange <= len(text) else None
+
+
+@functools.lru_cache(1000)
+def _reference(text: str) -> Node:
+    root = from_skeleton(text)
+    numbered(root)
+    return root
 
 
 def _own(root: Node, blocks) -> str:
@@ -279,18 +308,18 @@ def _own(root: Node, blocks) -> str:
         x = seen.setdefault(node.id, [1, 1, 0, 0])
         x[2], x[3] = x[2] + len(text), x[3] + links
     slot, _ = wrapper(root, {k: tuple(x) for k, x in seen.items()}, 1)
-    return content(root, blocks, {n.id: n.id for n in nodes}, slot, frozenset())
+    ids = {n.id: n.id for n in nodes}
+    return content(blocks, ids, places(root, ids, slot), frozenset())
 
 
-def extract(page: str | None, reference: str | None, slot: int | None, template) -> str:
+def extract(page: str | None, layouts: list[dict] | None) -> str:
+    """layouts: reference, slot and template of each wrapper of the host; the first that fits counts."""
     root, blocks = parse(page)
     numbered(root)
-    if reference is not None and slot is not None:
-        other = from_skeleton(reference)
-        numbered(other)
-        ids = aligned(root, other)
-        if ids is not None:
-            return content(root, blocks, ids, slot, frozenset(template or ()))
+    for x in layouts or ():
+        text = fitted(root, blocks, _reference(x["reference"]), x["slot"], frozenset(x["template"] or ()))
+        if text is not None:
+            return text
     return _own(root, blocks)
 
 
@@ -359,15 +388,47 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return written(by_host.join(trees, "host").mapInArrow(induce, "host string, reference string, slot int, template array<int>"), "wrappers")
 
 
+def unfitted(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of pages (with __host) that the wrapper of their host doesn't fit."""
+    names = pages.columns
+    joined = pages.where(F.length("html") > 0).join(found, pages["__host"] == found["host"]).select(*names, "reference", "slot", "template")
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for page, *x in zip(*(b.column(c).to_pylist() for c in ("html", "reference", "slot", "template"))):
+                root, blocks = parse(page)
+                numbered(root)
+                keep.append(fitted(root, blocks, _reference(x[0]), x[1], frozenset(x[2])) is None)
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return written(joined.mapInArrow(run, pages.schema), "unfitted")
+
+
+def layouts(pages: DataFrame) -> DataFrame:
+    """host, layouts (reference, slot, template of each wrapper, in the order of their making); pages has __host."""
+    rest, parts = pages, []
+    while True:
+        found = wrappers(rest)
+        parts.append(found.select("host", F.struct(F.lit(len(parts)).alias("k"), "reference", "slot", "template").alias("x")))
+        if len(parts) == LAYOUTS:
+            break
+        rest = unfitted(rest, found)
+        if rest.isEmpty():
+            break
+    every = functools.reduce(DataFrame.union, parts)
+    return written(every.groupBy("host").agg(F.sort_array(F.collect_list("x")).alias("layouts")), "layouts")  # LAYOUTS at most
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
     pages = with_host(pages.select(F.col("page_id").cast("long"), "url", "html"))
-    found = wrappers(pages)
-    joined = pages.join(found, pages["__host"] == found["host"], "left").select("page_id", "url", "html", "reference", "slot", "template")
+    found = layouts(pages)
+    joined = pages.join(found, pages["__host"] == found["host"], "left").select("page_id", "url", "html", "layouts")
 
     def run(batches):
         for b in batches:
-            texts = [extract(*row) for row in zip(*(b.column(c).to_pylist() for c in ("html", "reference", "slot", "template")))]
+            texts = [extract(*row) for row in zip(*(b.column(c).to_pylist() for c in ("html", "layouts")))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
