@@ -236,6 +236,24 @@ def test_html_host_with_two_layouts(spark):
     assert got == {**{i: f"Head {i} text {i} " + " ".join(["w"] * 30) for i in range(1, 31)}, 100: "only one"}
 
 
+def test_html_keeps_all_parts_of_a_text(spark):
+    def page(i, open_, close, parts):
+        text = "".join(f"<div class={c}>{c} {i} " + f"w{i} " * n + "</div>" for c, n in parts)
+        return f"<body><div class=top><a href=x>link {i}</a></div>{open_}<h1>Head {i}</h1><p>lead {i}</p>{text}{close}<div class=legal>All rights</div></body>"
+
+    nested, several = (("inner", 60),), (("intro", 20), ("inner", 60), ("more", 5))
+    rows = [(i, "http://nested/", page(i, "<article>", "</article>", nested)) for i in range(10)]
+    rows += [(100 + i, "http://several/", page(i, "<div class=post>", "</div>", several)) for i in range(10)]
+    rows += [(200 + i, "http://flat/", page(i, "", "", several)) for i in range(10)]
+    rows += [(300, "http://single/", page(0, "<main>", "</main>", several)), (400, "http://articles/", "<article class=a><p>one two three four</article><article class=b>five</article><div>other</div>")]
+    got = html_texts(spark, rows)
+    for i, _, _ in rows[:-1]:
+        parts = nested if i < 100 else several
+        k = i % 100
+        assert got[i] == " ".join([f"Head {k} lead {k}", *[" ".join([c, str(k), *[f"w{k}"] * n]) for c, n in parts]])
+    assert got[400] == "one two three four five"
+
+
 def test_language_id_on_held_out_rows(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = table.where("doc_id % 4 <> 2")

@@ -4,9 +4,11 @@ Pages become trees of block elements (runs of like siblings are one list node).
 reference tree; every page's tree is aligned with it by simple tree matching, so equal places of the
 host's pages meet in the reference's nodes. What the pages have at a node is counted over all pages
 of the host: nodes whose text stays the same are template, nodes whose text varies are slots. The
-content is the least container that holds most of the varying text; its template nodes and parts
-with a boilerplate role (menus, forms, adverts, comments, ...) are left out, everything else in it is
-kept. A wrapper fits a page if half the page's tree matches, the content's container has a partner on
+slot is the main or article element, or else the least container, that holds most of the varying text.
+Template nodes and parts with a boilerplate role (menus, forms, adverts, comments, ...) are left out,
+everything else in the slot is kept. Outside a main element nothing is kept, outside an article the
+other articles, and around any other container all text but that in places made of links, since parts
+of the text can stand beside the largest one. A wrapper fits a page if half the page's tree matches, the content's container has a partner on
 it and most of its text isn't in places that the reference lacks. The pages of a host that its wrapper
 doesn't fit (another layout) get a wrapper of their own in the same way, up to LAYOUTS wrappers a host;
 pages that none of them fits are their own reference.
@@ -36,7 +38,7 @@ from waymark.llm.common import table, written
 
 #: Pages of a host from which a text that never changes is called template, and the share of pages that must have it.
 MIN_PAGES, MIN_SHARE = 5, 0.8
-#: A container is entered if it has this share of the varying text around it.
+#: The slot is found by entering containers: one is entered if it has this share of the varying text around it.
 DOMINANT = 0.6
 #: A page whose match is below this share of its own tree is its own reference.
 MIN_FIT = 0.5
@@ -51,6 +53,7 @@ DROPPED = frozenset("script style noscript template title textarea svg math ifra
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = BLOCKS - {"li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 ENDED_BY_LIKE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+WHOLE = frozenset("main article".split())  # entered no further
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
 ROLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|cookies?|notices?|consent|gdpr|sidebar|menu|nav\w*|breadcrumbs?|comments?|replies|respond|disqus|related|share|sharing|social|promo\w*|sponsor\w*|popup|modal|newsletter|subscribe|footer|masthead|toolbar|widget|pagination)(?:$|[\s_-])", re.I)
 
@@ -265,22 +268,38 @@ def wrapper(reference: Node, seen: dict[int, tuple[int, int, int, int]], pages:
         if best is None or not total[best.id] or total[best.id] < DOMINANT * total[at.id]:
             return at.id, frozenset(template)
         at = best
+        if at.label.split(".")[0] in WHOLE:
+            return at.id, frozenset(template)
 
 
-def places(root: Node, ids: dict[int, int], slot: int) -> dict[int, bool | None]:
-    """For each node id: True inside the slot, False outside it, None in a part with a boilerplate role. ids: see aligned()."""
-    out: dict[int, bool | None] = {}
+def places(root: Node, ids: dict[int, int], slot: int) -> dict[int, int]:
+    """For each node id: 2 inside the slot, 1 in other places of the content, 0 outside it, -1 in a part with a boilerplate role. ids: see aligned()."""
+    whole = next((n.label.split(".")[0] for n, _ in _walk(root) if ids[n.id] == slot), "")
+    out: dict[int, int] = {}
     for node, parent in _walk(root):
         if ids[node.id] == slot:
-            out[node.id] = True
+            out[node.id] = 2
+        elif node.role or parent and out[parent.id] < 0:
+            out[node.id] = -1
+        elif whole == "article" and node.label.split(".")[0] == whole:
+            out[node.id] = max(out[parent.id], 1)
         else:
-            out[node.id] = None if node.role else out[parent.id] if parent else False
+            out[node.id] = out[parent.id] if parent else int(whole not in WHOLE)
     return out
 
 
-def content(blocks, ids: dict[int, int], at: dict[int, bool | None], template: frozenset[int]) -> str:
-    """The blocks inside the slot that are neither template nor boilerplate, joined by one blank. at: see places()."""
-    return " ".join(text for node, text, _ in blocks if at[node.id] and ids[node.id] not in template)
+def _linked(blocks) -> set[int]:
+    """Ids of the page's nodes whose text is mostly links."""
+    chars: dict[int, int] = {}
+    for node, text, links in blocks:
+        chars[node.id] = chars.get(node.id, 0) + len(text) - 2 * links
+    return {k for k, n in chars.items() if n < 0}
+
+
+def content(blocks, ids: dict[int, int], at: dict[int, int], template: frozenset[int]) -> str:
+    """The blocks of the content that are neither template nor boilerplate, joined by one blank. at: see places()."""
+    linked = _linked(blocks)
+    return " ".join(text for node, text, _ in blocks if (at[node.id] == 2 or at[node.id] == 1 and node.id not in linked) and ids[node.id] not in template)
 
 
 def fitted(root: Node, blocks, reference: Node, slot: int, template: frozenset[int]) -> str | None:
@@ -290,8 +309,10 @@ def fitted(root: Node, blocks, reference: Node, slot: int, template: frozenset[i
         return None
     at = places(root, ids, slot)
     text = content(blocks, ids, at, template)
-    strange = sum(len(t) for node, t, links in blocks if at[node.id] is False and ids[node.id] < 0 and 2 * links <= len(t))
-    return text if strange <= len(text) else None
+    linked = _linked(blocks)
+    strange = sum(len(t) for node, t, _ in blocks if at[node.id] in (0, 1) and ids[node.id] < 0 and node.id not in linked)
+    held = sum(len(t) for node, t, _ in blocks if at[node.id] > 0 and (at[node.id] == 2 or ids[node.id] >= 0))
+    return text if strange <= held else None
 
 
 @functools.lru_cache(1000)
