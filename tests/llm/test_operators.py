@@ -254,6 +254,24 @@ def test_html_keeps_all_parts_of_a_text(spark):
     assert got[400] == "one two three four five"
 
 
+def test_html_layout_names_are_no_roles(spark):
+    opens = ["<body class='has-sidebar'><div>", "<body class='no-comments sidebar'><div>", "<body><article class='post related-enabled'>", "<body><div id='content-widget'>", "<body><article class=related>", "<body><div class='x content-widget'>", "<body><form>", "<body><div class='page widget'><h1>big</h1>", "<body><div class='a no-sidebar'>", "<body><article><div class=widget-body>"]
+    rest = "</div></article></form><div class='box ads'>buy {0}</div><div class='site-footer'>foot {0}</div><aside>side {0}</aside></body>"
+    rows = [(100 * k + i, f"http://h{k}/", f"{o}<p>text {i} " + "w " * 20 + "</p>" + rest.format(i)) for k, o in enumerate(opens) for i in range(8)]
+    rows += [(5000 + k, f"http://single{k}/", f"{o}<p>text 1 " + "w " * 20 + "</p>" + rest.format(1)) for k, o in enumerate(opens)]
+    rows += [(6000 + i, "http://ads/", f"<article><p>{'short' if i else ''}{i or ''}</p></article><div class=ad>{'much longer ' * 5}{i}</div>") for i in range(8)]
+    rows += [(7000, "http://box/", "<div class='box sidebar'>side</div><div class='box'>text</div>")]
+    got = html_texts(spark, rows)
+    for i, _, _ in rows:
+        k, n = (i % 1000, 1) if 5000 <= i < 6000 else (i // 100, i % 100)
+        if i < 6000:
+            single = i >= 5000
+            assert got[i] == ("big " if k == 7 and single else "") + f"text {n} " + " ".join(["w"] * 20), (i, got[i])
+        elif i < 7000:
+            assert got[i] == (f"short{i - 6000}" if i > 6000 else "")
+    assert got[7000] == "text"
+
+
 def test_language_id_on_held_out_rows(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = table.where("doc_id % 4 <> 2")

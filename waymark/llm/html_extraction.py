@@ -8,7 +8,9 @@ slot is the main or article element, or else the least container, that holds mos
 Template nodes and parts with a boilerplate role (menus, forms, adverts, comments, ...) are left out,
 everything else in the slot is kept. Outside a main element nothing is kept, outside an article the
 other articles, and around any other container all text but that in places made of links, since parts
-of the text can stand beside the largest one. A wrapper fits a page if half the page's tree matches, the content's container has a partner on
+of the text can stand beside the largest one. Roles by name count for whole class tokens or ids; those
+by a part of one (content-widget), of a form, or of an element with a main, article or h1 in it are
+taken back where they would leave out most of the host's text. A wrapper fits a page if half the page's tree matches, the content's container has a partner on
 it and most of its text isn't in places that the reference lacks. The pages of a host that its wrapper
 doesn't fit (another layout) get a wrapper of their own in the same way, up to LAYOUTS wrappers a host;
 pages that none of them fits are their own reference.
@@ -55,32 +57,51 @@ CLOSES_P = BLOCKS - {"li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoo
 ENDED_BY_LIKE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 WHOLE = frozenset("main article".split())  # entered no further
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
-ROLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|cookies?|notices?|consent|gdpr|sidebar|menu|nav\w*|breadcrumbs?|comments?|replies|respond|disqus|related|share|sharing|social|promo\w*|sponsor\w*|popup|modal|newsletter|subscribe|footer|masthead|toolbar|widget|pagination)(?:$|[\s_-])", re.I)
+ROLE = re.compile(r"ads?|advert\w*|banners?|cookies?|notices?|consent|gdpr|sidebar|menu|nav\w*|breadcrumbs?|comments?|replies|respond|disqus|related|share|sharing|social|promo\w*|sponsor\w*|popup|modal|newsletter|subscribe|footer|masthead|toolbar|widget|pagination", re.I)
+UNNAMED = frozenset("html body main article".split())  # have no role by name
+STATES = frozenset("has no not is with without hide enabled disabled".split())  # has-sidebar is no sidebar
+#: Roles that the share of text can take back, and certain ones.
+LIKELY, CERTAIN = 1, 2
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
 class Node:
-    """A place in a page's tree; like siblings in a row share one."""
+    """A place in a page's tree; like siblings in a row share one. role: 0, LIKELY or CERTAIN."""
 
     __slots__ = ("label", "children", "role", "id")
 
-    def __init__(self, label: str, role: bool):
+    def __init__(self, label: str, role: int):
         self.label, self.children, self.role, self.id = label, [], role, -1
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
+def _named(words: str) -> int:
+    role = 0
+    for token in words.split():
+        parts = re.split("[-_]", token.lower())
+        if ROLE.fullmatch(token):
+            return CERTAIN
+        if parts[0] not in STATES and parts[-1] not in STATES and any(ROLE.fullmatch(x) for x in parts):
+            role = LIKELY
+    return role
+
+
+def _label(tag: str, attributes: str) -> tuple[str, int]:
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    words = found.get("class", "") + " " + found.get("id", "")
-    name = re.sub(r"\d+", "", (found.get("class") or found.get("id") or "").split(" ")[0])
-    role = tag in BOILERPLATE or bool(words.strip() and ROLE.search(words)) or found.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "form")
+    name = re.sub(r"\d+", "", ((found.get("class") or found.get("id") or "").split() or [""])[0])
+    role = 0
+    if tag not in UNNAMED:
+        role = _named(found.get("class", "") + " " + found.get("id", "")) if found else 0
+        if found.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "form") or tag in BOILERPLATE:
+            role = max(role, LIKELY if tag in ("form", "fieldset") or found.get("role") == "form" else CERTAIN)
+    name += "!" * (name != "" and role > 0)  # apart from like siblings without a role
     return f"{tag}.{name}" if name else tag, role
 
 
 def parse(page: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
     """The tree of a page, and its text blocks in order: place, text, characters inside links."""
-    root = Node("page", False)
+    root = Node("page", 0)
     stack: list[list] = [[root, "page", -1]]  # place, tag, position among the place's children
     blocks: list[tuple[Node, str, int]] = []
     text, links, link_chars = [], 0, 0
@@ -114,7 +135,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
                 break
         else:
             k = max(top[2] + 1, 0)
-            children.insert(k, Node(label, role or (tag == "header" and not any(x[1] in ("article", "main") for x in stack))))
+            children.insert(k, Node(label, role or CERTAIN * (tag == "header" and not any(x[1] in ("article", "main") for x in stack))))
         top[2] = k
         stack.append([children[k], tag, -1])
 
@@ -190,7 +211,7 @@ def from_skeleton(text: str) -> Node:
     path: list[Node] = []
     for line in text.split("\n"):
         depth, role, label = line.split(" ", 2)
-        node = Node(label, role == "1")
+        node = Node(label, int(role))
         del path[int(depth) :]
         if path:
             path[-1].children.append(node)
@@ -244,8 +265,25 @@ def _walk(root: Node):
         todo.extend((c, node) for c in reversed(node.children))
 
 
+def settle(nodes: list[Node], chars: list[int]) -> None:
+    """Takes back LIKELY roles, and those by name around a heading, main or article, of nodes with most of the text. nodes: as of numbered(), chars: text at each."""
+    below, heads = list(chars), [n.label.split(".")[0] in ("main", "article", "h1") for n in nodes]
+    for node in reversed(nodes):
+        for c in node.children:
+            heads[node.id] |= heads[c.id]
+            below[node.id] += below[c.id] if c.role != CERTAIN or _doubtful(c, heads) else 0
+    for node in nodes:
+        if node.role and 2 * below[node.id] > below[0] and (node.role == LIKELY or _doubtful(node, heads)):
+            node.role = 0
+
+
+def _doubtful(node: Node, heads: list[bool]) -> bool:
+    tag = node.label.split(".")[0]
+    return heads[node.id] and tag not in BOILERPLATE and tag != "header"
+
+
 def wrapper(reference: Node, seen: dict[int, tuple[int, int, int, int]], pages: int) -> tuple[int, frozenset[int]]:
-    """The content's node and the template nodes of a host.
+    """The content's node and the template nodes of a host; settles the roles in its reference.
 
     seen: for each node id: pages with text there, distinct texts, characters, characters in links.
     """
@@ -259,6 +297,7 @@ def wrapper(reference: Node, seen: dict[int, tuple[int, int, int, int]], pages:
         template = set()
         for k, (_, _, chars, _) in seen.items():
             varying[k] = chars
+    settle(nodes, varying)
     total = [0] * len(nodes)
     for node in reversed(nodes):
         total[node.id] = 0 if node.role else varying[node.id] + sum(total[c.id] for c in node.children)
@@ -272,14 +311,15 @@ def wrapper(reference: Node, seen: dict[int, tuple[int, int, int, int]], pages:
             return at.id, frozenset(template)
 
 
-def places(root: Node, ids: dict[int, int], slot: int) -> dict[int, int]:
-    """For each node id: 2 inside the slot, 1 in other places of the content, 0 outside it, -1 in a part with a boilerplate role. ids: see aligned()."""
+def places(root: Node, ids: dict[int, int], slot: int, reference: Node) -> dict[int, int]:
+    """For each node id: 2 inside the slot, 1 in other places of the content, 0 outside it, -1 in a part with a boilerplate role (as the reference has it where it has a partner). ids: see aligned()."""
+    roles = {n.id: n.role for n, _ in _walk(reference)}
     whole = next((n.label.split(".")[0] for n, _ in _walk(root) if ids[n.id] == slot), "")
     out: dict[int, int] = {}
     for node, parent in _walk(root):
         if ids[node.id] == slot:
             out[node.id] = 2
-        elif node.role or parent and out[parent.id] < 0:
+        elif roles.get(ids[node.id], node.role) or parent and out[parent.id] < 0:
             out[node.id] = -1
         elif whole == "article" and node.label.split(".")[0] == whole:
             out[node.id] = max(out[parent.id], 1)
@@ -307,7 +347,7 @@ def fitted(root: Node, blocks, reference: Node, slot: int, template: frozenset[i
     ids = aligned(root, reference)
     if ids is None or slot not in ids.values():
         return None
-    at = places(root, ids, slot)
+    at = places(root, ids, slot, reference)
     text = content(blocks, ids, at, template)
     linked = _linked(blocks)
     strange = sum(len(t) for node, t, _ in blocks if at[node.id] in (0, 1) and ids[node.id] < 0 and node.id not in linked)
@@ -330,7 +370,7 @@ def _own(root: Node, blocks) -> str:
         x[2], x[3] = x[2] + len(text), x[3] + links
     slot, _ = wrapper(root, {k: tuple(x) for k, x in seen.items()}, 1)
     ids = {n.id: n.id for n in nodes}
-    return content(blocks, ids, places(root, ids, slot), frozenset())
+    return content(blocks, ids, places(root, ids, slot, root), frozenset())
 
 
 def extract(page: str | None, layouts: list[dict] | None) -> str:
@@ -398,13 +438,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def induce(batches):
         for b in batches:
-            slots, templates = [], []
+            trees, slots, templates = [], [], []
             for text, nodes in zip(b.column("reference").to_pylist(), b.column("nodes").to_pylist()):
                 pages = next(x["n"] for x in nodes if x["node"] == -1)
-                slot, template = wrapper(from_skeleton(text), {x["node"]: (x["n"], x["texts"], x["chars"], x["links"]) for x in nodes if x["node"] >= 0}, pages)
+                tree = from_skeleton(text)
+                slot, template = wrapper(tree, {x["node"]: (x["n"], x["texts"], x["chars"], x["links"]) for x in nodes if x["node"] >= 0}, pages)
+                trees.append(skeleton(tree))
                 slots.append(slot)
                 templates.append(sorted(template))
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("reference"), pa.array(slots, pa.int32()), pa.array(templates, pa.list_(pa.int32()))], names=["host", "reference", "slot", "template"])
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(trees, pa.string()), pa.array(slots, pa.int32()), pa.array(templates, pa.list_(pa.int32()))], names=["host", "reference", "slot", "template"])
 
     return written(by_host.join(trees, "host").mapInArrow(induce, "host string, reference string, slot int, template array<int>"), "wrappers")
 
