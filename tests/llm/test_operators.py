@@ -293,6 +293,16 @@ def test_images_find_crops_only(spark):
     assert {i: r.class_id for i, r in got.items()} == want and got[3].n_links == 1 and got[5].n_copies == 2
 
 
+def test_image_pairs_of_crowded_values(spark):
+    rng = np.random.default_rng(5)
+    sets = {i: rng.integers(0, 4, (3, image_copies.BANDS)).tolist() for i in range(60)}
+    corners = spark.createDataFrame([(i, d) for i, ds in sets.items() for d in ds], "image_id long, d array<long>")
+    values = {i: {(k, v) for d in ds for k, v in enumerate(d)} for i, ds in sets.items()}
+    want = sorted((a, b) for a in values for b in values if a < b and len(values[a] & values[b]) >= image_copies.MIN_SHARED)
+    for size in (2, 7, 64):
+        assert sorted(tuple(r) for r in image_copies.candidate_pairs(corners, max_bucket=size).collect()) == want
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
