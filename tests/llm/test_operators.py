@@ -303,6 +303,36 @@ def test_image_pairs_of_crowded_values(spark):
         assert sorted(tuple(r) for r in image_copies.candidate_pairs(corners, max_bucket=size).collect()) == want
 
 
+def test_stage_removes_copies_of_similarity_over_08(spark):
+    import corpus_pipeline
+    from waymark.llm import similar
+
+    rng = np.random.default_rng(4)
+    texts = [None, " ", "one two", "One  two", "one three"]
+    for _ in range(8):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 4, 5, 8):
+            copy = list(words)
+            for at in rng.choice(200, changes, False):
+                copy[at] = "other"
+            texts.append(" ".join(copy))
+    sets = [set(similar.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(6):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if root[j] < root[i] and len(a & b) >= 0.8 * len(a | b):
+                    root[i] = root[j]
+    assert {i for i, r in enumerate(root) if r == i} != {i for i in range(len(texts)) if simhash.fingerprint(texts[i]) not in {simhash.fingerprint(t) for t in texts[:i]}}
+    df = docs(spark, texts)
+    for size in ((1024, 8), (2, 1)):
+        got = {r.doc_id: r.component_id for r in similar.near_duplicates(df, *size).collect()}
+        assert [got[i] for i in range(len(texts))] == root
+    kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, df.union(df.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))), None)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [*[(False, i) for i, r in enumerate(root) if r == i], (True, 0)]
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 

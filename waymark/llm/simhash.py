@@ -144,7 +144,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of docs for each component: that with the smallest id, of equal ids any one; rows with a null id stay."""
-    found = near_duplicates(docs, shingle, radius)
+    return first_of_each(docs, near_duplicates(docs, shingle, radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose id is that of their component; found: doc_id, component_id."""
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
