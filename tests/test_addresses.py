@@ -90,6 +90,18 @@ def test_merge_rules_and_idempotence(spark):
     assert as_set(out) == want and as_set(upsert.merge(out, new, ["k"], rules)) == want
 
 
+def test_release_gate_checks_replay_and_shadow(spark):
+    from waymark.operators import evaluate
+
+    good = {**{n: b for n, b, _ in evaluate.GATES}, "replay_failures": 0, "processed_samples": 1, "promote_recommended": True, "shadow_advantage": 0.0, "disagreement_rate": 0.10}
+    bad = {"replay_failures": 1, "processed_samples": 0, "promote_recommended": False, "shadow_advantage": -0.01, "disagreement_rate": 0.11}
+    cases = [(None, good), *[(n, {**good, n: v}) for n, v in bad.items()], *[(n, {**good, n: None}) for n in bad]]
+    kind = ", ".join(f"{n} " + {"replay_failures": "int", "processed_samples": "long", "promote_recommended": "boolean"}.get(n, "double") for n in good)
+    df = spark.createDataFrame([(i, *c.values()) for i, (_, c) in enumerate(cases)], f"i int, {kind}")
+    got = {r.i: (r.blocked_by, r.status) for r in evaluate.release_gate(df).collect()}
+    assert got == {i: (n, "blocked" if n else "promoted") for i, (n, _) in enumerate(cases)}
+
+
 def test_priority_rounds_half_to_even(spark):
     rows = spark.createDataFrame([(0.975,), (0.985,), (None,)], "c double").select(labels.priority(F.col("c"))).collect()
     assert [r[0] for r in rows] == [round((1 - (c or 0)) * 100) for c in (0.975, 0.985, None)]

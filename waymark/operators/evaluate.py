@@ -152,12 +152,16 @@ def shadow_verdict(summary: DataFrame, score_delta: float = 0.0, min_rows: int =
 # Gates of a release (metric, bound, whether it is a minimum).
 GATES = (("decision_f1", 0.90, True), ("building_type_f1", 0.85, True), ("unit_number_f1", 0.85, True), ("unit_recall", 0.85, True), ("commercial_f1", 0.85, True), ("review_rate", 0.35, False), ("reject_rate", 0.10, False), ("regression_risk", 0.02, False))
 
+#: Further gates of replay and shadow run, in the same form; promote_recommended is a boolean.
+RUN_GATES = (("replay_failures", 0, False), ("processed_samples", 1, True), ("promote_recommended", 1, True), ("shadow_advantage", 0.0, True), ("disagreement_rate", 0.10, False))
+
 
 def release_gate(metrics: DataFrame) -> DataFrame:
     """metrics with status and blocked_by (the first gate that fails; a missing metric fails)."""
     chain = None
-    for name, bound, least in GATES:
-        fails = ~F.coalesce(F.col(name) >= bound if least else F.col(name) <= bound, F.lit(False))
+    for name, bound, least in (*GATES, *RUN_GATES):
+        value = F.col(name).cast("double")
+        fails = ~F.coalesce(value >= bound if least else value <= bound, F.lit(False))
         chain = F.when(fails, name) if chain is None else chain.when(fails, name)
     return metrics.withColumn("blocked_by", chain).withColumn("status", F.when(F.col("blocked_by").isNull(), "promoted").otherwise("blocked"))
 

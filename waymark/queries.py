@@ -326,7 +326,7 @@ def _replay(spark, d):
 def _gate(spark, d):
     m = derived(spark, d, "model")
     one, none = F.lit(1.0), F.lit(0.0)
-    metrics = m.select("version", (F.col("score") / 2000).alias("decision_f1"), (F.col("score") / 1500).alias("building_type_f1"), one.alias("unit_number_f1"), F.when(F.col("promoted_at").isNotNull(), one).alias("unit_recall"), one.alias("commercial_f1"), (F.col("created_at") / 1000.0).alias("review_rate"), none.alias("reject_rate"), none.alias("regression_risk"))
+    metrics = m.select("version", (F.col("score") / 2000).alias("decision_f1"), (F.col("score") / 1500).alias("building_type_f1"), one.alias("unit_number_f1"), F.when(F.col("promoted_at").isNotNull(), one).alias("unit_recall"), one.alias("commercial_f1"), (F.col("created_at") / 1000.0).alias("review_rate"), none.alias("reject_rate"), none.alias("regression_risk"), none.alias("replay_failures"), one.alias("processed_samples"), F.lit(True).alias("promote_recommended"), none.alias("shadow_advantage"), none.alias("disagreement_rate"))
     return evaluate.release_gate(metrics).select("version", "blocked_by")
 
 
