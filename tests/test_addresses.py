@@ -102,6 +102,13 @@ def test_release_gate_checks_replay_and_shadow(spark):
     assert got == {i: (n, "blocked" if n else "promoted") for i, (n, _) in enumerate(cases)}
 
 
+def test_cities_of_few_rows_meet(spark):
+    raw = spark.createDataFrame([(1, "Halifax", "NS"), (2, "Bedford", "NS"), (3, "Gander", "NL")], "raw_id long, city string, province string")
+    refs = spark.createDataFrame([(5, "Halifax", "NS"), (6, "Truro", "NS")], "reference_id long, city string, province string")
+    got = {tuple(r) for r in queries.city_pairs(raw, refs).collect()}
+    assert got == {("Halifax", "Halifax", True), ("Halifax", "Truro", False), ("Bedford", "Halifax", False), ("Bedford", "Truro", False)}
+
+
 def test_priority_rounds_half_to_even(spark):
     rows = spark.createDataFrame([(0.975,), (0.985,), (None,)], "c double").select(labels.priority(F.col("c"))).collect()
     assert [r[0] for r in rows] == [round((1 - (c or 0)) * 100) for c in (0.975, 0.985, None)]

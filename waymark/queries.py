@@ -357,11 +357,16 @@ def _gps(spark, d):
     return derived(spark, d, "raw").select("raw_id", gps_score("latitude", "longitude", F.lit(44.605), F.lit(-63.6)).alias("score"))
 
 
+def city_pairs(raw, reference):
+    """a, b, ok: each city of raw with each of reference in the same province."""
+    a = raw.select(F.col("city").alias("a"), F.col("province").alias("p")).distinct()
+    b = reference.select(F.col("city").alias("b"), F.col("province").alias("p")).distinct()
+    return a.join(b, "p").select("a", "b").distinct().withColumn("ok", city_compatible("a", "b"))
+
+
 @_query("city_compatible", f"WITH {ctes('raw', 'reference')}, x AS (SELECT DISTINCT raw.city AS a, reference.city AS b, {_title('raw.city')} AS c1, {_title('reference.city')} AS c2 FROM raw JOIN reference ON raw.province = reference.province AND raw.raw_id % 1000 = reference.reference_id % 1000) SELECT a, b, (c1 IS NULL OR c2 IS NULL OR c1 = c2 OR (len(list_intersect({_WORDS('c1')}, {_WORDS('c2')})) > 0 AND CAST(len(list_intersect({_WORDS('c1')}, {_WORDS('c2')})) AS DOUBLE) / least(len({_WORDS('c1')}), len({_WORDS('c2')})) >= 0.5)) AS ok FROM x")
 def _city(spark, d):
-    a = derived(spark, d, "raw").select(F.col("city").alias("a"), F.col("province").alias("p"), (F.col("raw_id") % 1000).alias("k"))
-    b = derived(spark, d, "reference").select(F.col("city").alias("b"), F.col("province").alias("p"), (F.col("reference_id") % 1000).alias("k"))
-    return a.join(b, ["p", "k"]).select("a", "b").distinct().withColumn("ok", city_compatible("a", "b"))
+    return city_pairs(derived(spark, d, "raw"), derived(spark, d, "reference"))
 
 
 @_query("event_windows", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
