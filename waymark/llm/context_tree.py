@@ -7,27 +7,31 @@ probability against the product of its children's weighted probabilities (half a
 a prediction mixes all depths along the path with these weights. Where the training texts have no
 such context, the next shorter one predicts.
 
-Counts cover all training texts and are as large as the corpus makes them: texts are dealt to blocks
-of about BLOCK_BYTES; each block sends its distinct (context, byte) keys and words with their training
-counts; Spark adds them up; the trees are weighted in partitions that hold all contexts with the same
-last two bytes (what lies above, 256 contexts of one byte and the root, is summed to 65,280 rows at
-most and sent to all); and each block gets back only the keys it has. Nothing that grows with the
-corpus is broadcast or collected.
+Counts cover all training texts and are as large as the corpus makes them. Texts are dealt to blocks of
+about BLOCK_BYTES and stream through Python in batches. What a block needs (its distinct keys of
+context and byte, its distinct words) leaves it packed, one row for each part of the key space; a part
+holds whole contexts of two bytes. Parts are merged over all blocks (over groups of blocks first, so
+that a common context is not summed in one task), their trees are weighted, a few whole contexts at a
+time, and the answers go back to the blocks packed likewise. The contexts of one byte and the root are
+summed to 65,280 rows at most and sent to all. Nothing that grows with the corpus is broadcast,
+collected or held in one group; a process holds a block's keys and words, or a part's.
 
 Defined cases: null text is empty: its only token is the end; without training texts every decision
 has probability 1/2; rows with equal ids and texts lie in one block and are scored alike; null ids
-count as the empty text in the crc32 fold.
+count as the empty text in the crc32 fold; a text longer than a block is a block of its own; no rows
+give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,11 @@ from waymark.llm.common import id_crc, table, written
 
 DEPTH = 5
 BLOCK_BYTES = 24 << 20
-#: Keys for each partition in which trees are weighted.
+#: Bytes of text for each part of the key space, and blocks whose rows are merged first.
+PART_BYTES, MERGED_BLOCKS = 64 << 20, 512
+#: Keys that are weighted at a time (whole contexts of two bytes).
 TREE_ROWS = 200_000
+KEYS, WORDS, TEXTS = 0, 1, 2
 END = b"\n"
 _LN10, _LN_HALF = math.log(10), math.log(0.5)
 
@@ -102,7 +109,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[starts], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], starts) if len(keys) else np.empty(0, np.int64)
 
 
-def _slices(texts: pa.ChunkedArray, size: int = 2 << 20):
+def _slices(texts: pa.Array | pa.ChunkedArray, size: int = 2 << 20):
     """The texts in lists of about size bytes, so that a block is never held as Python objects."""
     ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
     while start < len(texts):
@@ -111,36 +118,112 @@ def _slices(texts: pa.ChunkedArray, size: int = 2 << 20):
         start = stop
 
 
-_FACTS = "blk int, key long, word binary, n long"
-_FACTS_SCHEMA = pa.schema([("blk", pa.int32()), ("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+_PACKED = "kind int, part int, blk int, keys binary, counts binary"
 
 
-def _facts(group: pa.Table, depth: int) -> pa.Table:
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["kind", "part", "blk", "keys", "counts"])
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint64), dtype=np.uint64)
+
+
+def _runs(batches, *names: str):
+    """(values of the columns names, slice of a batch) for each run of rows with the same values."""
+    for b in batches:
+        columns = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        new = np.ones(b.num_rows, bool)
+        if b.num_rows:
+            new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        starts = np.nonzero(new)[0].tolist()
+        for i, j in zip(starts, [*starts[1:], b.num_rows]):
+            yield tuple(int(c[i]) for c in columns), b.slice(i, j - i)
+
+
+class _Block:
     """A block's distinct keys and words with their counts in its training texts; the end is the empty word."""
-    blk = group.column("blk")[0].as_py()
-    words: Counter[bytes] = Counter()
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    for train in (True, False):
-        own = group.column("text").filter(pc.equal(group.column("train"), train))
-        for part in _slices(own):
-            texts = [tokens(t) for t in part]
-            seen = Counter(chain.from_iterable(texts))
-            seen[b""] = len(texts)
-            words.update(seen if train else dict.fromkeys(seen, 0))
-            for keys, _ in _streams(texts, depth):
+
+    def __init__(self, blk: int, depth: int):
+        self.blk, self.depth, self.words, self.parts, self.held = blk, depth, Counter(), [], 0
+
+    def add(self, texts: pa.Array, train: bool) -> None:
+        for part in _slices(texts):
+            split = [tokens(t) for t in part]
+            seen = Counter(chain.from_iterable(split))
+            seen[b""] = len(split)
+            self.words.update(seen if train else dict.fromkeys(seen, 0))
+            for keys, _ in _streams(split, self.depth):
                 found, counts = np.unique(keys, return_counts=True)
-                parts.append((found, counts * train))
-                held += len(found)
+                self.parts.append((found, counts * train))
+                self.held += len(found)
+                if self.held > 1_250_000:
+                    self.parts = [_merged(self.parts)]
+                    self.held = len(self.parts[0][0])
+
+    def rows(self, parts: int):
+        keys, counts = _merged(self.parts)
+        self.parts = []
+        part = ((keys >> np.uint64(8 * (self.depth - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        for p in range(parts):
+            if len(at := order[edges[p] : edges[p + 1]]):
+                yield _packed([(KEYS, p, self.blk, _pack(keys[at]), counts[at].astype("<i8").tobytes())])
+        by_part: dict[int, list[bytes]] = {}
+        for w in self.words:
+            by_part.setdefault(xxhash.xxh32_intdigest(w) % parts, []).append(w)
+        for p, words in by_part.items():
+            yield _packed([(WORDS, p, self.blk, END.join(words), np.array([self.words[w] for w in words], "<i8").tobytes())])
+
+
+def _facts(batches, depth: int, parts: int):
+    """The packed rows of each block, from rows (blk, text, train) that come block by block."""
+    own = None
+    for (blk, train), b in _runs(batches, "blk", "train"):
+        if own is None or own.blk != blk:
+            if own:
+                yield from own.rows(parts)
+            own = _Block(blk, depth)
+        own.add(b.column("text"), bool(train))
+    if own:
+        yield from own.rows(parts)
+
+
+def _sums(batches):
+    """Packed rows with the same kind and part, which come one after another, as one row with their blocks' sums."""
+    at, parts, held, words = None, [], 0, {}
+
+    def row():
+        if at[0] == KEYS:
+            keys, counts = _merged(parts)
+            return _packed([(*at, 0, _pack(keys), counts.astype("<i8").tobytes())])
+        return _packed([(*at, 0, END.join(words), np.fromiter(words.values(), "<i8", len(words)).tobytes())])
+
+    for now, b in _runs(batches, "kind", "part"):
+        if at is not None and now != at:
+            yield row()
+            parts, held, words = [], 0, {}
+        at = now
+        for keys, counts in zip(b.column("keys"), b.column("counts")):
+            n = np.frombuffer(counts.as_py(), "<i8")
+            if at[0] == KEYS:
+                parts.append((_unpack(keys.as_py()), n))
+                held += len(n)
                 if held > 1_250_000:
                     parts = [_merged(parts)]
                     held = len(parts[0][0])
-    keys, counts = _merged(parts)
-    n, m = len(keys), len(words)
-    return pa.Table.from_arrays(
-        [pa.array(np.full(n + m, blk, np.int32)), pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(words), pa.binary())]), pa.array(np.concatenate([counts, np.fromiter(words.values(), np.int64, m)]))],
-        schema=_FACTS_SCHEMA,
-    )
+            else:
+                own = keys.as_py().split(END)
+                words.update(zip(own, map(sum, zip(map(words.get, own, repeat(0)), n.tolist()))))
+    if at is not None:
+        yield row()
 
 
 class Levels:
@@ -224,92 +307,126 @@ class Upper:
         self.root_weights = np.exp(_LN_HALF + own - (_LN_HALF + np.logaddexp(own, weighted.sum(axis=0))))
 
 
-def _loaded(batches, depth: int):
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return None
-    keys = np.concatenate([b.column("key").to_numpy() for b in batches]).view(np.uint64)
-    n = np.concatenate([b.column("n").to_numpy() for b in batches])
-    order = np.argsort(keys)
-    return Levels(keys[order], n[order], depth)
+def _trees(keys: np.ndarray, counts: np.ndarray, depth: int):
+    """Levels over runs of whole contexts of two bytes, of TREE_ROWS keys or one context each."""
+    two = keys >> np.uint64(8 * (depth - 1))
+    ends, start = [*(np.nonzero(two[1:] != two[:-1])[0] + 1).tolist(), len(keys)], 0
+    for end, after in zip(ends, [*ends[1:], None]):
+        if after is None or after - start > TREE_ROWS:
+            yield Levels(keys[start:end], counts[start:end], depth)
+            start = end
 
 
-def key_scores(counts: DataFrame, depth: int) -> DataFrame:
-    """key, v: log10 probability of each key, from keys with their training counts."""
-    spark = counts.sparkSession
-    parts = max(1, -(-counts.count() // TREE_ROWS))
-    dealt = counts.repartition(parts, F.shiftright("key", 8 * (depth - 1)))  # contexts with the same last two bytes lie together
+def answers(sums: DataFrame, depth: int) -> DataFrame:
+    """Rows (kind, part, keys, values): log10 probability of each key (4-byte floats), training count of each word. sums: a row for each kind and part."""
+    spark = sums.sparkSession
 
     def tops(batches):
-        if (levels := _loaded(batches, depth)) is not None:
-            for c, m, n0, n1, s in levels.tops():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, m, n0, n1, s)], names=["c", "m", "n0", "n1", "s"])
+        for b in batches:
+            for keys, counts in zip(b.column("keys"), b.column("counts")):
+                for levels in _trees(_unpack(keys.as_py()), np.frombuffer(counts.as_py(), "<i8"), depth):
+                    for c, m, n0, n1, s in levels.tops():
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, m, n0, n1, s)], names=["c", "m", "n0", "n1", "s"])
 
-    sums = dealt.mapInArrow(tops, "c long, m long, n0 double, n1 double, s double").groupBy("c", "m").agg(F.sum("n0"), F.sum("n1"), F.sum("s"))
-    upper = spark.sparkContext.broadcast(Upper(sums.collect()))  # 256 * 255 rows at most
+    found = sums.where(F.col("kind") == KEYS).mapInArrow(tops, "c long, m long, n0 double, n1 double, s double").groupBy("c", "m").agg(F.sum("n0"), F.sum("n1"), F.sum("s"))
+    upper = spark.sparkContext.broadcast(Upper(found.collect()))  # 256 * 255 rows at most
 
     def score(batches):
-        if (levels := _loaded(batches, depth)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(levels.keys.view(np.int64)), pa.array(levels.log10(upper.value))], names=["key", "v"])
+        for b in batches:
+            for kind, part, keys, counts in zip(*(b.column(c) for c in ("kind", "part", "keys", "counts"))):
+                values = counts.as_py()
+                if kind.as_py() == KEYS:
+                    values = b"".join(x.log10(upper.value).astype("<f4").tobytes() for x in _trees(_unpack(keys.as_py()), np.frombuffer(values, "<i8"), depth))
+                yield pa.RecordBatch.from_arrays([pa.array([kind.as_py()], pa.int32()), pa.array([part.as_py()], pa.int32()), pa.array([keys.as_py()], pa.binary()), pa.array([values], pa.binary())], names=["kind", "part", "keys", "values"])
 
-    return dealt.mapInArrow(score, "key long, v double")
+    return written(sums.mapInArrow(score, "kind int, part int, keys binary, values binary"), "lm-answers")
+
+
+def _answered(batches):
+    """For each block's packed keys the values of those keys; the row with all keys of a part comes before the blocks' rows."""
+    keys = values = None
+    for (kind, _, _), b in _runs(batches, "kind", "part", "share"):
+        for own, blk, of in zip(b.column("keys"), b.column("blk"), b.column("values")):
+            own, blk = own.as_py(), blk.as_py()
+            if blk < 0:
+                keys, values = (_unpack(own), np.frombuffer(of.as_py(), "<f4")) if kind == KEYS else (pa.array(own.split(END), pa.binary()), np.frombuffer(of.as_py(), "<i8"))
+                continue
+            at = np.searchsorted(keys, _unpack(own)) if kind == KEYS else pc.index_in(pa.array(own.split(END), pa.binary()), value_set=keys).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([kind], pa.int32()), pa.array([own], pa.binary()), pa.array([values[at].tobytes()], pa.binary())], names=["blk", "kind", "keys", "values"])
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(docs: pa.Table, facts: pa.Table, depth: int, total: int, distinct: int) -> pa.Table:
-    if not docs.num_rows:
-        return _SCORES.empty_table()
-    is_key = facts.column("key").is_valid()
-    own = facts.filter(is_key)
-    keys, values = own.column("key").to_numpy().view(np.uint64), own.column("v").to_numpy()
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    own = facts.filter(facts.column("word").is_valid())
+def _scores(batches, depth: int, total: int, distinct: int):
+    """Scores of texts that come block by block, each block after its keys and words."""
+    blk, parts, keys = None, {KEYS: [], WORDS: []}, None
     below = math.log10(total + 0.1 * (distinct + 1))
-    vocabulary, logs = own.column("word").combine_chunks(), np.log10(own.column("v").to_numpy() + 0.1) - below
     unknown = -1.0 - below + 1e-9  # a word without a count
-    n_tokens, known, n_bytes, base, scores = [], [], [], [], []
-    for part in _slices(docs.column("text"), 4 << 20):
-        texts = [tokens(t) for t in part]
-        each = logs[pc.index_in(pa.array(chain.from_iterable([*t, b""] for t in texts), pa.binary()), value_set=vocabulary).to_numpy()]
-        start = 0
-        for t in texts:
-            own_logs = each[start : start + len(t) + 1]
-            start += len(own_logs)
-            n_tokens.append(len(own_logs))
-            known.append(int(np.count_nonzero(own_logs > unknown)))
-            base.append(float(own_logs.sum()))
-        for own_keys, lengths in _streams(texts, depth):
-            each = values[np.searchsorted(keys, own_keys)]
-            scores += np.add.reduceat(each, np.cumsum([0, *lengths[:-1].tolist()])).tolist()
-            n_bytes += lengths.tolist()
-    columns = [docs.column("doc_id").combine_chunks(), n_tokens, known, n_bytes, base, scores]
-    return pa.Table.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, _SCORES)], schema=_SCORES)
-
-
-def scored(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_tokens, n_known, n_bytes, base_score, score, train_tokens of each row of docs (doc_id, text, train boolean)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text", "train")
+    for (now, kind), b in _runs(batches, "blk", "kind"):
+        if now != blk:
+            blk, parts, keys = now, {KEYS: [], WORDS: []}, None
+        if kind != TEXTS:
+            parts[kind] += [(k.as_py(), v.as_py()) for k, v in zip(b.column("keys"), b.column("values"))]
+            continue
+        if keys is None:
+            keys = np.concatenate([_unpack(k) for k, _ in parts[KEYS]])
+            order = np.argsort(keys)
+            keys, values = keys[order], np.concatenate([np.frombuffer(v, "<f4") for _, v in parts[KEYS]])[order].astype(np.float64)
+            vocabulary = pa.concat_arrays([pa.array(k.split(END), pa.binary()) for k, _ in parts[WORDS]])
+            logs = np.log10(np.concatenate([np.frombuffer(v, "<i8") for _, v in parts[WORDS]]) + 0.1) - below
+            parts = {KEYS: [], WORDS: []}
+        ids, at = b.column("doc_id"), 0
+        for part in _slices(b.column("text")):
+            texts = [tokens(t) for t in part]
+            each = logs[pc.index_in(pa.array(chain.from_iterable([*t, b""] for t in texts), pa.binary()), value_set=vocabulary).to_numpy()]
+            n = np.array([len(t) + 1 for t in texts])
+            starts = np.cumsum([0, *n[:-1].tolist()])
+            scores, n_bytes = [], []
+            for own_keys, lengths in _streams(texts, depth):
+                order = np.argsort(own_keys)  # sorted look-ups stay in the cache
+                found = np.empty(len(order))
+                found[order] = values[np.searchsorted(keys, own_keys[order])]
+                scores.append(np.add.reduceat(found, np.cumsum([0, *lengths[:-1].tolist()])))
+                n_bytes.append(lengths)
+            columns = [n, np.add.reduceat((each > unknown).astype(np.int64), starts), np.concatenate(n_bytes), np.add.reduceat(each, starts), np.concatenate(scores)]
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), *[pa.array(c, f.type) for c, f in zip(columns, list(_SCORES)[1:])]], schema=_SCORES)
+            at += len(texts)
+
+
+def scored(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, merged_blocks: int = MERGED_BLOCKS) -> DataFrame:
+    """doc_id, n_tokens, n_known, n_bytes, base_score, score, bits_per_byte, train_tokens of each row of docs (doc_id, text, train boolean)."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("train", F.lit(False)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-size // part_bytes))
+    groups = max(1, -(-blocks // merged_blocks))
     docs = docs.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    facts = written(docs.groupBy("blk").applyInArrow(lambda t: _facts(t, depth), _FACTS), "lm-facts")
-    words = written(facts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    counts = written(facts.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")), "lm-keys")
-    scores = written(key_scores(counts, depth), "lm-scores")
-    no_word, no_key = F.lit(None).cast("binary"), F.lit(None).cast("long")
-    back = facts.where("key IS NOT NULL").select("blk", "key").join(scores, "key").select("blk", "key", no_word.alias("word"), "v")
-    back = back.union(facts.where("word IS NOT NULL").select("blk", "word").join(words, "word").select("blk", no_key, "word", F.col("n").cast("double")))
-    kind = "doc_id long, n_tokens long, n_known long, n_bytes long, base_score double, score double"
-    out = docs.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(lambda d, f: _score(d, f, depth, total, distinct), kind)
-    return out.withColumn("train_tokens", F.lit(total).cast("long"))
+    dealt = docs.select("blk", "text", F.col("train").cast("int").alias("train")).repartition(blocks, "blk").sortWithinPartitions("blk", "train")
+    facts = written(dealt.mapInArrow(lambda b: _facts(b, depth, parts), _PACKED), "lm-facts")
+    sums = facts.withColumn("share", F.pmod("blk", F.lit(groups)))
+    for by in (["kind", "part", "share"], ["kind", "part"])[groups == 1 :]:
+        sums = sums.repartition(*by).sortWithinPartitions(*by).select("kind", "part", "blk", "keys", "counts").mapInArrow(_sums, _PACKED)
+    sums = written(sums, "lm-sums")
+
+    def counted(batches):
+        for b in batches:
+            n = [np.frombuffer(c.as_py(), "<i8") for c in b.column("counts")]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in n], pa.int64()), pa.array([np.count_nonzero(x) for x in n], pa.int64())], names=["n", "v"])
+
+    total, distinct = sums.where(F.col("kind") == WORDS).mapInArrow(counted, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    table = answers(sums, depth).select("kind", "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("share"), F.lit(-1).alias("blk"), "keys", "values")
+    asked = facts.select("kind", "part", F.pmod("blk", F.lit(groups)).alias("share"), "blk", "keys", F.lit(None).cast("binary").alias("values"))
+    both = table.union(asked).repartition("kind", "part", "share").sortWithinPartitions("kind", "part", "share", "blk")
+    back = both.mapInArrow(_answered, "blk int, kind int, keys binary, values binary")
+    no_id, no_text, no_data = F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("binary")
+    rows = back.select("blk", "kind", "keys", "values", no_id.alias("doc_id"), no_text.alias("text"))
+    rows = rows.union(docs.select("blk", F.lit(TEXTS), no_data, no_data, "doc_id", "text")).repartition(blocks, "blk").sortWithinPartitions("blk", "kind")
+    out = rows.mapInArrow(lambda b: _scores(b, depth, total, distinct), "doc_id long, n_tokens long, n_known long, n_bytes long, base_score double, score double")
+    return out.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op7_context_tree(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = id_crc(F.col("doc_id")) % 10 == 0
     out = scored(docs.withColumn("train", ~held_out))
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
