@@ -11,7 +11,7 @@ from waymark.llm import bpe, context_tree, html_extraction, image_copies, langua
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [None, "", " ", "\n\n", "one", "two words", "é ß 字\t\t x", "  lead  and trail  ", "a" * 3000, "word " * 4000, "don't we'll 12 345!!", "same text here", "same text here"]
+ODD = [None, "", " ", "\n\n", "one", "two words", "é ß 字\t\t x", "  lead  and trail  ", "a" * 3000, "word " * 4000, "don't we'll 12 345!!", "hello <|endoftext|> world", "Über, naïve; ǆ x's (a,b) don't. \u00d7 ß! 3rd\nline end.", "\u2003a \u2003 b\u00a0 c", "same text here", "same text here"]
 
 
 def docs(spark, texts, lang="en", source="s"):
@@ -41,6 +41,16 @@ def test_token_store_matches_whole_text_encoding(spark, tmp_path):
         start += len(ids)
     stored = token_store.chunks(spark, path)
     assert stored.count() == stored.select("digest").distinct().count()
+    token_store.write_store(docs(spark, texts), f"{path}-small", part_docs=9)
+    assert token_store.read_store(spark, f"{path}-small").select("doc_id", "start", "ids_crc32").exceptAll(token_store.read_store(spark, path).select("doc_id", "start", "ids_crc32")).count() == 0
+    top = spark.read.parquet(f"{path}-small/manifest").orderBy(F.desc("level")).first()
+    assert (top.part, top.n_docs, top.n_tokens) == (-1, len(texts), start)
+    spark.read.parquet(f"{path}-small/recipes").where("doc_id <> 3").write.parquet(f"{path}-missing/recipes")
+    spark.read.parquet(f"{path}-small/recipes").withColumn("n_tokens", F.col("n_tokens") + (F.col("doc_id") == 5).cast("int")).write.parquet(f"{path}-tampered/recipes")
+    for name in ("missing", "tampered"):
+        spark.read.parquet(f"{path}-small/manifest").write.parquet(f"{path}-{name}/manifest")
+        with pytest.raises(ValueError):
+            token_store.verify_manifest(spark, f"{path}-{name}")
     token_store.write_store(docs(spark, []), f"{path}-empty")
     assert token_store.read_store(spark, f"{path}-empty").count() == 0
 

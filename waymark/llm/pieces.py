@@ -12,7 +12,7 @@ from __future__ import annotations
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
-def _careful(text: str) -> list[str]:
+def careful(text: str) -> list[str]:
     out: list[str] = []
     for part in text.split(" "):
         # A part that is empty or begins with white space, or follows one that is empty or ends with it, continues a run.
@@ -26,7 +26,7 @@ def _careful(text: str) -> list[str]:
 def cut(text: str) -> list[str]:
     """The pieces, all but the first without their leading blank: " ".join(cut(text)) is the text."""
     if "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _SPACES):
-        return _careful(text)
+        return careful(text)
     return text.split(" ")
 
 

@@ -5,18 +5,27 @@ into chunks where the hash of the last WINDOW ids has its low bits zero, so equa
 chunks wherever they stand. A chunk's address is a 128-bit BLAKE2b of its bytes.
 
     chunks/    digest, n (ids), payload (ids, little-endian, 2 bytes each if the vocabulary allows, else 4)
-    recipes/   part, doc_id, start, n_tokens, root, digests; in ascending doc_id order within and over parts
-    manifest/  part, n_docs, n_tokens, root
+    recipes/   part, pos, doc_id, start, n_tokens, root, digests; in ascending doc_id order within and over parts
+    manifest/  level, part, pos, n_docs, n_tokens, root: a Merkle tree over all documents
 
 A unique chunk is stored once: each task sends a chunk once, and chunks meet by digest. root of a
 recipe is the Merkle root over its chunk digests (pairs hashed level by level, an odd one is carried
-up); a part's root is that over its documents' roots. Reading verifies every chunk against its
-digest and every document against its root and length. crc32 sums are taken where the chunks lie and
-combined along the recipe (crc32 is linear), so no payload is moved for verification.
-
-Defined cases: null and empty texts hold only the end id; repeated rows have equal recipes; rows with
-equal or null doc_id are stored one after another (nulls first); a text without a cut gets a chunk
-each MAX_CHUNK ids; an empty table gives an empty store.
+up). The manifest's level 0 has a node for each FAN documents of a part, and each level above one for
+FAN nodes of the level below, up to a single node of part -1; parts hold about PART_DOCS documents,
+so no task's list grows with the corpus. Reading builds the tree anew from the recipes and compares
+all nodes, verifies every chunk against its digest and every document against its root and length.
+crc32 sums are taken where the chunks lie and combined along the recipe (crc32 is linear), so no
+payload is moved for verification.
+
+Texts are encoded by the tokenizers library. For byte-level vocabularies they are cut first where such
+tokenizers never join anything: before single blanks (see pieces.py), and between letters and the
+signs after them. Arrow finds a slice's distinct pieces; only those meet the library, and a worker
+remembers the ids of up to REMEMBERED words over all its tasks. Other vocabularies get whole texts.
+
+Defined cases: null and empty texts hold only the end id; a special token's name in a text is that
+token, as in the library; repeated rows have equal recipes; rows with equal or null doc_id are stored
+one after another (nulls first, then by root); a text without a cut gets a chunk each MAX_CHUNK ids;
+an empty table gives an empty store; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +35,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import shared_path, small, table
-from waymark.llm.pieces import PieceCache, chunks_of
+from waymark.llm.common import shared_path, small, table, written
+from waymark.llm.pieces import careful, chunks_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -40,53 +50,126 @@ MIN_CHUNK, MAX_CHUNK = 256, 8192
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(b"gear %d" % i, digest_size=8).digest(), "little") for i in range(256)], np.uint64)
 
 
+#: Documents for each part of the recipes, and nodes for each node of the manifest.
+PART_DOCS, FAN = 100_000, 1024
+#: Words and other pieces that a worker remembers at most, in two generations (see _remembered).
+REMEMBERED = 600_000
+#: Characters of text that are encoded together.
+SLICE = 6_000_000
+_WHITE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
+_ODD = f"^ | $|{_WHITE} | {_WHITE}"
+#: Letters, then signs that no pre-token joins to letters before or after them (the apostrophe is none of them).
+_WORD = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<signs>[!-&(-/:-@\\[-`{-~]*)$"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies have for each byte: printing ones stand for themselves, the others follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
 class TextEncoder:
-    """Whole texts to ids with the tokenizers library; frequent pieces are encoded once (see pieces.py)."""
+    """Whole texts to ids with the tokenizers library (see the module's text)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.width = 2 if max(vocab.values(), default=0) < 1 << 16 else 4
+        pre = self.tokenizer.pre_tokenizer
+        self.bytewise = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.tokenizer.normalizer is None
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        # In byte-level vocabularies a token has one character for each byte.
-        self.lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
-        for token, i in vocab.items():
-            self.lengths[i] = len(token)
-        self.cache = PieceCache(self._make)
-
-    def _make(self, new: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            if part[0][:1] == " " and not any(p[-1:].isspace() for p in part):  # later pieces: their concatenation is cut the same way
-                ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.int64)
-                ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
-                at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-                ids = ids.astype(self.kind)
-                out += [ids[a:b].tobytes() for a, b in zip([0, *at[:-1].tolist()], at.tolist())]
-            else:
-                out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-        return out
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(values), self.kind) for values in self.cache(texts)]
-
-
-def cuts(ids: np.ndarray, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, mask_bits: int = MASK_BITS) -> list[int]:
-    """Ends of the chunks of ids."""
-    n = len(ids)
-    if n <= min_chunk:
-        return [n] if n else []
+        self.letters = _byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(self.width, "little") for i in range(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """A blank and letters are one pre-token, which goes to the library's model at once."""
+        tokenize, blank, letters, of = self.tokenizer.model.tokenize, self.letters[32], self.letters, self.id_bytes
+        return [b"".join([of[t.id] for t in tokenize(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]) for w in words]
+
+    def _remembered(self, pieces: list[str], make) -> list[bytes]:
+        """A piece met again moves to the young generation; when that is full the old one is forgotten."""
+        if 2 * len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            missing = [p for p, v in zip(pieces, found) if v is None]
+            older = list(map(self.old.get, missing))
+            self.young.update((p, v) for p, v in zip(missing, older) if v is not None)
+            new = [p for p, v in zip(missing, older) if v is None]
+            self.young.update(zip(new, make(new)))
+            found = list(map(self.young.__getitem__, pieces))
+        return found
+
+    def _units(self, pieces: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words, signs and other pieces, and which two of them each piece is after a blank; the last one is empty."""
+        parts = pc.extract_regex(pieces, _WORD)
+        simple = parts.is_valid().to_numpy(zero_copy_only=False)
+        words, signs = (parts.drop_null().field(k).dictionary_encode() for k in range(2))
+        others = [" " + p for p in pieces.filter(pa.array(~simple)).to_pylist()]
+        values = self._remembered(words.dictionary.to_pylist(), self._words)
+        n = len(values)
+        values += self._whole(signs.dictionary.to_pylist())
+        of = np.full((len(pieces), 2), len(values) + len(others), np.int32)
+        of[simple, 0], of[simple, 1] = words.indices.to_numpy(), n + signs.indices.to_numpy()
+        of[~simple, 0] = len(values) + np.arange(len(others))
+        return [*values, *self._remembered(others, self._whole), b""], of
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (None: none) one after another, and where each text's begin and end."""
+        texts = pa.array([t or "" for t in texts], pa.string())
+        if not self.bytewise:
+            values = self._whole(texts.to_pylist())
+            return np.frombuffer(b"".join(values), self.kind), np.cumsum([0, *map(len, values)]) // self.width
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.split_pattern(texts, " ")
+        if pc.any(odd).as_py():
+            lists = pc.if_else(odd, pa.array([careful(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.list_(pa.string())), lists)
+        flat, offsets = lists.flatten(), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+        distinct = flat.dictionary_encode()
+        firsts = flat.take(pa.array(offsets[:-1])).dictionary_encode()  # these have no blank before them
+        values, of = self._units(distinct.dictionary)
+        units = of[distinct.indices.to_numpy()]
+        units[offsets[:-1]] = np.stack([len(values) + firsts.indices.to_numpy(), np.full(len(texts), len(values) - 1)], axis=1)
+        values += self._whole(firsts.dictionary.to_pylist())
+        known, units = np.frombuffer(b"".join(values), self.kind), units.ravel()
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        begins = np.cumsum(lengths) - lengths
+        n = lengths[units]
+        ends = np.cumsum(n)
+        ids = known[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[units] - (ends - n), n)]
+        return ids, np.concatenate([[0], ends])[2 * offsets]
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def text_encoder(path: str) -> TextEncoder:
+    """One for each worker process and file."""
+    if path not in _encoders:
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path]
+
+
+def marks(ids: np.ndarray, mask_bits: int = MASK_BITS) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids allows a cut."""
     gear = _GEAR[(ids & 0xFF).astype(np.int64)] ^ (_GEAR[(ids >> 8).astype(np.int64) & 0xFF] << np.uint64(1))
     rolled = gear.copy()
     for k in range(1, WINDOW):
         rolled[k:] += gear[:-k] << np.uint64(5 * k)
-    marks = np.nonzero((rolled >> np.uint64(64 - mask_bits)) == 0)[0] + 1
+    return np.nonzero((rolled >> np.uint64(64 - mask_bits)) == 0)[0] + 1
+
+
+def cuts(n: int, marked: list[int], min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> list[int]:
+    """Ends of the chunks of n ids with these marks. min_chunk is over WINDOW, so what stands before the ids has no say."""
     out, start = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*marked, n]:
         while m - start > max_chunk:
             start += max_chunk
             out.append(start)
@@ -117,29 +200,41 @@ def _encode(batches, tokenizer: str, end_id: int):
     import public_tokenizers
 
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("digest", pa.binary()), ("payload", pa.binary())])
-    encoder = TextEncoder(public_tokenizers.path(tokenizer))
-    end = np.array([end_id], encoder.kind)
-    sent: set[bytes] = set()
+    encoder = text_encoder(public_tokenizers.path(tokenizer))
+    end = np.array([end_id], encoder.kind).tobytes()
+    sent: set[bytes] = set()  # grows with the task's part of the input only
     for b in batches:
-        ids_of, texts, at = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), 0
-        for part in chunks_of(texts):
-            recipes, chunks = [], []
-            for doc_id, ids in zip(ids_of[at : at + len(part)], encoder(part)):
-                ids = np.concatenate([ids, end])
-                digests, start = [], 0
-                for stop in cuts(ids):
-                    payload = ids[start:stop].tobytes()
+        ids_of, texts, at = b.column("doc_id"), b.column("text").to_pylist(), 0
+        for part in chunks_of(texts, SLICE):
+            ids, edges = encoder(part)
+            marked, data, width = marks(ids), ids.tobytes(), encoder.width
+            within = np.searchsorted(marked, edges, "right").tolist()
+            edges = edges.tolist()
+            lengths, roots, recipes, chunks = [], [], [], {}
+            for k in range(len(part)):
+                start, stop = edges[k], edges[k + 1]
+                n = stop - start + 1  # with the end id
+                last, digests = 0, []
+                for cut in cuts(n, (marked[within[k] : within[k + 1]] - start).tolist()):
+                    payload = data[(start + last) * width : min(start + cut, stop) * width] + (end if cut == n else b"")
                     digests.append(key := digest(payload))
                     if key not in sent:
                         sent.add(key)
-                        chunks.append({"kind": 1, "n": stop - start, "digest": key, "payload": payload})
-                    start = stop
-                recipes.append({"kind": 0, "doc_id": doc_id, "n": len(ids), "root": merkle_root(digests), "digests": digests})
-            at += len(part)
-            yield pa.RecordBatch.from_pylist(recipes + chunks, schema=schema)
-
-
-def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
+                        chunks[key] = payload
+                    last = cut
+                lengths.append(n)
+                roots.append(merkle_root(digests))
+                recipes.append(digests)
+            rows, more = len(part), len(chunks)
+            columns = [
+                pa.array([0] * rows + [1] * more, pa.int32()), pa.concat_arrays([ids_of.slice(at, rows), pa.nulls(more, pa.int64())]), pa.array(lengths + [len(p) // width for p in chunks.values()], pa.int64()),
+                pa.array(roots + [None] * more, pa.binary()), pa.array(recipes + [None] * more, pa.list_(pa.binary())), pa.array([None] * rows + list(chunks), pa.binary()), pa.array([None] * rows + list(chunks.values()), pa.binary()),
+            ]
+            at += rows
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, part_docs: int = PART_DOCS) -> None:
     """Writes docs (doc_id, text) as a store at path."""
     spark = docs.sparkSession
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _encode(b, tokenizer, end_id), _PARTS)
@@ -155,21 +250,62 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
     made.mapInArrow(once, _PARTS).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/loose")
     loose = _loose(spark, path, 0).select("doc_id", F.col("n").alias("n_tokens"), "root", "digests")
-    ranged = loose.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root")).withColumn("part", F.spark_partition_id())
-    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").write.option("compression", "zstd").parquet(f"{path}/ordered")
+    n_parts = max(1, -(-loose.count() // part_docs))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root")]
+    ranged = loose.repartitionByRange(n_parts, *order, F.rand(7)).withColumn("part", F.spark_partition_id())  # equal rows are dealt out too
+    ranged.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{path}/ordered")
     ordered = spark.read.parquet(f"{path}/ordered")
-    parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row for each partition
+    parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each PART_DOCS documents
     total, starts = 0, []
     for r in parts:
         starts.append((r["part"], total))
         total += r["n"]
-    in_part = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root")
+    in_part = Window.partitionBy("part").orderBy(*order)
     running = F.coalesce(F.sum("n_tokens").over(in_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    recipes = ordered.withColumn("start", running).join(small(spark, starts, "part int, base long"), "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
-    recipes.select("part", "doc_id", "start", "n_tokens", "root", "digests").sortWithinPartitions("part", F.col("start")).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"]))
-    manifest = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
-    manifest.write.parquet(f"{path}/manifest")
+    recipes = ordered.withColumns({"start": running, "pos": F.row_number().over(in_part) - 1}).join(small(spark, starts, "part int, base long"), "part").withColumn("start", F.col("start") + F.col("base"))
+    recipes.select("part", "pos", "doc_id", "start", "n_tokens", "root", "digests").sortWithinPartitions("part", "pos").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    _tree(spark, path).write.option("compression", "zstd").parquet(f"{path}/manifest")
+
+
+_NODES = "level int, part int, pos int, n_docs long, n_tokens long, root binary"
+
+
+def _tree(spark: SparkSession, path: str, fan: int = FAN) -> DataFrame:
+    """The nodes of the Merkle tree over the recipes at path (see the module's text)."""
+
+    def above(nodes: DataFrame, level: int, part) -> DataFrame:
+        members = F.sort_array(F.collect_list(F.struct("part", "pos", "root")))  # fan at most
+        grouped = nodes.groupBy(part.alias("part"), F.floor(F.col("pos") / fan).cast("int").alias("pos")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.transform(members, lambda m: m["root"]).alias("roots"))
+
+        def run(batches):
+            for b in batches:
+                roots = pa.array([merkle_root(r) for r in b.column("roots").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([level] * b.num_rows, pa.int32()), *[b.column(c) for c in ("part", "pos", "n_docs", "n_tokens")], roots], names=["level", "part", "pos", "n_docs", "n_tokens", "root"])
+
+        return written(grouped.mapInArrow(run, _NODES), "merkle")
+
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "pos", "root", F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+    levels = [above(recipes, 0, F.col("part"))]
+    while levels[-1].where("pos > 0").limit(1).count():  # up to one node for each part
+        levels.append(above(levels[-1], len(levels), F.col("part")))
+    roots = levels[-1].withColumns({"pos": F.col("part"), "part": F.lit(-1)})
+    levels.append(above(roots, len(levels), F.col("part")))
+    while levels[-1].where("pos > 0").limit(1).count():
+        levels.append(above(levels[-1], len(levels), F.col("part")))
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.union(x)
+    return out
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Raises ValueError if the manifest at path isn't the tree over the recipes there."""
+    keys, values = ["level", "part", "pos"], ["n_docs", "n_tokens", "root"]
+    stored = spark.read.schema(_NODES).parquet(f"{path}/manifest").select(*keys, F.struct(*values).alias("stored"))
+    built = _tree(spark, path).select(*keys, F.struct(*values).alias("built"))
+    bad = stored.join(built, keys, "full_outer").where(~F.col("stored").eqNullSafe(F.col("built"))).orderBy(F.desc("level")).limit(1).collect()
+    if bad:
+        raise ValueError(f"the manifest differs from the recipes at level {bad[0]['level']}, part {bad[0]['part']}, node {bad[0]['pos']}")
 
 
 def _loose(spark: SparkSession, path: str, kind: int) -> DataFrame:
@@ -232,7 +368,8 @@ def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, n_chunks, root (hex) of each document, verified down to the chunks."""
+    """doc_id, start, n_tokens, ids_crc32, n_chunks, root (hex) of each document, verified from the manifest down to the chunks."""
+    verify_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     distinct = recipes.groupBy("root").agg(F.first("digests").alias("digests"))
     slots = distinct.select("root", F.posexplode("digests").alias("pos", "digest"))
