@@ -104,12 +104,11 @@ def test_quality_drops_bad_hosts_and_keeps_good_rows(spark):
     assert quality_rules.kept_documents(df.limit(0)).count() == 0
 
 
-def test_simhash_matches_brute_force(spark):
+def test_simhash_matches_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = [" ".join(rng.choice([f"w{k}" for k in range(50)], 80)) for _ in range(20)]
     texts = [*ODD, *base, *[b + " tail" for b in base], *base[:5], *["x y z" for _ in range(4)]]
     for max_cell in (256, 2):
-        old, simhash.MAX_CELL = simhash.MAX_CELL, max_cell
         fps = [simhash.fingerprint(t) for t in texts]
         root = list(range(len(fps)))
         changed = True
@@ -121,11 +120,44 @@ def test_simhash_matches_brute_force(spark):
                         root[i], changed = root[j], True
         distinct = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
         linked = {r.node: r.root for r in simhash.components(simhash.links(distinct, max_cell=max_cell)).collect()}
+        monkeypatch.setattr(simhash, "MAX_CELL", max_cell)
         got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
-        simhash.MAX_CELL = old
         assert [got[i].component_id for i in range(len(texts))] == root
-        same = {(fps[i] in linked and fps[j] in linked and linked[fps[i]] == linked[fps[j]]) or fps[i] == fps[j] for i in range(len(fps)) for j in range(len(fps)) if root[i] == root[j]}
-        assert same == {True}
+        for i in range(len(fps)):
+            for j in range(len(fps)):
+                assert (linked.get(fps[i], fps[i]) == linked.get(fps[j], fps[j])) == (root[i] == root[j])
+
+
+def test_simhash_links_of_dense_bins(spark):
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63, 12)]
+    flip = lambda x, bits: int(np.int64(np.uint64(x & (2**64 - 1)) ^ np.uint64(sum(1 << int(b) for b in bits))))
+    fps = sorted({flip(x, rng.choice(64, n, False)) for x in base for n in (0, 1, 2, 3, 3, 4, 5)} | {flip(base[0], rng.choice(16, n, False)) for n in (1, 2, 3, 4) for _ in range(10)})
+    near = lambda a, b, r: bin((a ^ b) & (2**64 - 1)).count("1") <= r
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for radius in (0, 1, 2):
+        root = {f: f for f in fps}
+        for _ in range(8):
+            for a in fps:
+                for b in fps:
+                    if root[b] < root[a] and near(a, b, radius):
+                        root[a] = root[b]
+        for max_cell in (256, 3, 0):
+            edges = simhash.links(df, radius, max_cell)
+            if max_cell == 256:
+                assert {tuple(r) for r in edges.collect()} == {(a, b) for a in fps for b in fps if a < b and near(a, b, radius)}
+            linked = {r.node: r.root for r in simhash.components(edges).collect()}
+            assert {f: linked.get(f, f) for f in fps} == root
+
+
+def test_deduplicated_keeps_rows_of_repeated_ids(spark):
+    kept = lambda rows: sorted((tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, hash string")).collect()), key=str)
+    a, b, x, y, z = "alpha one two", "beta three four", "gamma five", "delta six", "eps seven"
+    assert kept([(0, a, "h"), (1, b, "h"), (1, a, "h")]) == [(0, a, "h"), (1, b, "h")]
+    want = [(1, a, "h"), (1, b, "h"), (7, z, "h"), (None, x, "h"), (None, y, "h")]
+    assert kept(want) == sorted(want, key=str)
+    assert kept([(1, a, "h"), (1, a, "h"), (2, a, "h"), (3, None, "h"), (4, "", "i")]) == [(1, a, "h"), (3, None, "h")]
+    assert kept([]) == [] and simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
 def test_components_of_chains_and_stars(spark):

@@ -401,7 +401,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES,
     blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-size // part_bytes))
     groups = max(1, -(-blocks // merged_blocks))
     docs = docs.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = docs.select("blk", "text", F.col("train").cast("int").alias("train")).repartition(blocks, "blk").sortWithinPartitions("blk", "train")
+    dealt = docs.select("blk", "text", F.col("train").cast("int").alias("train")).repartitionById(blocks, "blk").sortWithinPartitions("blk", "train")
     facts = written(dealt.mapInArrow(lambda b: _facts(b, depth, parts), _PACKED), "lm-facts")
     sums = facts.withColumn("share", F.pmod("blk", F.lit(groups)))
     for by in (["kind", "part", "share"], ["kind", "part"])[groups == 1 :]:
@@ -420,7 +420,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES,
     back = both.mapInArrow(_answered, "blk int, kind int, keys binary, values binary")
     no_id, no_text, no_data = F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("binary")
     rows = back.select("blk", "kind", "keys", "values", no_id.alias("doc_id"), no_text.alias("text"))
-    rows = rows.union(docs.select("blk", F.lit(TEXTS), no_data, no_data, "doc_id", "text")).repartition(blocks, "blk").sortWithinPartitions("blk", "kind")
+    rows = rows.union(docs.select("blk", F.lit(TEXTS), no_data, no_data, "doc_id", "text")).repartitionById(blocks, "blk").sortWithinPartitions("blk", "kind")
     out = rows.mapInArrow(lambda b: _scores(b, depth, total, distinct), "doc_id long, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return out.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).withColumn("train_tokens", F.lit(total).cast("long"))
 

@@ -3,21 +3,25 @@
 Fingerprints are made once per text and written. Equal fingerprints are one class; what follows works
 on distinct fingerprints, so copies never multiply.
 
-Candidates: two fingerprints at most RADIUS = 2 bits apart agree wholly on at least two of four
-16-bit blocks, so each fingerprint goes to six cells (a pair of blocks and their bits). A table of
-Hamming distances to PIVOTS reference fingerprints is precomputed; by the triangle inequality a pair
-of a cell is discarded if any coordinate differs by more than RADIUS, and survivors are verified by
-the exact distance. Cells with more than MAX_CELL members, where pairs would grow with the square,
-are handled in an exact linear way instead: each member is written at its 65 points within one bit,
-and fingerprints that share a point (65 at most do) are linked to the least of them; two fingerprints
-at most 2 bits apart always share one.
+A table of Hamming distances to PIVOTS reference fingerprints is computed and written once for each
+distinct fingerprint. By the triangle inequality two fingerprints at most RADIUS = 2 bits apart differ
+by at most RADIUS in each coordinate. The join key uses both this and the bits: the fingerprints also
+agree wholly on at least two of four 16-bit blocks, so each goes to six cells (a pair of blocks and
+their bits) and there to its bin of distances to the first pivot (RADIUS + 1 wide), as a guest also to
+the next bin: two fingerprints in reach meet in the higher one's bin. Pairs of which another coordinate
+differs by more are discarded, survivors are verified by the exact distance. Bins with more than
+MAX_CELL members, where pairs would grow with the square, are handled in an exact linear way: each
+member is written at its 65 points within one bit, and fingerprints that share a point (65 at most do)
+are linked to the least of them; two fingerprints at most 2 bits apart always share one. The result is
+the same either way.
 
 Links become components by alternating large-star and small-star steps, each a pair of joins over
 edges written to the shared folder.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; fewer words
 than a shingle make one shingle of all words; rows with equal ids keep their own rows; null ids have
-no say in component_id unless all ids of a component are null; no rows give no rows.
+no say in component_id unless all ids of a component are null; ties go to the least fingerprint; texts of
+any length are read whole; no rows give no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import table, written
+from waymark.llm.common import forgotten, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -54,14 +58,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (long) of each row, written to the shared folder."""
+    """doc_id, fp (long) and hash (xxhash64 of the text) of each row, written to the shared folder."""
 
     def run(batches):
         for b in batches:
             found = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64()), b.column("hash")], names=["doc_id", "fp", "hash"])
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long"), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+    return written(rows.mapInArrow(run, "doc_id long, fp long, hash long"), "fingerprints")
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -69,34 +74,41 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(f"pivot {i}", SEED)).view(np.int64)) for i in range(n)]
 
 
-def cells(fps: DataFrame) -> DataFrame:
-    """fp, cell, bits: the six cells of each fingerprint."""
+def _distance(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """fp and its distances to all pivots, written."""
+    return written(fps.select("fp", F.array(*[_distance(F.col("fp"), F.lit(p).cast("long")).cast("tinyint") for p in pivots()]).alias("to_pivots")), "pivots")
+
+
+def cells(table: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, cell, bits, bin, home: the six cells of each fingerprint, in its bin of distances to the first pivot and, as a guest, in the next bin."""
     width = 64 // _BLOCKS
     masks = [sum((1 << width) - 1 << (width * b) for b in (i, j)) for i in range(_BLOCKS) for j in range(i)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    each = F.array(*[F.struct(F.lit(i).alias("cell"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)])
-    return fps.select("fp", F.inline(each))
+    each = F.array(*[F.struct(F.lit(i).alias("cell"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits"), F.lit(home).alias("home")) for i, m in enumerate(signed) for home in (True, False)])
+    out = table.select("fp", F.floor(F.col("to_pivots")[0] / (radius + 1)).cast("int").alias("b"), F.inline(each))
+    return out.select("fp", "cell", "bits", F.when(F.col("home"), F.col("b")).otherwise(F.col("b") + 1).alias("bin"), "home")
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def links(fps: DataFrame, radius: int = RADIUS, max_cell: int = MAX_CELL) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, max_cell: int | None = None) -> DataFrame:
     """Edges (a, b), a < b, over distinct fingerprints fps (fp); transitively the same as all pairs within the radius (2 at most)."""
     if not 0 <= radius <= 2:
         raise ValueError("cells are exact for a radius of 0, 1 or 2")
-    own = cells(fps)
-    size = own.groupBy("cell", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = written(own.join(size, ["cell", "bits"]), "cells")
-
-    table_of = F.array(*[_distance(F.col("fp"), F.lit(p).cast("long")) for p in pivots()])
-    sparse = crowded.where(F.col("n") <= max_cell).withColumn("to_pivots", table_of)
-    left = sparse.select("cell", "bits", F.col("fp").alias("a"), F.col("to_pivots").alias("ta"))
-    right = sparse.select("cell", "bits", F.col("fp").alias("b"), F.col("to_pivots").alias("tb"))
+    max_cell, keys = MAX_CELL if max_cell is None else max_cell, ["cell", "bits", "bin"]
+    table = pivot_table(fps)
+    own = cells(table, radius)
+    size = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = written(own.join(size, keys), "cells")
+
+    sparse = crowded.where(F.col("n") <= max_cell).join(table, "fp")
+    left = sparse.select(*keys, F.col("fp").alias("a"), F.col("to_pivots").alias("ta"), F.col("home").alias("at_home"))
+    right = sparse.where("home").select(*keys, F.col("fp").alias("b"), F.col("to_pivots").alias("tb"))
     apart = [F.abs(F.col("ta")[k] - F.col("tb")[k]) for k in range(PIVOTS)]
-    survivors = left.join(right, (left["cell"] == right["cell"]) & (left["bits"] == right["bits"]) & (F.col("a") < F.col("b")) & (F.greatest(*apart) <= radius))
-    verified = survivors.where(_distance(F.col("a"), F.col("b")) <= radius).select("a", "b")
+    survivors = left.join(right, keys).where((~F.col("at_home") | (F.col("a") < F.col("b"))) & (F.greatest(*apart) <= radius))
+    verified = survivors.where(_distance(F.col("a"), F.col("b")) <= radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     dense = crowded.where(F.col("n") > max_cell).select("fp").distinct()
     steps = [F.lit(0).cast("long")] + ([F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)] if radius else [])
@@ -123,36 +135,56 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         hung = large.join(low, "b")
         small = hung.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b")).distinct()
-        edges = written(small, "edges")
+        last, edges = edges, written(small, "edges")
         before, now = now, state(edges)
+        forgotten(last)
         if before == now:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (long), component_id of each row of docs (doc_id, text)."""
+    """doc_id, fp (long), hash, component_id and component (the least fp reachable) of each row of docs (doc_id, text)."""
     marked = fingerprints(docs, shingle)
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    linked = components(links(classes.select("fp"), radius))
-    grouped = classes.join(linked, classes["fp"] == linked["node"]).select("fp", "root", "first")
+    return labelled(marked, classes, components(links(classes.select("fp"), radius)), "fp")
+
+
+def labelled(marked: DataFrame, classes: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """marked with component and component_id (its least doc_id); classes: key, first (its least doc_id); linked: node, root of keys with a link."""
+    roots = linked.select(F.col("node").alias("__node"), "root")
+    grouped = classes.join(roots, classes[key] == roots["__node"]).select(key, "root", "first")
     best = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    least = grouped.join(best, "root").select(F.col("fp").alias("__fp"), "least")
-    labels = classes.join(least, classes["fp"] == least["__fp"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    least = grouped.join(best, "root").select(F.col(key).alias("__key"), "root", "least")
+    labels = classes.join(least, classes[key] == least["__key"], "left").select(key, F.coalesce("root", key).alias("component"), F.coalesce("least", "first").alias("component_id"))
+    return marked.join(written(labels, "labels"), key)  # written, so that a hot key's rows can be dealt out
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each component: that with the smallest id, of equal ids any one; rows with a null id stay."""
+    """One row of docs for each component (see first_of_each)."""
     return first_of_each(docs, near_duplicates(docs, shingle, radius))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose id is that of their component; found: doc_id, component_id."""
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    """The first row of docs of each component, with docs' columns: that with the least id, then the least hash of its text.
+
+    found: doc_id, hash (xxhash64 of the text) and component of each row. Rows with a null id stay. Rows
+    are told apart by id and hash, so rows with one id and different texts are judged each by its own;
+    of rows with equal ids and texts any one stays, and only such rows are shuffled whole.
+    """
+    named = found.where("doc_id IS NOT NULL").groupBy("doc_id", "hash").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
+    named = written(named, "marked")
+    first = written(named.groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"), "firsts")
+    gone = named.join(first, "component").where(F.struct("doc_id", "hash") != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.lit(True).alias("gone"))
+    twice = named.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.lit(False).alias("gone"))
+    marks = written(gone.union(twice.join(gone, ["__id", "__hash"], "left_anti")), "duplicates")
+    is_row = lambda m: (docs["doc_id"] == m["__id"]) & (F.xxhash64(docs["text"]) == m["__hash"])
+    out = docs.join(marks, is_row(marks), "left_anti")
+    repeated = marks.where("NOT gone")
+    if not repeated.isEmpty():
+        again = docs.join(repeated, is_row(repeated), "left_semi").withColumn("__hash", F.xxhash64("text"))
+        out = out.union(again.dropDuplicates(["doc_id", "__hash"]).select(out.columns))
+    return out
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:

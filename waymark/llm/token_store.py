@@ -53,9 +53,9 @@ _GEAR = np.array([int.from_bytes(hashlib.blake2b(b"gear %d" % i, digest_size=8).
 #: Documents for each part of the recipes, and nodes for each node of the manifest.
 PART_DOCS, FAN = 100_000, 1024
 #: Words and other pieces that a worker remembers at most, in two generations (see _remembered).
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Characters of text that are encoded together.
-SLICE = 6_000_000
+SLICE = 3_000_000
 _WHITE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 _ODD = f"^ | $|{_WHITE} | {_WHITE}"
 #: Letters, then signs that no pre-token joins to letters before or after them (the apostrophe is none of them).
