@@ -375,26 +375,131 @@ def test_stage_removes_copies_of_similarity_over_08(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [*[(False, i) for i, r in enumerate(root) if r == i], (True, 0)]
 
 
+def brute_language(rows):
+    """(best language, share of its n-grams) of each text by exact sets: the rule of language_id without filters."""
+    import re
+    from collections import Counter
+
+    def grams(text):
+        letters = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+        padded = f" {letters} ".ljust(4)
+        return [padded[i : i + 4] for i in range(len(padded) - 3)] if letters else []
+
+    counts = {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    most = {}
+    for lang, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most.get(g, 0), n / totals[lang])
+    own = {lang: {g for g, n in c.items() if n >= language_id.MIN_COUNT and n / totals[lang] >= language_id.SHARE * most[g]} for lang, c in counts.items()}
+    out = []
+    for text, _ in rows:
+        g = grams(text)
+        shares = {lang: sum(x in s for x in g) / len(g) for lang, s in sorted(own.items())} if g else {}
+        best = max(shares, key=shares.get, default="und")
+        out.append((best, shares.get(best, 0.0)))
+    return out
+
+
+def brute_kept(rows):
+    """Whether the quality stage keeps each (text, source)."""
+    failed = []
+    for text, _ in rows:
+        w = [x.decode() for x in (text or "").encode().split()]
+        base = len(w) < 20 or 100 * brute_repeats(w) > 30 * len(w)
+        failed.append(base or 100 * sum((text or "").count(c) for c in "#*$%&|<>") > 50 * len(w))
+    by = {}
+    for (_, host), f in zip(rows, failed):
+        by.setdefault(host, []).append(f)
+    rates = [sum(x) / len(x) for x in by.values()]
+    mean, avg = sum(failed) / len(failed), sum(rates) / len(rates)
+    var = sum((r - avg) ** 2 for r in rates) / len(rates)
+    strength = max(1.0, avg * (1 - avg) / var - 1) if var > 1e-12 else len(failed)
+    return [not f and (sum(by[host]) + mean * strength) / (len(by[host]) + strength) <= 0.5 for (_, host), f in zip(rows, failed)]
+
+
+def brute_passes(rows):
+    """How often the mix takes each (doc_id, text, source)."""
+    sizes = [len((t or "").encode().split()) for _, t, _ in rows]
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    total = {n: sum(s for s, r in zip(sizes, rows) if r[2] == n) for n in names}
+    target, free, left = {}, set(names), sum(sizes)
+    weight = {n: 1 + i % 3 for i, n in enumerate(names)}
+    while True:
+        share = {n: left * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = [n for n in free if share[n] > 3 * total[n]]
+        if not over:
+            break
+        for n in over:
+            target[n] = 3 * total[n]
+        left, free = left - sum(3 * total[n] for n in over), free - set(over)
+    target |= share
+    out = {}
+    for n in names:
+        full, rest = divmod(round(target[n]), total[n]) if total[n] else (0, 0)
+        before = 0
+        for _, i in sorted((hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest(), i) for i, r in enumerate(rows) if r[2] == n):
+            out[i] = full + (sizes[i] > 0 and 2 * before + sizes[i] <= 2 * rest)
+            before += sizes[i]
+    return [min(3, out[i]) for i in range(len(rows))]
+
+
+def brute_components(texts):
+    """The first of the texts of each one's group, linked by five-word shingles of a similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    root = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if root[j] < root[i] and len(a & b) >= 0.8 * len(a | b):
+                    root[i], changed = root[j], True
+    return root
+
+
 def test_pipeline_against_brute_force(spark):
+    """Each stage on its predecessor's rows, with clashing columns, a null, an empty and a repeated row besides."""
     import corpus_pipeline
+    import tiktoken
 
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
-    d = table
-    sizes = []
+    odd = spark.createDataFrame([(10**6, None, None, None, 0), (10**6 + 1, "", "en", None, 0), (10**6 + 2, "12 34", None, "s", 0)], table.schema)
+    clash = {"lang_pred": F.lit("x"), "score": F.lit(-5.0), "kept": F.lit(7), "size": F.lit("s"), "fp": F.lit(1), "passes": F.lit(2)}
+    d = table.union(odd).union(table.limit(1)).withColumns(clash)
+    rows = [tuple(r) for r in d.collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        d = stage(spark, d, None).cache()
-        assert d.columns == table.columns
-        sizes.append(d.count())
-    texts = {r.doc_id: r.text for r in table.collect()}
-    kept = {r.doc_id for r in stages["simhash_dedup"](spark, table, None).collect()}
-    fps = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    root = {i: i for i in sorted(fps)}
-    for _ in range(5):
-        for i in root:
-            for j in root:
-                if root[j] < root[i] and bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") <= 2:
-                    root[i] = root[j]
-    assert kept == {i for i in root if root[i] == i}
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() == sizes[-1] and out.where("n_tokens > 0").count() == sizes[-1]
+        own = stage(spark, d, None)
+        assert own.columns == d.columns
+        got = sorted((tuple(r) for r in own.collect()), key=repr)
+        if name == "language_id":
+            found = brute_language([(r[1], r[2]) for r in rows])
+            sure = [abs(s - corpus_pipeline.MIN_SCORE) > 0.02 for _, s in found]
+            assert all(sure)
+            want = [r for r, (lang, s) in zip(rows, found) if lang != "und" and s >= corpus_pipeline.MIN_SCORE]
+            predicted = {r.doc_id: r for r in language_id.predict(table, language_id.fit(d)).collect()}
+            for r, (lang, s) in zip(rows, found):
+                if r[0] in predicted:
+                    assert predicted[r[0]].lang_pred == lang and abs(predicted[r[0]].score - s) < 0.02
+        elif name == "quality_rules":
+            want = [r for r, k in zip(rows, brute_kept([(r[1], r[3]) for r in rows])) if k]
+        elif name == "simhash_dedup":
+            ordered = sorted(rows, key=lambda r: r[0])
+            want = [r for i, (r, c) in enumerate(zip(ordered, brute_components([r[1] for r in ordered]))) if c == i]
+        else:
+            want = [r for r, n in zip(rows, brute_passes([(r[0], r[1], r[3]) for r in rows])) for _ in range(n)]
+        assert got == sorted(want, key=repr), name
+        assert 0 < len(got) and (name == "mixing" or len(got) < len(rows))
+        rows, d = got, spark.createDataFrame(got, d.schema)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.RANKS)), special_tokens={})
+    want = sorted((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest()) for r in rows for ids in [enc.encode_ordinary(r[1])])
+    assert sorted(tuple(r) for r in corpus_pipeline.STAGES[-1][1](spark, d, None).collect()) == want
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table.limit(0), None).count() == 0
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0

@@ -10,9 +10,12 @@ Spark adds them up, and an n-gram belongs to a language if it is at least SHARE
 there as where it is most frequent. The filter's size is fixed (SLOTS words of 8 bytes for each 64
 languages), whatever the corpus, so it can be sent to every executor.
 
+An n-gram seen less than MIN_COUNT times in a language isn't one of that language's.
+
 Defined cases: null text or text without a letter gives ``und`` with score 0; texts shorter than the
 n-gram are padded with blanks; without any training row every prediction is ``und``; ties go to the
-language that sorts first; repeated rows are predicted alike.
+language that sorts first; repeated rows are predicted alike; texts of any length are read whole; of
+other columns, lang_pred and score are replaced by predict() (rename them before to keep them).
 """
 
 from __future__ import annotations
@@ -118,8 +121,6 @@ def fit(labelled: DataFrame, n: int = N, slots: int = SLOTS, hashes: int = HASHE
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counts = rows.mapInArrow(lambda b: _counts(b, n), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))  # as many entries as there are languages
-
-
     counts = written(counts, "lang-grams")
     totals = {r["lang"]: r["n"] for r in counts.select(F.inline("by")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
@@ -162,8 +163,6 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
-
-
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc(F.col("doc_id")) % 4 == 2
     model = fit(docs.where(~held_out))

@@ -15,7 +15,8 @@ level L with sum(min(cap, L * weight)) = total.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source of its own, last; no
 document exceeds MAX_PASSES times its size; no rows give no rows; rows with equal ids share their
-place in the order and are told apart by size, then taken alike.
+place in the order and are told apart by size, then taken alike; more than MAX_PATTERNS membership
+patterns raise an error; the stage (repeated) keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ from waymark.llm.common import small, table, word_count, written
 MAX_PASSES = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
-_RANGES = 3  # hex digits of the seeded hash: 4096 ranges
+#: Documents for each range of the seeded hash: ranges are named by as many hex digits as that takes, three at least.
+RANGE_DOCS = 100_000
+#: Membership patterns at most: their sums and the flow are worked out on the driver, a few rows for each.
+MAX_PATTERNS = 100_000
 
 
 def targets(sizes: list[int], weights: list[int], max_passes: int = MAX_PASSES) -> list[float]:
@@ -103,8 +107,7 @@ def _keyed(docs: DataFrame, id_col: str, sources: str, seed: str) -> DataFrame:
     """docs with __pattern, __order (seeded) and __range (of the order)."""
     names = F.sort_array(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    out = docs.withColumn("__pattern", F.to_json(F.struct(names.alias("s")), {"ignoreNullFields": "false"})).withColumn("__order", order)
-    return out.withColumn("__range", F.substring("__order", 1, _RANGES))
+    return docs.withColumn("__pattern", F.to_json(F.struct(names.alias("s")), {"ignoreNullFields": "false"})).withColumn("__order", order)
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", sources: str = "sources", size: str = "size", max_passes: int = MAX_PASSES, seed: str = SEED) -> tuple[DataFrame, dict]:
@@ -114,7 +117,11 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", sources: str = "sources",
     aggregated on Spark and only these aggregates, one row for each pattern, come to the driver.
     """
     docs = _keyed(docs, id_col, sources, seed)
-    sums = docs.groupBy("__pattern").agg(F.sum(size).cast("long").alias("tokens"), F.first(sources).alias("names")).collect()  # one row for each membership pattern
+    sums = docs.groupBy("__pattern").agg(F.sum(size).cast("long").alias("tokens"), F.first(sources).alias("names"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()  # one row for each membership pattern
+    if len(sums) > MAX_PATTERNS:
+        raise ValueError(f"over {MAX_PATTERNS} membership patterns: merge rare sources first")
+    digits = max(3, math.ceil(math.log(max(1, sum(r["n"] for r in sums) / RANGE_DOCS), 16)))
+    docs = docs.withColumn("__range", F.substring("__order", 1, digits))
     key = lambda s: (s is None, s if s is not None else "")
     pattern = {r["__pattern"]: tuple(sorted(set(r["names"] or ()), key=key)) for r in sums}
     capacity: dict[tuple, int] = {}
@@ -130,7 +137,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", sources: str = "sources",
     full = small(docs.sparkSession, rows, "__pattern string, __full long, __rest long")
     ranges = docs.groupBy("__pattern", "__range").agg(F.sum(size).alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("__pattern").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("__before", before).join(full, "__pattern")  # 16 ** _RANGES rows for each pattern at most
+    ranges = ranges.withColumn("__before", before).join(full, "__pattern")  # a row for each pattern and range
     split = written(ranges.where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("s") > F.col("__rest"))).select("__pattern", "__range", "__before", "__rest"), "mix-ranges")
     inside = docs.join(split, ["__pattern", "__range"])  # one range of each pattern
     running = F.sum(size).over(Window.partitionBy("__pattern").orderBy("__order", id_col, size).rowsBetween(Window.unboundedPreceding, -1))
@@ -145,9 +152,10 @@ def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", sources:
     """docs with passes: how often the mix takes each document. Only the plan, a row for each pattern, is joined."""
     docs = _keyed(docs, id_col, sources, seed).join(plan, "__pattern")
     within = F.struct("__order", F.col(id_col).alias("id"), F.col(size).alias("size")) <= F.col("__last")
-    more = (F.col("__range") < F.col("__split")) | ((F.col("__range") == F.col("__split")) & F.coalesce(within, F.lit(False)))
+    own = F.expr("left(__order, length(__split))")
+    more = (own < F.col("__split")) | ((own == F.col("__split")) & F.coalesce(within, F.lit(False)))
     out = docs.withColumn("passes", F.least(F.col("__full") + F.coalesce(more, F.lit(False)).cast("long"), F.lit(max_passes)))
-    return out.drop("__pattern", "__order", "__range", "__full", "__split", "__last")
+    return out.drop("__pattern", "__order", "__full", "__split", "__last")
 
 
 def mixed(docs: DataFrame, **options) -> tuple[DataFrame, dict]:
