@@ -53,12 +53,52 @@ SELECT p_brand AS model_name, p_partkey AS version, p_size % 17 = 0 AS is_defaul
   CASE p_partkey % 3 WHEN 0 THEN 'evaluated' WHEN 1 THEN 'registered' ELSE 'deprecated' END AS status, p_retailprice AS score FROM part
 """
 
-_SOURCE = {"raw": (RAW, "orders"), "reference": (REFERENCE, "customer"), "result": (RESULT, "orders"), "gold": (GOLD, "orders"), "job": (JOB, "events"), "model": (MODEL, "part")}
+_KEPT = "'default' AS workspace_name, CASE WHEN raw_id % 97 = 0 THEN -raw_id ELSE raw_id END AS raw_id"
+
+#: What a candidate and the active model say; a few rows have no result under their id.
+CANDIDATE = f"""
+SELECT {_KEPT}, CASE WHEN raw_id % 29 = 0 THEN 'review' ELSE decision END AS decision, building_type,
+  CASE WHEN raw_id % 31 = 0 THEN concat('# ', unit_number) ELSE unit_number END AS unit_number, confidence
+FROM ({RESULT}) r
+"""
+
+ACTIVE = f"""
+SELECT 'default' AS workspace_name, raw_id, CASE WHEN raw_id % 37 = 0 THEN 'reject' ELSE decision END AS decision,
+  CASE WHEN raw_id % 41 = 0 THEN 'commercial' ELSE building_type END AS building_type, unit_number, confidence
+FROM ({RESULT}) r
+"""
+
+CASE = f"""
+SELECT case_id, x_number, x_street, x_kind, x_unit, x_building, x_decision,
+  concat('{{"street_number":"', x_number, '","street_name":"', x_street, '"', CASE x_kind WHEN 'absent' THEN '' WHEN 'null' THEN ',"unit_number":null' ELSE concat(',"unit_number":"# ', x_unit, '"') END,
+    ',"building_type":"', x_building, '","decision":"', x_decision, '"}}') AS expected
+FROM (SELECT o_orderkey AS case_id, CAST(o_custkey % 100 + 1 AS STRING) AS x_number, CASE o_custkey % 7 WHEN 0 THEN {_STREETS} AS x_street,
+    CASE o_orderkey % 4 WHEN 0 THEN 'absent' WHEN 1 THEN 'null' ELSE 'given' END AS x_kind, CAST(o_orderkey % 40 + 1 AS STRING) AS x_unit,
+    CASE o_orderkey % 3 WHEN 0 THEN 'single_unit' WHEN 1 THEN 'multi_unit' ELSE 'commercial' END AS x_building,
+    CASE o_custkey % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'review' WHEN 2 THEN 'reject' ELSE 'enrich' END AS x_decision FROM orders)
+"""
+
+QUEUE = """
+SELECT event_id AS queue_id, 'default' AS workspace_name, 'address_cleaning_result' AS source_name, CASE WHEN event_id % 50 = 0 THEN '' ELSE CAST(user_id AS STRING) END AS source_id,
+  event_type AS task_type, event_id % 3 AS priority, CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'exported' WHEN 2 THEN 'labeled' WHEN 3 THEN 'queued' ELSE 'queued' END AS status FROM events
+"""
+
+EVALUATED = """
+SELECT p_partkey AS model_id, concat('w', CAST(p_size % 5 AS STRING)) AS workspace_name, CASE p_partkey % 3 WHEN 0 THEN 'evaluated' WHEN 1 THEN 'registered' ELSE 'deprecated' END AS status,
+  p_partkey % 1000 AS created_at, p_partkey % 997 AS updated_at, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_retailprice / CAST(1500 AS DOUBLE) END AS decision_f1,
+  p_retailprice / CAST(1800 AS DOUBLE) AS metric_value, CAST(1 AS DOUBLE) AS building_type_f1, CAST(1 AS DOUBLE) AS unit_number_f1, CAST(0.9 AS DOUBLE) AS unit_recall, CAST(0.9 AS DOUBLE) AS commercial_f1,
+  CAST(0.1 AS DOUBLE) AS review_rate, CAST(0.05 AS DOUBLE) AS reject_rate, CAST(0 AS DOUBLE) AS regression_risk, p_partkey % 2 AS replay_failures, CAST(100 AS BIGINT) AS processed_samples,
+  p_partkey % 5 <> 0 AS promote_recommended, CAST(0 AS DOUBLE) AS shadow_advantage, CAST(0.05 AS DOUBLE) AS disagreement_rate FROM part
+"""
+
+_SOURCE = {"candidate": (CANDIDATE, "orders"), "active": (ACTIVE, "orders"), "cases": (CASE, "orders"), "queue": (QUEUE, "events"), "evaluated": (EVALUATED, "part")}
+_SOURCE |= {"raw": (RAW, "orders"), "reference": (REFERENCE, "customer"), "result": (RESULT, "orders"), "gold": (GOLD, "orders"), "job": (JOB, "events"), "model": (MODEL, "part")}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """raw, reference, result, gold, job or model, derived from the table in sf_dir."""
+    """raw, reference, result, gold, job, model, candidate, active, cases, queue or evaluated, derived from the table in sf_dir."""
     sql, table = _SOURCE[name]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(sql.replace(f"FROM {table}", "FROM {" + table + "}"), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
 
 

@@ -19,6 +19,15 @@ LEVEL_PREFIX = r"^\s*(LEVEL|FLOOR|FL)\s*(\d+)\s+(\d+[A-Za-z]?)\s+([^,]+)"
 STREET_STANDARD = r"^\s*(?:(?:" + UNIT_WORDS + r")\s*[\w-]+\s+)?(\d+[A-Za-z]?)\s+([^,]+)"
 SIMPLE = r"(\d+)\s+([^,]+)"
 
+# Words that hint at units and at commerce (review prescreen), and the pattern of targeted review.
+UNIT_HINTS = (
+    "APT", "APART", "SUITE", "STE", "UNIT", "#", "ROOM", "RM", "FLOOR", "FL",
+    "BASEMENT", "BSMT", "LOWER", "UPPER", "PENTHOUSE", "PH", "GF", "GROUND FLOOR",
+    "MAIN FLOOR", "MAIN FLR", "REAR", "FRONT", "SIDE",
+)
+COMMERCIAL_HINTS = ("MALL", "PLAZA", "SQUARE", "TOWER", "OFFICE", "CENTRE", "CENTER", "PARK LANE", "SCOTIA")
+TARGET_WORDS = "APT|APART|SUITE|STE|UNIT|#|ROOM|RM|FLOOR|FL|BASEMENT|BSMT|LOWER|UPPER|PENTHOUSE|PH|GF|GROUND FLOOR|MAIN FLOOR|MAIN FLR|REAR|FRONT|SIDE|MALL|PLAZA|SQUARE|TOWER|OFFICE|CENTRE|CENTER"
+
 
 @dataclass(frozen=True)
 class Rule:

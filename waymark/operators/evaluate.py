@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import scalars as s
 
 FIELDS = ("decision", "building_type", "unit_number")
+BENCHMARK_FIELDS = ("street_number", "street_name", "unit_number", "building_type", "decision")
 
 
 def gold_compare(gold: DataFrame, raw: DataFrame, results: DataFrame) -> DataFrame:
@@ -111,13 +112,16 @@ def learned_policy(gold: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("moderate_review", F.round(F.greatest(F.col("moderate_review"), F.coalesce(F.col("x") + 0.01, F.col("moderate_review"))), 4)).drop("x")
 
 
-def parser_weights(outcomes: DataFrame) -> DataFrame:
-    """parser_name, mean_accuracy, weight (normalised to sum 1; uniform if all are 0) from rows with correctness flags."""
-    flags = [c for c in outcomes.columns if c.startswith("ok_")]
-    mean = sum((F.avg(F.col(c).cast("double")) for c in flags), F.lit(0.0)) / len(flags)
-    by = outcomes.groupBy("parser_name").agg(F.round(mean, 6).alias("mean_accuracy"))
-    total, n = F.sum("mean_accuracy").over(Window.partitionBy()), F.count(F.lit(1)).over(Window.partitionBy())
-    return by.withColumn("weight", F.round(F.when(total > 0, F.col("mean_accuracy") / total).otherwise(1 / n), 4))
+def parser_weights(accuracies: DataFrame) -> DataFrame:
+    """parser_name, score (mean of its five benchmark accuracies), weight (of sum 1; uniform if no score is over 0).
+
+    accuracies: parser_name, field, accuracy, as benchmark_report() gives them for each parser alone; a
+    field without cases counts as 0.
+    """
+    by = accuracies.groupBy("parser_name").agg(F.round(F.sum("accuracy") / len(BENCHMARK_FIELDS), 4).alias("score"))
+    every = Window.partitionBy()  # a row for each parser
+    total, n = F.sum("score").over(every), F.count(F.lit(1)).over(every)
+    return by.withColumn("weight", F.round(F.when(total > 0, F.col("score") / total).otherwise(1 / n), 4))
 
 
 def reranking_weights(features: DataFrame) -> DataFrame:
@@ -143,12 +147,6 @@ def replay_summary(replayed: DataFrame) -> DataFrame:
     )
 
 
-def shadow_verdict(summary: DataFrame, score_delta: float = 0.0, min_rows: int = 50, max_disagreement: float = 0.10) -> DataFrame:
-    """summary with promote: enough rows, no loss of score or confidence, little disagreement."""
-    ok = (F.col("processed") >= min_rows) & F.lit(score_delta >= 0) & (F.col("confidence_delta") >= 0) & (F.col("disagreement_rate") <= max_disagreement)
-    return summary.withColumn("promote", ok)
-
-
 # Gates of a release (metric, bound, whether it is a minimum).
 GATES = (("decision_f1", 0.90, True), ("building_type_f1", 0.85, True), ("unit_number_f1", 0.85, True), ("unit_recall", 0.85, True), ("commercial_f1", 0.85, True), ("review_rate", 0.35, False), ("reject_rate", 0.10, False), ("regression_risk", 0.02, False))
 
@@ -167,17 +165,38 @@ def release_gate(metrics: DataFrame) -> DataFrame:
 
 
 def compare_release(candidate: DataFrame, active: DataFrame, key: str = "model_name") -> DataFrame:
-    """Long form: metric, candidate, active, delta, passed; no active value passes."""
-    names = [g[0] for g in GATES]
-    long = lambda df, v: df.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(m).alias("least"), F.col(n).cast("double").alias(v)) for n, _, m in GATES if n in df.columns])).alias("x")).select(key, "x.*")
+    """A row for each gate of a release: metric, candidate, active, delta, passed. A missing candidate value is 0; without an active model all pass.
+
+    regression_risk comes from the replay and is no comparison.
+    """
+    gates = [g for g in GATES if g[0] != "regression_risk"]
+    value = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0))
+    long = lambda df, v: df.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(m).alias("least"), (value(n) if n in df.columns else F.lit(0.0)).alias(v)) for n, _, m in gates])).alias("x")).select(key, "x.*")
     j = long(candidate, "candidate").join(long(active, "active").drop("least"), [key, "metric"], "left")
-    delta = F.round(F.col("candidate") - F.col("active"), 4)
-    return j.withColumn("delta", delta).withColumn("passed", F.col("active").isNull() | F.when(F.col("least"), delta >= 0).otherwise(delta <= 0)).where(F.col("metric").isin(names))
+    delta = F.col("candidate") - F.col("active")
+    return j.withColumns({"passed": F.col("active").isNull() | F.when(F.col("least"), delta >= 0).otherwise(delta <= 0), "delta": F.round(delta, 4)}).drop("least")
 
 
-def benchmark_report(cases: DataFrame, results: DataFrame, fields: tuple[str, ...] = ("street_number", "street_name", "unit_number", "building_type", "decision")) -> DataFrame:
-    """field, total, matched, accuracy; cases has case_id and expected (JSON): a field counts if it is present, even as null."""
-    j = cases.join(results, "case_id")
-    rows = j.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.array_contains(F.json_object_keys("expected"), f).alias("present"), F.get_json_object("expected", f"$.{f}").alias("want"), F.col(f).alias("got")) for f in fields])).alias("x")).select("x.*")
-    counted = rows.where("present").groupBy("field").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("want").eqNullSafe(F.col("got"))).alias("matched"))
+def _expected(field: str, value: Column) -> Column:
+    value = s.filled(value)
+    return s.street(value) if field == "street_name" else s.unit_number(value) if field == "unit_number" else value
+
+
+def benchmark_rows(cases: DataFrame, results: DataFrame, fields: tuple[str, ...] = BENCHMARK_FIELDS) -> DataFrame:
+    """case_id, field, expected, predicted, matched for each field that a case's expected (JSON) names, be it as null; both sides normalised."""
+    j = cases.select("case_id", "expected").join(results.select("case_id", *fields), "case_id", "left")
+    struct = [F.struct(F.lit(f).alias("field"), F.array_contains(F.json_object_keys("expected"), f).alias("present"), _expected(f, F.get_json_object("expected", f"$.{f}")).alias("expected"), _expected(f, F.col(f)).alias("predicted")) for f in fields]
+    rows = j.select("case_id", F.explode(F.array(*struct)).alias("x")).select("case_id", "x.*").where("present").drop("present")
+    return rows.withColumn("matched", F.col("expected").eqNullSafe(F.col("predicted")))
+
+
+def benchmark_report(cases: DataFrame, results: DataFrame, fields: tuple[str, ...] = BENCHMARK_FIELDS) -> DataFrame:
+    """field, total, matched, accuracy."""
+    counted = benchmark_rows(cases, results, fields).groupBy("field").agg(F.count(F.lit(1)).alias("total"), F.count_if("matched").alias("matched"))
     return counted.withColumn("accuracy", rate(F.col("matched"), F.col("total")))
+
+
+def benchmark_failures(cases: DataFrame, results: DataFrame, limit: int = 50) -> DataFrame:
+    """The first failures in the order of cases and fields."""
+    at = F.array_position(F.array(*[F.lit(f) for f in BENCHMARK_FIELDS]), F.col("field"))
+    return benchmark_rows(cases, results).where("NOT matched").orderBy("case_id", at).limit(limit).drop("matched")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.fixtures import ctes, derived
 from waymark.functions import scalars as s
-from waymark.functions.profile import LONG_PROVINCES, POSTAL, PROVINCES, SIMPLE, get_profile
+from waymark.functions.profile import COMMERCIAL_HINTS, LONG_PROVINCES, POSTAL, PROVINCES, SIMPLE, TARGET_WORDS, UNIT_HINTS, get_profile
 from waymark.operators import assets, candidates, evaluate, labels, upsert
 from waymark.operators.decision import REASONS, validate
 from waymark.operators.reference import city_compatible, gps_score
@@ -236,13 +236,30 @@ def _stratified(spark, d):
     return labels.stratified_seed(derived(spark, d, "result"), 200).select("raw_id", "building_type", "rank", "priority")
 
 
-@_query("targeted_seed", f"WITH {ctes('raw', 'result')} SELECT r.raw_id, building_type, CASE building_type WHEN 'commercial' THEN 95 WHEN 'multi_unit' THEN 90 ELSE 85 END AS priority FROM result r JOIN raw USING (raw_id) WHERE (building_type IN ('commercial', 'multi_unit') OR regexp_matches(upper(raw_address_text), {_q(labels.KEYWORDS)})) AND (confidence <= CAST(0.9 AS DOUBLE) OR decision = 'review') ORDER BY CASE building_type WHEN 'commercial' THEN 0 WHEN 'multi_unit' THEN 1 ELSE 2 END, confidence NULLS FIRST, r.raw_id DESC LIMIT 300")
+_TARGETED = f"""WITH {ctes('raw', 'result')}
+SELECT r.raw_id, building_type, CASE building_type WHEN 'commercial' THEN 95 WHEN 'multi_unit' THEN 90 ELSE 85 END AS priority
+FROM result r JOIN raw USING (raw_id)
+WHERE (building_type IN ('commercial', 'multi_unit') OR unit_number IS NOT NULL OR regexp_matches(upper(raw_address_text), {_q(TARGET_WORDS)}))
+  AND (confidence <= CAST(0.80 AS DOUBLE) OR decision = 'review')
+ORDER BY CASE WHEN building_type = 'commercial' THEN 0 WHEN building_type = 'multi_unit' THEN 1 WHEN unit_number IS NOT NULL THEN 2 ELSE 3 END, confidence NULLS FIRST, r.raw_id DESC
+LIMIT 300"""
+
+
+@_query("targeted_seed", _TARGETED)
 def _targeted(spark, d):
-    rows = derived(spark, d, "result").join(derived(spark, d, "raw").select("raw_id", "raw_address_text"), "raw_id")
+    rows = derived(spark, d, "result").withColumnRenamed("unit_number", "suggested_unit_number")
+    rows = rows.join(derived(spark, d, "raw").select("raw_id", "raw_address_text"), "raw_id")
     return labels.targeted_seed(rows, 300).select("raw_id", "building_type", "priority")
 
 
-@_query("prescreen_flags", f"WITH {ctes('raw', 'result')} SELECT r.raw_id, (coalesce(confidence <= CAST(0.72 AS DOUBLE), false) OR building_type IN ('commercial', 'multi_unit') OR regexp_matches(upper(raw_address_text), '#|APT|APARTMENT|UNIT|SUITE|STE|ROOM|RM|FLOOR|FL|BASEMENT|BSMT|LOWER|UPPER|PENTHOUSE|PH|REAR|FRONT|SIDE|MALL|PLAZA|TOWER|OFFICE|CENTRE|CENTER|SQUARE')) AS prescreen, CASE WHEN confidence < CAST(0.3 AS DOUBLE) THEN 'HIGH' WHEN confidence < CAST(0.6 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM result r JOIN raw USING (raw_id)")
+_HINTED = " OR ".join(f"contains(upper(coalesce(raw_address_text, '')), {_q(w)})" for w in (*UNIT_HINTS, *COMMERCIAL_HINTS))
+_PRESCREEN = f"(coalesce(confidence, 0) <= CAST(0.72 AS DOUBLE) OR coalesce(building_type IN ('commercial', 'multi_unit'), false) OR {_HINTED})"
+
+
+@_query("prescreen_flags", f"""WITH {ctes('raw', 'result')}
+SELECT r.raw_id, {_PRESCREEN} AS prescreen,
+  CASE WHEN confidence < CAST(0.3 AS DOUBLE) THEN 'HIGH' WHEN confidence < CAST(0.6 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS tier
+FROM result r JOIN raw USING (raw_id)""")
 def _prescreen(spark, d):
     rows = derived(spark, d, "result").join(derived(spark, d, "raw").select("raw_id", "raw_address_text"), "raw_id")
     return rows.select("raw_id", labels.needs_prescreen(F.lit("decision"), "confidence", "building_type", "raw_address_text").alias("prescreen"), s.risk_tier("confidence").alias("tier"))
@@ -310,12 +327,6 @@ def _policy(spark, d):
     return evaluate.learned_policy(derived(spark, d, "gold"), derived(spark, d, "result"))
 
 
-@_query("parser_weights", f"WITH {ctes('result')}, w AS (SELECT unit_source AS parser_name, round((avg(CAST(decision = 'accept' AS INTEGER)) + avg(CAST(unit_number IS NOT NULL AS INTEGER))) / 2, 6) AS mean_accuracy FROM result GROUP BY unit_source) SELECT *, round(mean_accuracy / sum(mean_accuracy) OVER (), 4) AS weight FROM w")
-def _weights(spark, d):
-    r = derived(spark, d, "result")
-    return evaluate.parser_weights(r.select(F.col("unit_source").alias("parser_name"), (F.col("decision") == "accept").alias("ok_decision"), F.col("unit_number").isNotNull().alias("ok_unit")))
-
-
 @_query("replay_summary", f"""WITH {ctes('raw', 'reference', 'result')}, {_VALID}, a AS (SELECT raw_id, decision AS ad, building_type AS ab, coalesce(unit_number, '') AS au, confidence AS ac FROM result), j2 AS (SELECT a.*, v.decision AS cd, v.building_type AS cb, coalesce(v.unit_number, '') AS cu, v.confidence AS cc FROM a JOIN v USING (raw_id))
 SELECT count(*) AS processed, {_rate('ad = cd')} AS decision_match_rate, {_rate('ab = cb')} AS building_type_match_rate, {_rate('au = cu')} AS unit_number_match_rate, {_rate('NOT (ad = cd AND ab = cb AND au = cu)')} AS disagreement_rate, {_rate("cd = 'review'")} AS review_rate, {_rate("cd = 'reject'")} AS reject_rate, round(coalesce(avg(cc - ac), 0), 4) AS confidence_delta FROM j2""")
 def _replay(spark, d):
@@ -375,6 +386,9 @@ def _windows(spark, d):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+from waymark import release_queries  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict:
     return dict(Q)
 
