@@ -11,6 +11,12 @@ from waymark.functions import scalars as s
 from waymark.functions.profile import SIMPLE, CountryProfile, Rule, get_profile
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if it has fewer (a small file is one task): parsing a row costs far more than moving it. For batches only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _PIECES = ("number", "street", "unit", "city", "province", "postal", "source", "parse", "unit_confidence", "postal_confidence")
 
 

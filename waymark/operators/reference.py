@@ -16,49 +16,66 @@ FAR, NO_OBSERVATION = 0.25, 0.55
 BOUNDS = ((43.0, 47.5), (-67.5, -58.0))
 
 
+def city_words(title: Column) -> Column:
+    return F.array_distinct(F.split(F.upper(title), " "))
+
+
+def same_city(a: Column, b: Column, words_a: Column, words_b: Column) -> Column:
+    """As city_compatible, of names in title case and their words."""
+    shared = F.size(F.array_intersect(words_a, words_b))
+    enough = (shared > 0) & (shared.cast("double") / F.least(F.size(words_a), F.size(words_b)) >= 0.5)
+    return F.when(a.isNull() | b.isNull() | (a == b), True).otherwise(enough)
+
+
 def city_compatible(left, right) -> Column:
     """True if either is empty, both are equal, or half the shorter one's words are shared."""
     a, b = s.city_name(left), s.city_name(right)
-    words = lambda c: F.array_distinct(F.split(F.upper(c), " "))
-    shared = F.size(F.array_intersect(words(a), words(b)))
-    enough = (shared > 0) & (shared.cast("double") / F.least(F.size(words(a)), F.size(words(b))) >= 0.5)
-    return F.when(a.isNull() | b.isNull() | (a == b), True).otherwise(enough)
+    return same_city(a, b, city_words(a), city_words(b))
 
 
 def gps_score(lat, lon, ref_lat, ref_lon) -> Column:
+    return near_score(lat, lon, ref_lat, ref_lon, s.haversine_meters(lat, lon, ref_lat, ref_lon))
+
+
+def near_score(lat, lon, ref_lat, ref_lon, meters: Column) -> Column:
+    """The score of a distance; without an observation or a reference point a fixed one."""
     has_ref = s.col(ref_lat).isNotNull() & s.col(ref_lon).isNotNull()
     near = F.when(~(has_ref & s.col(lat).isNotNull() & s.col(lon).isNotNull()), F.when(has_ref, NO_OBSERVATION).otherwise(FAR))
-    d = s.haversine_meters(lat, lon, ref_lat, ref_lon)
-    for meters, value in LADDER:
-        near = near.when(d <= meters, value)
+    for bound, value in LADDER:
+        near = near.when(meters <= bound, value)
     return near.otherwise(FAR)
 
 
-def match_reference(df: DataFrame, references: DataFrame, row_key: tuple[str, ...] = ("workspace_name", "raw_id")) -> DataFrame:
-    """df (workspace_name, street_number, street_name, province, city, latitude, longitude and row_key) with the best reference.
+def match_reference(df: DataFrame, references: DataFrame, localities: tuple[str, ...] = ("city",)) -> DataFrame:
+    """df (workspace_name, street_number, street_name, province, city, latitude, longitude) with the best reference.
 
-    Adds reference_id, reference_external_id, reference_score, reference_candidates, reference_units. A
-    left join on workspace, number, street and province; candidates are ranked in one aggregation by the
-    row's key with a maximum that keeps only the best, so nothing is collected but distinct units. Of
-    equal scores the least reference_id wins, and score 0 never does.
+    Adds reference_id, reference_external_id, reference_score, reference_candidates, reference_units. The
+    references of an address (workspace, number, street and province: its units and entrances) are gathered
+    first, with their cities prepared; one left join brings them to the rows, which are read once and keep
+    their number, and each row ranks its candidates by itself. Of equal scores the least reference_id wins,
+    and score 0 never does. localities: the reference columns of which the first filled one is its locality.
     """
+    key = ["__w", "__n", "__s", "__p"]
+    locality = F.coalesce(*[s.filled(F.trim(c)) for c in localities if c in references.columns])
     r = references.where("is_active").select(
-        F.col("workspace_name").alias("__w"), F.upper("street_number").alias("__n"), F.upper("street_name").alias("__s"), F.upper("province").alias("__p"),
-        "reference_id", F.col("external_id").alias("reference_external_id"), F.col("city").alias("__city"), "reference_lat", "reference_lon", "quality_score", F.upper(F.trim("unit_number")).alias("__unit"),
-    )
+        F.col("workspace_name").alias("__w"), F.upper("street_number").alias("__n"), F.upper("street_name").alias("__s"), F.upper("province").alias("__p"), "reference_id", F.col("external_id").alias("ext"),
+        s.city_name(locality).alias("city"), F.col("reference_lat").alias("lat"), F.col("reference_lon").alias("lon"), F.coalesce("quality_score", F.lit(0.0)).alias("quality"), s.filled(F.upper(F.trim("unit_number"))).alias("unit"),
+    ).na.drop(subset=key)
+    r = once(r, {"city": F.col("city")}).withColumn("words", city_words(F.col("city")))
+    points = r.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in r.columns if c not in key])).alias("__refs"))
+    rows = once(df, {"__ca": s.city_name("city")}).withColumn("__wa", city_words(F.col("__ca")))
     on = (F.col("workspace_name") == F.col("__w")) & (F.upper("street_number") == F.col("__n")) & (F.upper("street_name") == F.col("__s")) & (F.upper("province") == F.col("__p"))
-    pairs = df.select(*row_key, *[c for c in ("workspace_name", "street_number", "street_name", "province", "city", "latitude", "longitude") if c not in row_key]).join(r, on)
-    value = F.lit(LOCALITY) * F.when(city_compatible("city", "__city"), 1.0).otherwise(0.0) + F.lit(GPS) * gps_score("latitude", "longitude", "reference_lat", "reference_lon") + F.lit(QUALITY) * F.coalesce("quality_score", F.lit(0.0))
-    pairs = once(pairs, {"__score": F.round(value, 4)})
-    best = pairs.groupBy(*row_key).agg(
-        F.max_by(F.struct("reference_id", "reference_external_id"), F.when(F.col("__score") > 0, F.struct("__score", -F.col("reference_id")))).alias("__r"),
-        F.max("__score").alias("reference_score"),
-        F.count(F.lit(1)).alias("reference_candidates"),
-        F.sort_array(F.collect_set(s.filled("__unit"))).alias("reference_units"),
-    )
-    ok = F.col("reference_score") >= F.when(F.col("reference_candidates") == 1, ACCEPT_ONE).otherwise(ACCEPT_MANY)
-    best = best.where(ok).select(*row_key, "__r.reference_id", "__r.reference_external_id", "reference_score", "reference_candidates", "reference_units")
-    return df.join(best, list(row_key), "left")
+
+    def scored(x: Column) -> Column:
+        value = F.lit(LOCALITY) * F.when(same_city(F.col("__ca"), x["city"], F.col("__wa"), x["words"]), 1.0).otherwise(0.0)
+        value = value + F.lit(GPS) * near_score("latitude", "longitude", x["lat"], x["lon"], x["meters"]) + F.lit(QUALITY) * x["quality"]
+        return F.struct(F.round(value, 4).alias("score"), (-x["reference_id"]).alias("order"), x["reference_id"].alias("id"), x["ext"].alias("ext"))
+
+    measured = F.transform("__refs", lambda x: F.struct(*[x[c].alias(c) for c in ("reference_id", "ext", "city", "words", "lat", "lon", "quality")], s.haversine_meters("latitude", "longitude", x["lat"], x["lon"]).alias("meters")))
+    out = once(rows.join(points, on, "left"), {"__m": F.array_max(F.transform(measured, scored)), "__k": F.size("__refs"), "__u": F.sort_array(F.array_distinct(F.array_compact(F.transform("__refs", lambda x: x["unit"]))))})
+    ok = (F.col("__m.score") > 0) & (F.col("__m.score") >= F.when(F.col("__k") == 1, ACCEPT_ONE).otherwise(ACCEPT_MANY))
+    found = {"reference_id": F.col("__m.id"), "reference_external_id": F.col("__m.ext"), "reference_score": F.col("__m.score"), "reference_candidates": F.col("__k").cast("long"), "reference_units": F.col("__u")}
+    return out.select(*[F.col(c) for c in df.columns], *[F.when(ok, v).alias(c) for c, v in found.items()])
 
 
 def civic_points(df: DataFrame, workspace: str = "default", source: str = "civic") -> DataFrame:

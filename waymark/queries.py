@@ -9,6 +9,7 @@ from waymark.functions import scalars as s
 from waymark.functions.profile import COMMERCIAL_HINTS, LONG_PROVINCES, POSTAL, PROVINCES, SIMPLE, TARGET_WORDS, UNIT_HINTS, get_profile
 from waymark.operators import assets, candidates, evaluate, labels, upsert
 from waymark.operators.decision import REASONS, validate
+from waymark.operators.parsers import spread
 from waymark.operators.reference import city_compatible, gps_score
 from waymark.sources import ingest, tables
 from waymark.streaming.cleaning import windowed_counts
@@ -143,8 +144,12 @@ def _query(name: str, sql: str | None = None):
     return keep
 
 
+def _raw(spark, d):
+    return spread(derived(spark, d, "raw"))
+
+
 def _validated(spark, d):
-    return validate(derived(spark, d, "raw"), derived(spark, d, "reference"))
+    return validate(_raw(spark, d), derived(spark, d, "reference"))
 
 
 @_query("normalize", f"WITH {ctes('raw')} SELECT raw_id, {_space('raw_address_text')} AS text, {_title('city')} AS city, {_province('province')} AS province, {_postal('raw_address_text')} AS postal, {_unit('raw_address_text')} AS unit, {_street('raw_address_text')} AS street, {_base('raw_id::VARCHAR', 'raw_address_text', 'city', 'province', 'postal_code')} AS base_key FROM raw")
@@ -156,25 +161,25 @@ def _normalize(spark, d):
 @_query("simple_parse", f"WITH {ctes('raw')}, {_PARSED} SELECT raw_id, s_num AS street_number, s_st AS street_name, s_postal AS postal_code, s_score AS score FROM sc")
 def _simple(spark, d):
     c = F.col("cand_simple_rule")
-    return candidates.parsed(derived(spark, d, "raw"), parsers=("simple_rule",)).select("raw_id", c["parsed"]["street_number"].alias("street_number"), c["parsed"]["street_name"].alias("street_name"), c["parsed"]["postal_code"].alias("postal_code"), c["score"].alias("score"))
+    return candidates.parsed(_raw(spark, d), parsers=("simple_rule",)).select("raw_id", c["parsed"]["street_number"].alias("street_number"), c["parsed"]["street_name"].alias("street_name"), c["parsed"]["postal_code"].alias("postal_code"), c["score"].alias("score"))
 
 
 @_query("hybrid_parse", f"WITH {ctes('raw')}, {_PARSED} SELECT raw_id, p_num AS street_number, p_st AS street_name, p_unit AS unit_number, p_city AS city, p_prov AS province, h_postal AS postal_code, h_source AS unit_source, h_score AS score, {_base('h_num', 'h_st', 'h_city', 'h_prov', 'h_postal')} AS base_address_key FROM sc")
 def _hybrid_query(spark, d):
     c = F.col("cand_hybrid_canada")
     names = ("street_number", "street_name", "unit_number", "city", "province", "postal_code", "unit_source", "base_address_key")
-    return candidates.parsed(derived(spark, d, "raw"), parsers=("hybrid_canada",)).select("raw_id", *[c["parsed"][n].alias(n) for n in names], c["score"].alias("score"))
+    return candidates.parsed(_raw(spark, d), parsers=("hybrid_canada",)).select("raw_id", *[c["parsed"][n].alias(n) for n in names], c["score"].alias("score"))
 
 
 @_query("parse_best", f"WITH {ctes('raw')}, {_PARSED} SELECT raw_id, parser_name, parse_score, parser_disagreement, alternate_unit FROM b")
 def _best(spark, d):
-    out = candidates.close_candidates(candidates.parsed(derived(spark, d, "raw")))
+    out = candidates.close_candidates(candidates.parsed(_raw(spark, d)))
     return out.select("raw_id", F.col("best")["parser_name"].alias("parser_name"), F.col("best")["score"].alias("parse_score"), "parser_disagreement", F.get("alternate_units", F.lit(0)).alias("alternate_unit"))
 
 
 @_query("candidate_ranking", f"WITH {ctes('raw')}, {_PARSED}, l AS (SELECT raw_id, 0 AS o, 'simple_rule' AS parser_name, s_score AS score FROM sc UNION ALL SELECT raw_id, 1, 'hybrid_canada', h_score FROM sc UNION ALL SELECT raw_id, 2, 'libpostal', l_score FROM sc) SELECT raw_id, CAST(row_number() OVER (PARTITION BY raw_id ORDER BY score DESC, o) AS INTEGER) AS rank, parser_name, score FROM l")
 def _ranking(spark, d):
-    return candidates.candidate_rows(candidates.parsed(derived(spark, d, "raw"))).select("raw_id", "rank", "parser_name", "score")
+    return candidates.candidate_rows(candidates.parsed(_raw(spark, d))).select("raw_id", "rank", "parser_name", "score")
 
 
 @_query("reference_match", f"WITH {ctes('raw', 'reference')}, {_PARSED}, {_MATCH} SELECT raw_id, reference_id, reference_score, reference_candidates, coalesce(array_to_string(units, ','), '') AS units FROM mt")
