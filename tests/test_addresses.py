@@ -146,3 +146,46 @@ def test_stream_publishes_each_row_once(spark, tmp_path):
         clean_stream(stream, refs, f"{tmp_path}/out", f"{tmp_path}/checkpoint{k}").awaitTermination()
     out = upsert.VersionedTable(spark, f"{tmp_path}/out").read()
     assert out.count() == 5 and out.where("decision = 'accept' AND status = 'completed'").count() == 5
+
+
+def test_csv_import_counts_and_last_row_wins(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('order_id,delivery_address,zipcode,gps\n1,"1 Main St\nrear",B3J 1K1,"{""lat"": 44.5}"\n2,,B3J 1K1,\n1,2 Main St,,\n')
+    table = upsert.VersionedTable(spark, f"file://{tmp_path}/raw")
+    assert ingest.import_csv(spark, f"file://{tmp_path}/in.csv", table, "csv") == (3, 2)
+    assert [(r.external_id, r.raw_address_text, r.postal_code) for r in table.read().collect()] == [("1", "2 Main St", None)]
+    first = ingest.raw_records(ingest.read_csv(spark, f"file://{tmp_path}/in.csv"), "csv").first()
+    assert (first.latitude, first.longitude) == (44.5, None)
+    settings = upsert.VersionedTable(spark, f"file://{tmp_path}/settings")
+    rows = spark.createDataFrame([("5", "a st", "2024-01-02"), ("6", "b st", "2024-01-03")], "id string, address string, updated_at string")
+    assert ingest.cursor(settings, "api") is None
+    assert ingest.run_once(ingest.raw_records(rows, "api"), table, settings, "api") == "2024-01-03" == ingest.cursor(settings, "api")
+    assert ingest.run_once(ingest.raw_records(rows.limit(0), "api"), table, settings, "api") is None and ingest.cursor(settings, "api") == "2024-01-03"
+    manifest = ingest.export_snapshot({"raw": (spark.createDataFrame([("default", 1, "a\nb"), ("default", 2, "c"), ("x", 3, "d")], "workspace_name string, raw_id long, t string"), "raw_id")}, f"file://{tmp_path}/out")
+    assert [tuple(r) for r in manifest.collect()] == [("raw", 2)]
+
+
+def test_golden_cases_end_to_end(spark, tmp_path):
+    from waymark.operators import evaluate
+
+    lines = ['{"raw_address_text": "101-123 Main St, Halifax, NS", "expected": {"street_number": "123", "street_name": "main  st", "unit_number": "#101"}}', "", '{"raw_address_text": "12 Oak Ave", "city": "Halifax", "expected": {"unit_number": null, "street_number": "13"}}']
+    (tmp_path / "cases.jsonl").write_text("\n".join(lines))
+    (tmp_path / "weights.json").write_text('{"parser_weights": {"simple_rule": 0.25, "x": "no"}}')
+    assert ingest.read_weights(spark, f"file://{tmp_path}/weights.json") == {"simple_rule": 0.25}
+    cases = ingest.read_benchmark(spark, f"file://{tmp_path}/cases.jsonl")
+    raw = cases.select(F.lit("w").alias("workspace_name"), F.col("case_id").alias("raw_id"), "raw_address_text", "city", "province", "postal_code", F.lit("CA").alias("country_code"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))
+    results = validate(raw, spark.createDataFrame([], REFERENCE)).withColumnRenamed("raw_id", "case_id")
+    report = {r.field: (r.total, r.matched) for r in evaluate.benchmark_report(cases, results).collect()}
+    assert report == {"street_number": (2, 1), "street_name": (1, 1), "unit_number": (2, 2)}
+    assert [(r.field, r.expected, r.predicted) for r in evaluate.benchmark_failures(cases, results).collect()] == [("street_number", "13", "12")]
+
+
+def test_model_registry_and_report(spark):
+    from waymark.operators import release
+
+    models = spark.createDataFrame([("w", "m", "1", "promoted", True, 0.9), ("w", "m", "2", "evaluated", False, 0.95), ("v", "m", "1", "promoted", True, 0.8)], "workspace_name string, model_name string, model_version string, status string, is_default boolean, f1 double")
+    update = spark.createDataFrame([("w", "m", "2", None, None, 0.97), ("w", "m", "3", "registered", False, None)], models.schema)
+    out = {(r.workspace_name, r.model_version): (r.status, r.is_default, r.f1) for r in release.promoted(release.registered(models, update), "w", "m", "2").collect()}
+    assert out == {("w", "1"): ("deprecated", False, 0.9), ("w", "2"): ("promoted", True, 0.97), ("w", "3"): ("registered", False, None), ("v", "1"): ("promoted", True, 0.8)}
+    text = release.markdown({"decision_f1": 0.5}, [{"metric": "decision_f1", "candidate": 0.5, "active": None, "passed": True}])
+    assert "| decision_f1 | 0.5000 | - | yes |" in text
+    assert release.score_delta({"a": 0.5}, {"a": 0.4, "b": 0.2}, ("a", "b")) == -0.05

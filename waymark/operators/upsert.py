@@ -11,10 +11,11 @@ OVERWRITE, COALESCE, APPEND, KEEP = "overwrite", "coalesce_new_old", "append_arr
 
 
 def latest(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """One row for each key: that with the largest order (and of these a fixed one), so that a merge gets each key once."""
+    """One row for each key, so that a merge gets each key once: that with the largest order, of these (or without an order) the last in df's own order."""
     rest = [c for c in df.columns if c not in keys]
-    by = F.struct(*([F.col(order)] if order else []), F.xxhash64(*[F.col(c) for c in rest]) if rest else F.lit(0))
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("__r")).select(*keys, "__r.*") if rest else df.distinct()
+    by = F.struct(*([F.col(order)] if order else []), F.col("__at"))
+    rows = df.withColumn("__at", F.monotonically_increasing_id())
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("__r")).select(*keys, "__r.*") if rest else df.distinct()
 
 
 def merge(target: DataFrame, source: DataFrame, keys: list[str], rules: dict[str, str] | None = None, default: str = OVERWRITE, order: str | None = None) -> DataFrame:

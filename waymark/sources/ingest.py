@@ -3,32 +3,43 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import scalars as s
 
 # Which columns may carry a field, the first that is filled wins.
 ALIASES = {
-    "external_id": ("external_id", "id"),
-    "raw_address_text": ("raw_address_text", "address_text", "address"),
-    "city": ("city", "municipality", "COMM"),
-    "province": ("province", "state", "PROVINCE"),
-    "postal_code": ("postal_code", "postcode", "zip"),
+    "external_id": ("external_id", "order_id", "id", "record_id"),
+    "raw_address_text": ("raw_address_text", "delivery_address", "address_text", "address"),
+    "city": ("city", "COMM", "municipality"),
+    "province": ("province", "PROVINCE", "state"),
+    "postal_code": ("postal_code", "postcode", "zip", "zipcode"),
     "country_code": ("country_code", "country"),
-    "latitude": ("latitude", "lat", "LAT"),
-    "longitude": ("longitude", "lon", "lng", "LONG"),
+    "latitude": ("latitude", "lat", "gps_lat", "gps.lat", "LAT"),
+    "longitude": ("longitude", "lon", "lng", "gps_lon", "gps.lon", "LONG"),
     "source_cursor": ("source_cursor", "updated_at", "created_at"),
 }
 
 
+def _found(df: DataFrame, name: str, nested: str | None) -> Column | None:
+    """The column called name; a dotted name is looked up in the struct or JSON column before the dot, or in the JSON column nested."""
+    if name in df.columns:
+        return F.col(f"`{name}`")
+    first, _, rest = name.partition(".")
+    if rest and first in df.columns:
+        kind = dict(df.dtypes)[first]
+        fields = df.schema[first].dataType.fieldNames() if kind.startswith("struct") else ()
+        return F.col(name) if rest in fields else s.dig(f"`{first}`", rest) if kind == "string" else None
+    return s.dig(nested, name) if rest and nested else None
+
+
 def picked(df: DataFrame, names: tuple[str, ...], nested: str | None = None) -> Column:
-    """The first filled value among columns, dotted names being looked up in the JSON column nested."""
-    have = [s.filled(F.trim(F.col(f"`{n}`").cast("string"))) for n in names if n in df.columns]
-    if nested:
-        have += [s.filled(s.dig(nested, n)) for n in names if "." in n]
+    """The first filled value among columns (see _found)."""
+    have = [s.filled(F.trim(c.cast("string"))) for c in (_found(df, n, nested) for n in names) if c is not None]
     return F.coalesce(*have) if have else F.lit(None).cast("string")
 
 
@@ -54,6 +65,49 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def import_csv(spark: SparkSession, path: str, table, source_name: str, workspace: str = "default") -> tuple[int, int]:
+    """Upserts a CSV's records into a versioned table by workspace, source and external id; rows seen and rows ingested. A later row of the file wins."""
+    seen = Observation("csv")
+    rows = read_csv(spark, path).observe(seen, F.count(F.lit(1)).alias("n"))
+    records = raw_records(rows, source_name, workspace)
+    ingested = Observation("records")
+    table.upsert(records.observe(ingested, F.count(F.lit(1)).alias("n")), ["workspace_name", "source_name", "external_id"])
+    return seen.get["n"], ingested.get["n"]
+
+
+def run_once(records: DataFrame, table, settings, key: str) -> str | None:
+    """One ingestion run: upserts records (of raw_records()), then stores and returns the largest source_cursor as setting key; without rows the cursor stays."""
+    last = records.agg(F.max("source_cursor")).first()[0]
+    table.upsert(records, ["workspace_name", "source_name", "external_id"])
+    if last is not None:
+        settings.upsert(records.sparkSession.createDataFrame([(key, last)], "setting_key string, setting_value string"), ["setting_key"])
+    return last
+
+
+def cursor(settings, key: str) -> str | None:
+    df = settings.read()
+    row = None if df is None else df.where(F.col("setting_key") == key).select("setting_value").first()
+    return row[0] if row else None
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """Golden cases from JSON lines: case_id (hash of the line), raw_address_text, city, province, postal_code, profile and expected (JSON text)."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    names = ("raw_address_text", "city", "province", "postal_code", "profile", "expected")
+    return lines.select(F.xxhash64("value").alias("case_id"), *[F.get_json_object("value", f"$.{n}").alias(n) for n in names])
+
+
+def read_weights(spark: SparkSession, path: str) -> dict[str, float]:
+    """Parser weights from a JSON artifact: an object of numbers, or one under parser_weights; {} if there is none."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
+    try:
+        body = json.loads(text)
+    except ValueError:
+        return {}
+    body = body.get("parser_weights", body) if isinstance(body, dict) else {}
+    return {k: float(v) for k, v in body.items() if isinstance(v, (int, float)) and not isinstance(v, bool)} if isinstance(body, dict) else {}
+
+
 def page(df: DataFrame, cursor: str, key: str, after: tuple | None, size: int) -> DataFrame:
     """The next rows after (cursor, key); the key as a second part of the cursor keeps rows of equal cursors at a page's edge."""
     if after is not None:
@@ -75,7 +129,7 @@ def nested_orders(batches: DataFrame, drivers: DataFrame, orders: DataFrame) ->
     return rows, rows.agg(F.max("add_time").alias("next_cursor"))
 
 
-def pages_of(fetch: Callable[[str | None], dict], data_path: str = "data", cursor_path: str = "next_cursor", more_path: str = "has_more", cursor: str | None = None, retries: int = 3) -> Iterator[list[dict]]:
+def pages_of(fetch: Callable[[str | None], dict], data_path: str = "data", cursor_path: str = "next_cursor", more_path: str = "has_more", cursor: str | None = None, retries: int = 3, wait: float = 1.0) -> Iterator[list[dict]]:
     """Pages of an API by its cursor; fetch(cursor) returns a decoded body."""
 
     def at(body, path):
@@ -91,6 +145,7 @@ def pages_of(fetch: Callable[[str | None], dict], data_path: str = "data", curso
             except OSError:
                 if k == retries - 1:
                     raise
+                time.sleep(wait * (k + 1))
         rows = body if isinstance(body, list) else at(body, data_path) or at(body, "records") or []
         if rows:
             yield rows
@@ -124,10 +179,6 @@ def api_source(name: str, fetch: Callable[[str | None], dict], **paths: str) ->
     return Source
 
 
-#: Providers by the names that settings use.
-PROVIDERS = {"api": "api", "pull": "api", "remote": "api", "db": "jdbc", "database": "jdbc", "direct": "jdbc"}
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, cursor: str, after: str | None = None, partitions: int = 16, bounds: tuple | None = None, **options: str) -> DataFrame:
     """A table behind JDBC; the cursor predicate is pushed down, and bounds deal the scan out."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
@@ -145,8 +196,10 @@ def export_snapshot(tables: dict[str, tuple[DataFrame, str]], path: str, workspa
         spark = df.sparkSession
         rows = df.where(F.col("workspace_name") == workspace)
         flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in rows.dtypes]
-        rows.repartitionByRange(key).sortWithinPartitions(key).select(*flat).write.option("header", True).csv(f"{path}/{name}")
-        counts.append((name, spark.read.option("header", True).csv(f"{path}/{name}").count()))
+        written = Observation(name)
+        ordered = rows.repartitionByRange(key).sortWithinPartitions(key).select(*flat)
+        ordered.observe(written, F.count(F.lit(1)).alias("n")).write.option("header", True).csv(f"{path}/{name}")
+        counts.append((name, written.get["n"]))
     manifest = spark.createDataFrame(counts, "name string, n_rows long")
     manifest.coalesce(1).write.json(f"{path}/manifest")
     return manifest
