@@ -335,6 +335,37 @@ def test_images_find_crops_only(spark):
     assert {i: r.class_id for i, r in got.items()} == want and got[3].n_links == 1 and got[5].n_copies == 2
 
 
+def test_images_recall_against_all_pairs(spark):
+    """Every 20th image against all: links that a comparison of all pairs with the same consensus finds, and no others."""
+    table = image_copies.pictures(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    images = {r.image_id: bytes(r.image) for r in table.collect()}
+    assert len(images) > 500
+    first = {}
+    for i in sorted(images):
+        first.setdefault(images[i], i)
+    ids = sorted(first.values())
+    corners = {i: image_copies.describe(images[i]) for i in ids}
+    bits = {i: np.array([c[4] for c in cs], np.int64).view(np.uint64) for i, cs in corners.items()}
+    found = {(r.a, r.b) for r in image_copies.links(image_copies.descriptors(table.where(F.col("image_id").isin(ids)))).collect()}
+    want = set()
+    for a in ids:
+        if a % 20 and (-1 - a) % 20:
+            continue
+        for b in ids:
+            if a == b or not len(bits[a]) or not len(bits[b]):
+                continue
+            x, y = min(a, b), max(a, b)
+            near = np.argwhere(np.bitwise_count(bits[x][:, None] ^ bits[y][None]).sum(axis=2) <= image_copies.MAX_DISTANCE)
+            m = [dict(zip(("xa", "ya", "sa", "aa", "xb", "yb", "sb", "ab"), (*corners[x][i][:4], *corners[y][j][:4]))) for i, j in near]
+            if len(m) >= image_copies.MIN_INLIERS and image_copies.consensus(m) >= image_copies.MIN_INLIERS:
+                want.add((x, y))
+    asked = {p for p in found if any(i % 20 == 0 or (-1 - i) % 20 == 0 for i in p)}
+    print("recall", len(asked & want), len(want))
+    assert asked <= want and len(asked) >= 0.9 * len(want)
+    planted = {tuple(sorted((first[images[i]], -1 - i))) for i in images if i >= 0 and i % image_copies.EDITED == 7 and first[images[i]] == i}
+    assert len(planted & found) >= 0.9 * len(planted) > 0
+
+
 def test_image_pairs_of_crowded_values(spark):
     rng = np.random.default_rng(5)
     sets = {i: rng.integers(0, 4, (3, image_copies.BANDS)).tolist() for i in range(60)}
