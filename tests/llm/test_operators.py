@@ -534,3 +534,39 @@ def test_pipeline_against_brute_force(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table.limit(0), None).count() == 0
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_context_tree_without_rows_or_training(spark):
+    texts = ["ab ab", None, "b" * 300_000, "ab ab"]
+    df = docs(spark, texts).withColumn("score", F.lit("clash")).withColumn("blk", F.lit(1))
+    none = {r.doc_id: r for r in context_tree.scored(df.withColumn("train", F.lit(False)), block_bytes=100_000).collect()}
+    for i, t in enumerate(texts):
+        n = len((t or "").encode()) + 1
+        assert none[i].n_bytes == n and none[i].score == pytest.approx(-8 * n * np.log10(2), rel=1e-6) and none[i].bits_per_byte == pytest.approx(8, rel=1e-6)
+        assert (none[i].n_known, none[i].train_tokens) == (0, 0)
+    assert context_tree.scored(df.limit(0).withColumn("train", F.lit(True))).count() == 0
+    split = {r.doc_id: r.score for r in context_tree.scored(df.withColumn("train", F.lit(True)), block_bytes=100_000, part_bytes=60_000, merged_blocks=2).collect()}
+    whole = {r.doc_id: r.score for r in context_tree.scored(df.withColumn("train", F.lit(True))).collect()}
+    assert split.keys() == whole.keys() and all(split[i] == pytest.approx(whole[i], rel=1e-6) for i in whole)
+
+
+def test_empty_tables_and_other_columns(spark):
+    df = docs(spark, ["one two three", None]).withColumns({"n_tokens": F.lit(1), "fp": F.lit("x"), "hash": F.lit(2), "kept": F.lit(3)})
+    assert bpe.encoded(df).where("n_tokens >= 0").count() == 2 and bpe.encoded(df.limit(0)).count() == 0
+    assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {0, 1}
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [r.text for r in html_extraction.main_texts(pages).collect()] == ["x"] and html_extraction.main_texts(pages.limit(0)).count() == 0
+    images = spark.createDataFrame([(1, b"no image", 7)], "image_id long, image binary, n_links int")
+    assert image_copies.image_copies(images).first().n_links == 0 and image_copies.image_copies(images.limit(0)).count() == 0
+    model = language_id.fit(df)
+    assert language_id.predict(df.limit(0), model).count() == 0
+    assert quality_rules.judged(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    texts = ["x" * 300_000, "ab cd " * 20_000]
+    df = docs(spark, texts)
+    ids = {r.doc_id: r for r in bpe.encoded(df).collect()}
+    assert all(ids[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+    assert {r.doc_id: r.n_words for r in quality_rules.measures(df).collect()} == {0: 1, 1: 40_000}
+    assert [r.component_id for r in simhash.near_duplicates(df).orderBy("doc_id").collect()] == [0, 1]
