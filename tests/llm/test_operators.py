@@ -160,6 +160,17 @@ def test_deduplicated_keeps_rows_of_repeated_ids(spark):
     assert kept([]) == [] and simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_first_of_each_is_exact_with_a_full_filter(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "a", "y"), (3, "b", "z"), (4, None, "n"), (5, None, "n"), (None, "a", "k"), *[(i, f"t{i}", "u") for i in range(10, 30)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __hash string")
+    found = df.select("doc_id", F.xxhash64("text").alias("hash"), F.xxhash64("text").alias("component"))
+    gone = {(1, "a", "x"): 1, (2, "a", "y"): 1, (5, None, "n"): 1}  # rows of each kind that go
+    want = sorted(set(rows) - {(2, "a", "y"), (5, None, "n")}, key=str)
+    for bits in (64, 1 << 12):
+        got = sorted((tuple(r) for r in simhash.first_of_each(df, found, bits).collect()), key=str)
+        assert got == want and len(got) == len(rows) - sum(gone.values())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(205, 203), (203, 204)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import forgotten, table, written
+from waymark.llm.row_filter import FILTER_BITS, RowFilter
 
 SHINGLE = 3
 SEED = 42
@@ -165,12 +166,14 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     return first_of_each(docs, near_duplicates(docs, shingle, radius))
 
 
-def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The first row of docs of each component, with docs' columns: that with the least id, then the least hash of its text.
 
     found: doc_id, hash (xxhash64 of the text) and component of each row. Rows with a null id stay. Rows
     are told apart by id and hash, so rows with one id and different texts are judged each by its own;
-    of rows with equal ids and texts any one stays, and only such rows are shuffled whole.
+    of rows with equal ids and texts any one stays. Texts stay where they are: a Bloom filter tells the
+    rows to look at, and keys tell which of these it holds by mistake (strays). Only such strays and rows
+    with equal ids and texts are shuffled whole, and only where their keys outgrow a broadcast.
     """
     named = found.where("doc_id IS NOT NULL").groupBy("doc_id", "hash").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
     named = written(named, "marked")
@@ -178,12 +181,17 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = named.join(first, "component").where(F.struct("doc_id", "hash") != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.lit(True).alias("gone"))
     twice = named.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.lit(False).alias("gone"))
     marks = written(gone.union(twice.join(gone, ["__id", "__hash"], "left_anti")), "duplicates")
+    rid = F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+    held = docs["doc_id"].isNotNull() & RowFilter(marks.select(F.xxhash64("__id", "__hash").alias("rid")), filter_bits).column(rid)
     is_row = lambda m: (docs["doc_id"] == m["__id"]) & (F.xxhash64(docs["text"]) == m["__hash"])
-    out = docs.join(marks, is_row(marks), "left_anti")
+    out, maybe = docs.where(~held), docs.where(held)
+    keys = maybe.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash")).distinct()
+    strays = written(keys.join(marks, ["__id", "__hash"], "left_anti"), "strays")
+    if not strays.isEmpty():
+        out = out.union(maybe.join(strays, is_row(strays), "left_semi"))
     repeated = marks.where("NOT gone")
     if not repeated.isEmpty():
-        again = docs.join(repeated, is_row(repeated), "left_semi").withColumn("__hash", F.xxhash64("text"))
-        out = out.union(again.dropDuplicates(["doc_id", "__hash"]).select(out.columns))
+        out = out.union(maybe.join(repeated, is_row(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
     return out
 
 
