@@ -380,7 +380,7 @@ def city_pairs(raw, reference):
     return a.join(b, "p").select("a", "b").distinct().withColumn("ok", city_compatible("a", "b"))
 
 
-@_query("city_compatible", f"WITH {ctes('raw', 'reference')}, x AS (SELECT DISTINCT raw.city AS a, reference.city AS b, {_title('raw.city')} AS c1, {_title('reference.city')} AS c2 FROM raw JOIN reference ON raw.province = reference.province AND raw.raw_id % 1000 = reference.reference_id % 1000) SELECT a, b, (c1 IS NULL OR c2 IS NULL OR c1 = c2 OR (len(list_intersect({_WORDS('c1')}, {_WORDS('c2')})) > 0 AND CAST(len(list_intersect({_WORDS('c1')}, {_WORDS('c2')})) AS DOUBLE) / least(len({_WORDS('c1')}), len({_WORDS('c2')})) >= 0.5)) AS ok FROM x")
+@_query("city_compatible", f"WITH {ctes('raw', 'reference')}, x AS (SELECT DISTINCT raw.city AS a, reference.city AS b, {_title('raw.city')} AS c1, {_title('reference.city')} AS c2 FROM (SELECT DISTINCT city, province FROM raw) raw JOIN (SELECT DISTINCT city, province FROM reference) reference ON raw.province = reference.province) SELECT a, b, (c1 IS NULL OR c2 IS NULL OR c1 = c2 OR (len(list_intersect({_WORDS('c1')}, {_WORDS('c2')})) > 0 AND CAST(len(list_intersect({_WORDS('c1')}, {_WORDS('c2')})) AS DOUBLE) / least(len({_WORDS('c1')}), len({_WORDS('c2')})) >= 0.5)) AS ok FROM x")
 def _city(spark, d):
     return city_pairs(derived(spark, d, "raw"), derived(spark, d, "reference"))
 
