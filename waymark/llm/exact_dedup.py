@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from waymark.llm.common import shared_path, written
 from waymark.llm.key_filter import passing
 
-#: Settings of the stream with state: on disk, with a bound for memory, changes instead of whole copies.
+#: Settings of the stream with state: on disk, with a bound for memory, changes instead of whole copies; no space reserved ahead, 4 MB for each partition.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
