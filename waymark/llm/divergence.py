@@ -111,7 +111,8 @@ class Audit:
         groups = docs.select("lang", "source").distinct().join(n_of, ["lang", "source"], "left").fillna(0, "n_group")
         langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("g"))
         limit = F.greatest(F.lit(4), F.floor(F.col("g") * light))
-        of_lang = kept.join(langs, "lang").groupBy("lang").agg(F.sum("total").alias("n_lang"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("k") > limit).alias("heavy"))
+        by_k = kept.groupBy("lang", "k").agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("terms"))  # no more rows than groups meet the languages
+        of_lang = by_k.join(langs, "lang").groupBy("lang").agg(F.sum("total").alias("n_lang"), F.sum("terms").alias("v"), F.sum(F.when(F.col("k") > limit, F.col("terms")).otherwise(0)).alias("heavy"))
         langs = langs.join(of_lang, "lang", "left").fillna(0, ["n_lang", "v", "heavy"]).withColumn("light_limit", limit)
         self.langs = written(langs, "languages")
         # one row for each group, fewer by far than the pairs to report, so a language's groups may be numbered in one task
@@ -119,11 +120,11 @@ class Audit:
         groups = groups.withColumn("gid", number).join(self.langs, "lang")
         groups = groups.withColumn("p0", share(F.lit(0).cast("long"), F.col("n_group"), F.col("v")))
         self.groups = written(groups, "groups")
-        about = self.groups.select("lang", "source", "gid", "n_group", "v", "p0", "heavy", "light_limit", "n_lang")
+        about = self.groups.select("lang", "source", "gid", "n_group", "v", "p0", "heavy", "light_limit", "n_lang", "g")
         cells = counts.drop("d").join(kept, ["lang", "term"]).join(about, ["lang", "source"])
         q = share(F.col("total"), F.col("n_lang"), F.col("v"))
         cells = cells.withColumn("p", share(F.col("n"), F.col("n_group"), F.col("v"))).withColumn("q", q)
-        self.cells = written(cells.select("lang", "source", "gid", "term", "n", "p", "q", "p0", "heavy", (F.col("k") <= F.col("light_limit")).alias("is_light")), "cells")
+        self.cells = written(cells.select("lang", "source", "gid", "term", "n", "p", "q", "p0", "heavy", "g", (F.col("k") <= F.col("light_limit")).alias("is_light")), "cells")
 
     def top_terms(self, top: int = TOP_TERMS) -> DataFrame:
         """lang, source, item, value, rank: the terms that a group has more of than its language, the farthest first."""
@@ -133,15 +134,15 @@ class Audit:
     def _tiles(self) -> DataFrame:
         """lang, g, h, value of the terms in tiles (tile 0 and up) and of all terms' base with the one-sided light ones (tile -1), g < h."""
         tiles = F.ceil(F.col("heavy") / self.tile).cast("long")
-        row = ["lang", "tile", "gid", "kind", "term", "p", "w"]
+        row = ["lang", "g", "tile", "gid", "kind", "term", "p", "w"]
         heavy = self.cells.where("NOT is_light").withColumn("tile", F.pmod(F.xxhash64("term"), tiles)).withColumn("kind", F.lit(1)).withColumn("w", F.lit(1).cast("long"))
-        hist = self.cells.where("is_light").groupBy("lang", "gid", "p").agg(F.count(F.lit(1)).alias("w")).withColumn("tile", F.lit(-1).cast("long")).withColumn("kind", F.lit(2)).withColumn("term", F.lit(None).cast("string"))
-        base = self.groups.withColumn("tile", F.explode(F.sequence(F.lit(-1).cast("long"), tiles - 1))).select("lang", "tile", "gid", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.col("v").alias("w"))
+        hist = self.cells.where("is_light").groupBy("lang", "g", "gid", "p").agg(F.count(F.lit(1)).alias("w")).withColumn("tile", F.lit(-1).cast("long")).withColumn("kind", F.lit(2)).withColumn("term", F.lit(None).cast("string"))
+        base = self.groups.withColumn("tile", F.explode(F.sequence(F.lit(-1).cast("long"), tiles - 1))).select("lang", "g", "tile", "gid", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.col("v").alias("w"))
         rows = heavy.select(row).union(hist.select(row)).union(base)
         # each block meets each other one: a row goes to as many tasks as the language has blocks
-        blocks = self.langs.select("lang", F.ceil(F.col("g") / self.block).cast("long").alias("blocks"))
-        rows = rows.join(blocks, "lang").withColumn("own", F.floor(F.col("gid") / self.block)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("own", "other", "blocks")
+        blocks = F.ceil(F.col("g") / self.block).cast("long")
+        rows = rows.withColumn("own", F.floor(F.col("gid") / self.block)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("own", "other", "g")
         block = self.block
 
         def run(key, t):
