@@ -26,7 +26,7 @@ ALIASES = {
 
 
 def _found(df: DataFrame, name: str, nested: str | None) -> Column | None:
-    """The column called name; a dotted name is looked up in the struct or JSON column before the dot, or in the JSON column nested."""
+    """The column called name; a dotted name is looked up in the struct or JSON column before the dot; any name else in the JSON column nested."""
     if name in df.columns:
         return F.col(f"`{name}`")
     first, _, rest = name.partition(".")
@@ -34,7 +34,7 @@ def _found(df: DataFrame, name: str, nested: str | None) -> Column | None:
         kind = dict(df.dtypes)[first]
         fields = df.schema[first].dataType.fieldNames() if kind.startswith("struct") else ()
         return F.col(name) if rest in fields else s.dig(f"`{first}`", rest) if kind == "string" else None
-    return s.dig(nested, name) if rest and nested else None
+    return s.dig(nested, name) if nested else None
 
 
 def picked(df: DataFrame, names: tuple[str, ...], nested: str | None = None) -> Column:
@@ -46,10 +46,11 @@ def picked(df: DataFrame, names: tuple[str, ...], nested: str | None = None) ->
 def raw_records(df: DataFrame, source_name: str, workspace: str = "default", mapping: dict[str, str] | None = None, nested: str | None = None) -> DataFrame:
     """Raw address rows from any table; rows without id or text are dropped. mapping names a field's column, before the aliases."""
     field = {k: picked(df, ((mapping[k],) if mapping and k in mapping else ()) + v, nested) for k, v in ALIASES.items()}
+    payload = F.col(nested) if nested and df.columns == [nested] else F.to_json(F.struct("*"))
     out = df.select(
         F.lit(workspace).alias("workspace_name"), F.lit(source_name).alias("source_name"), field["external_id"].alias("external_id"), field["raw_address_text"].alias("raw_address_text"),
         *[field[k].alias(k) for k in ("city", "province", "postal_code")], F.coalesce(field["country_code"], F.lit("CA")).alias("country_code"),
-        *[field[k].try_cast("double").alias(k) for k in ("latitude", "longitude")], field["source_cursor"].alias("source_cursor"), F.to_json(F.struct("*")).alias("source_payload"), F.lit(True).alias("is_active"),
+        *[field[k].try_cast("double").alias(k) for k in ("latitude", "longitude")], field["source_cursor"].alias("source_cursor"), payload.alias("source_payload"), F.lit(True).alias("is_active"),
     )
     return out.where("external_id IS NOT NULL AND raw_address_text IS NOT NULL")
 
@@ -75,10 +76,21 @@ def import_csv(spark: SparkSession, path: str, table, source_name: str, workspac
     return seen.get["n"], ingested.get["n"]
 
 
+def cursor_order(cursor: Column) -> Column:
+    """Cursors in their order: numbers as numbers, above others; texts (such as times) as texts."""
+    return F.struct(cursor.try_cast("double").alias("number"), cursor.alias("text"))
+
+
 def run_once(records: DataFrame, table, settings, key: str) -> str | None:
-    """One ingestion run: upserts records (of raw_records()), then stores and returns the largest source_cursor as setting key; without rows the cursor stays."""
-    last = records.agg(F.max("source_cursor")).first()[0]
-    table.upsert(records, ["workspace_name", "source_name", "external_id"])
+    """One ingestion run: upserts records (of raw_records()), then stores and returns the largest source_cursor as setting key; without rows the cursor stays.
+
+    The largest cursor is observed while the records are written, so they are read once.
+    """
+    seen = Observation("cursor")
+    order = cursor_order(F.col("source_cursor"))
+    observed = records.withColumn("__order", order).observe(seen, F.max(order).alias("last"))
+    table.upsert(observed, ["workspace_name", "source_name", "external_id"], order="__order")
+    last = (seen.get["last"] or {"text": None})["text"]
     if last is not None:
         settings.upsert(records.sparkSession.createDataFrame([(key, last)], "setting_key string, setting_value string"), ["setting_key"])
     return last
@@ -129,28 +141,41 @@ def nested_orders(batches: DataFrame, drivers: DataFrame, orders: DataFrame) ->
     return rows, rows.agg(F.max("add_time").alias("next_cursor"))
 
 
-def pages_of(fetch: Callable[[str | None], dict], data_path: str = "data", cursor_path: str = "next_cursor", more_path: str = "has_more", cursor: str | None = None, retries: int = 3, wait: float = 1.0) -> Iterator[list[dict]]:
-    """Pages of an API by its cursor; fetch(cursor) returns a decoded body."""
+def page_of(body, data_path: str = "data", cursor_path: str = "next_cursor", more_path: str = "has_more", status: str | None = None) -> tuple[list[dict], str | None, bool]:
+    """Records, next cursor and whether there is more, of a decoded body: a list, or an object with these at dotted paths or under their usual names.
+
+    status: what the body's own status must be, where it has one. Records that are no objects are left out.
+    """
 
-    def at(body, path):
-        for part in path.split("."):
-            body = body.get(part) if isinstance(body, dict) else None
-        return body
+    def at(path, *names):
+        value = body
+        for part in path.split(".") if path else ():
+            value = value.get(part) if isinstance(value, dict) else None
+        return next((v for v in (value if path else None, *(body.get(n) for n in names)) if v not in (None, "")), None)
 
+    if isinstance(body, list):
+        return [r for r in body if isinstance(r, dict)], None, False
+    if status is not None and body.get("status") not in (status, None):
+        raise ValueError(f"unexpected status of a page: {body.get('status')}")
+    following = at(cursor_path, "next_cursor", "cursor")
+    rows = at(data_path, "records", "data") or []
+    return [r for r in rows if isinstance(r, dict)], None if following is None else str(following), bool(at(more_path, "has_more", "more"))
+
+
+def pages_of(fetch: Callable[[str | None], dict], data_path: str = "data", cursor_path: str = "next_cursor", more_path: str = "has_more", cursor: str | None = None, retries: int = 3, wait: float = 1.0) -> Iterator[list[dict]]:
+    """Pages of an API by its cursor; fetch(cursor) returns a decoded body."""
     while True:
         for k in range(retries):
             try:
-                body = fetch(cursor)
+                rows, new, more = page_of(fetch(cursor), data_path, cursor_path, more_path)
                 break
             except OSError:
                 if k == retries - 1:
                     raise
                 time.sleep(wait * (k + 1))
-        rows = body if isinstance(body, list) else at(body, data_path) or at(body, "records") or []
         if rows:
             yield rows
-        new = None if isinstance(body, list) else at(body, cursor_path)
-        if not rows or new in (None, cursor) or not at(body, more_path):
+        if not rows or new in (None, cursor) or not more:
             return
         cursor = new
 
