@@ -79,6 +79,21 @@ class KeyedTable:
         manifest = self.manifest()
         return manifest and self._rows(manifest, list(manifest["buckets"]))
 
+    def create(self, schema: str) -> None:
+        """The table without rows."""
+        kinds = self.spark.createDataFrame([], schema).schema
+        self._commit({"version": 0, "n_buckets": self.buckets, "schema": kinds.jsonValue(), "buckets": {}, "batches": {}})
+
+    def _number(self, n_buckets: int):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(n_buckets)).cast("int")
+
+    def rows_of(self, keys: DataFrame) -> DataFrame:
+        """The rows of the buckets in which keys (rows with the key's columns) lie: these keys' rows and some others."""
+        manifest = self.manifest()
+        kinds = {f.name: f.dataType for f in StructType.fromJson(manifest["schema"])}
+        numbers = keys.select(*[F.col(k).cast(kinds[k]) for k in self.keys]).select(self._number(manifest["n_buckets"]).alias("n")).distinct()
+        return self._rows(manifest, [str(r.n) for r in numbers.collect()])  # n_buckets numbers at most
+
     def upsert(self, source: DataFrame, keys: list[str] | None = None, rules: dict[str, str] | None = None, order: str | None = None, batch: tuple[str, int] | None = None) -> list[int]:
         """Merges source's rows by key; returns the buckets that were rewritten.
 
@@ -103,10 +118,13 @@ class KeyedTable:
         staged, folder = f"staged-{version:012d}", f"v{version:012d}"
         self._remove(f"data/{staged}")
         self._remove(f"data/{folder}")  # of a run that was cut off before its commit
-        number = F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
+        number = self._number(buckets)
         new.withColumn(BUCKET, number).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{staged}")
         touched = sorted(int(n.split("=")[1]) for n in self._names(f"data/{staged}") if n.startswith(BUCKET))
         new_rows = self.spark.read.schema(new.schema).parquet(*[f"{self.path}/data/{staged}/{BUCKET}={n}" for n in touched]) if touched else None
+        if manifest and not touched and not batch:
+            self._remove(f"data/{staged}")
+            return []
         pointers = dict(manifest["buckets"]) if manifest else {}
         if touched:
             if manifest:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waymark.operators.decision import DecisionPolicy, validate
+from waymark.operators.keyed_table import KeyedTable
 from waymark.operators.upsert import COALESCE, VersionedTable, latest
 
 
@@ -19,15 +20,17 @@ def clean_batch(raw: DataFrame, references: DataFrame, published: DataFrame | No
     return validate(fresh, references, policy).select(*columns).withColumn("status", F.lit("completed"))
 
 
-def clean_stream(raw: DataFrame, references: DataFrame, table_path: str, checkpoint: str, policy: DecisionPolicy | None = None, interval: str | None = None) -> StreamingQuery:
-    """Cleans a stream of raw rows into a versioned table; a batch that is run again finds its rows published and adds nothing.
+def clean_stream(raw: DataFrame, references: DataFrame, table_path: str | KeyedTable, checkpoint: str, policy: DecisionPolicy | None = None, interval: str | None = None) -> StreamingQuery:
+    """Cleans a stream of raw rows into a versioned table, or into a keyed one, of which a batch rewrites only its buckets; a batch that is run again finds its rows published and adds nothing.
 
     interval None drains what is there and ends; else batches are triggered at the interval and never overlap.
     """
 
     def publish(batch: DataFrame, _: int) -> None:
-        table = VersionedTable(batch.sparkSession, table_path)
-        table.upsert(clean_batch(batch, references, table.read(), policy), ["workspace_name", "raw_id"], {"reason": COALESCE})
+        keyed = isinstance(table_path, KeyedTable)
+        table = table_path if keyed else VersionedTable(batch.sparkSession, table_path)
+        published = table.rows_of(batch) if keyed and table.manifest() else table.read()
+        table.upsert(clean_batch(batch, references, published, policy), ["workspace_name", "raw_id"], {"reason": COALESCE})
 
     writer = raw.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
