@@ -169,7 +169,7 @@ def test_golden_cases_end_to_end(spark, tmp_path):
 
     lines = ['{"raw_address_text": "101-123 Main St, Halifax, NS", "expected": {"street_number": "123", "street_name": "main  st", "unit_number": "#101"}}', "", '{"raw_address_text": "12 Oak Ave", "city": "Halifax", "expected": {"unit_number": null, "street_number": "13"}}']
     (tmp_path / "cases.jsonl").write_text("\n".join(lines))
-    (tmp_path / "weights.json").write_text('{"parser_weights": {"simple_rule": 0.25, "x": "no"}}')
+    (tmp_path / "weights.json").write_text('{"decision_policy": {"parser_weights": {"simple_rule": 0.25, "x": "no"}}}')
     assert ingest.read_weights(spark, f"file://{tmp_path}/weights.json") == {"simple_rule": 0.25}
     cases = ingest.read_benchmark(spark, f"file://{tmp_path}/cases.jsonl")
     raw = cases.select(F.lit("w").alias("workspace_name"), F.col("case_id").alias("raw_id"), "raw_address_text", "city", "province", "postal_code", F.lit("CA").alias("country_code"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))

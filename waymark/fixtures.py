@@ -58,7 +58,7 @@ _KEPT = "'default' AS workspace_name, CASE WHEN raw_id % 97 = 0 THEN -raw_id ELS
 #: What a candidate and the active model say; a few rows have no result under their id.
 CANDIDATE = f"""
 SELECT {_KEPT}, CASE WHEN raw_id % 29 = 0 THEN 'review' ELSE decision END AS decision, building_type,
-  CASE WHEN raw_id % 31 = 0 THEN concat('# ', unit_number) ELSE unit_number END AS unit_number, confidence
+  CASE WHEN raw_id % 31 = 0 AND unit_number IS NOT NULL THEN concat('# ', unit_number) ELSE unit_number END AS unit_number, confidence
 FROM ({RESULT}) r
 """
 

@@ -15,12 +15,14 @@ DEFAULT_PARSERS = tuple(PARSERS)
 CLOSE_DELTA = 0.08
 
 
-def score(parsed: Column, weight: float = 0.0) -> Column:
+def score(parsed: Column, weight: float | Column = 0.0) -> Column:
     part = lambda name: F.coalesce(parsed[name], F.lit(0.0))
     base = F.lit(0.70) * part("parse_confidence") + F.lit(0.20) * part("unit_confidence") + F.lit(0.10) * part("postal_confidence")
     base = base + F.when(parsed["street_number"].isNotNull() & parsed["street_name"].isNotNull(), 0.05).otherwise(0.0)
     base = base + F.when(s.filled(parsed["postal_code"]).isNotNull(), 0.03).otherwise(0.0)
-    if weight:
+    if isinstance(weight, Column):
+        base = base + F.least(F.greatest(weight, F.lit(0.0)), F.lit(1.0)) * 0.03
+    elif weight:
         base = base + F.lit(min(max(float(weight), 0.0), 1.0) * 0.03)
     return F.round(F.least(base, F.lit(0.99)), 4)
 

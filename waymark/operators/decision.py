@@ -81,16 +81,20 @@ def validate(df: DataFrame, references: DataFrame, policy: DecisionPolicy | None
     longitude. Parsing has no shuffle; the reference join is the only one.
     """
     policy, profile = policy or DecisionPolicy(), profile_of(profile)
-    out = close_candidates(parsed(df, profile, parsers, policy.parser_weights, drop_stub), policy.close_candidate_delta)
+    return decided(close_candidates(parsed(df, profile, parsers, policy.parser_weights, drop_stub), policy.close_candidate_delta), references, policy, profile)
+
+
+def decided(out: DataFrame, references: DataFrame, policy, profile: CountryProfile, carried: tuple[str, ...] = (), localities: tuple[str, ...] = ("city",)) -> DataFrame:
+    """Decisions of rows that have best, parser_disagreement and alternate_units. policy: thresholds as numbers or columns; carried: columns that stay."""
     p = F.col("best")["parsed"]
     out = once(out, {
         "parser_name": F.col("best")["parser_name"], "parse_score": F.col("best")["score"], "street_number": p["street_number"], "street_name": s.street(p["street_name"]),
         "unit_number": s.unit_number(p["unit_number"]), "parser_base_key": p["base_address_key"],
         "__city": F.coalesce(s.city_name(F.coalesce(p["city"], F.col("city")))), "__province": s.province_code(F.coalesce(p["province"], F.col("province")), profile), "__postal": s.first_filled(p["postal_code"], "postal_code"),
-        "parser_disagreement": F.col("parser_disagreement"), "alternate_units": F.col("alternate_units"),  # all that is used above the generator comes through it
+        "parser_disagreement": F.col("parser_disagreement"), "alternate_units": F.col("alternate_units"), **{c: F.col(c) for c in carried},  # all that is used above the generator comes through it
     })
-    slim = out.select("workspace_name", "raw_id", "raw_address_text", "country_code", "latitude", "longitude", "parser_name", "parse_score", "street_number", "street_name", "unit_number", F.col("__city").alias("city"), F.col("__province").alias("province"), F.col("__postal").alias("postal_code"), "parser_base_key", "parser_disagreement", "alternate_units", "best")  # candidates stay behind
-    out = match_reference(slim, references)
+    slim = out.select(*carried, "workspace_name", "raw_id", "raw_address_text", "country_code", "latitude", "longitude", "parser_name", "parse_score", "street_number", "street_name", "unit_number", F.col("__city").alias("city"), F.col("__province").alias("province"), F.col("__postal").alias("postal_code"), "parser_base_key", "parser_disagreement", "alternate_units", "best")  # candidates stay behind
+    out = match_reference(slim, references, localities)
     out = out.withColumn("building_type", s.structure_type("raw_address_text", "unit_number"))
     out = out.withColumn("__d", ladder(policy))
     located = F.col("reference_id").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()

@@ -94,14 +94,17 @@ def coverage(n: Column, total: Column) -> Column:
 
 
 def learned_policy(gold: DataFrame, results: DataFrame) -> DataFrame:
-    """Thresholds from accepted labels joined with results: each keeps its default where no row tells it."""
-    g = gold.where((F.col("review_status") == "accepted") & (F.col("label_source") == "human")).select("workspace_name", F.col("source_id"), gold_value("decision", "gold_decision").alias("d"))
-    r = results.select("workspace_name", F.col("raw_id").cast("string").alias("source_id"), "building_type", "confidence", "reference_score")
-    j = g.join(r, ["workspace_name", "source_id"])
-    c, d, b = F.col("confidence"), F.col("d"), F.col("building_type")
-    m = j.agg(
+    """Thresholds from accepted human labels joined with results: each keeps its default where no row tells it.
+
+    The label's own decision and building type count, as they stand (a decision "correct" is no accept); a missing confidence counts as 0.
+    """
+    text = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    g = gold.where((F.col("review_status") == "accepted") & (F.col("label_source") == "human")).select("workspace_name", "source_id", text("gold_decision").alias("d"), text("gold_building_type").alias("b"))
+    r = results.select("workspace_name", F.col("raw_id").cast("string").alias("source_id"), F.coalesce("confidence", F.lit(0.0)).alias("c"), F.coalesce("reference_score", F.lit(0.0)).alias("s"))
+    c, d, b, at = F.col("c"), F.col("d"), F.col("b"), F.col("s")
+    m = g.join(r, ["workspace_name", "source_id"]).agg(
         F.min(F.when((d == "accept") & (b == "commercial"), c)).alias("ac"), F.min(F.when((d == "accept") & (b == "multi_unit"), c)).alias("am"), F.min(F.when(d == "accept", c)).alias("a"),
-        F.min(F.when(d == "review", c)).alias("r"), F.max(F.when(d == "reject", c)).alias("x"), F.min(F.when(F.col("reference_score") > 0, F.col("reference_score"))).alias("ref"),
+        F.min(F.when(d == "review", c)).alias("r"), F.max(F.when(d == "reject", c)).alias("x"), F.min(F.when(at > 0, at)).alias("ref"),
     )
     low = lambda floor, name, step, default: F.coalesce(F.round(F.when(F.col(name).isNotNull(), F.greatest(F.lit(floor), F.col(name) + step)), 4), F.lit(default))
     out = m.select(
@@ -109,7 +112,8 @@ def learned_policy(gold: DataFrame, results: DataFrame) -> DataFrame:
         low(0.4, "r", -0.01, 0.62).alias("moderate_review"), low(0.4, "r", -0.01, 0.72).alias("parser_disagreement_review"), low(0.4, "r", -0.01, 0.72).alias("commercial_review"),
         low(0.5, "ref", 0.0, 0.62).alias("gps_weak_match"), low(0.4, "ref", -0.05, 0.5).alias("gps_conflict"),
     )
-    return out.withColumn("moderate_review", F.round(F.greatest(F.col("moderate_review"), F.coalesce(F.col("x") + 0.01, F.col("moderate_review"))), 4)).drop("x")
+    above = F.round(F.col("x") + 0.01, 4)
+    return out.withColumn("moderate_review", F.greatest(F.col("moderate_review"), F.coalesce(above, F.col("moderate_review")))).drop("x")
 
 
 def parser_weights(accuracies: DataFrame) -> DataFrame:
@@ -125,12 +129,12 @@ def parser_weights(accuracies: DataFrame) -> DataFrame:
 
 
 def reranking_weights(features: DataFrame) -> DataFrame:
-    """Precision for each parser source."""
+    """Precision for each parser source: the parser's name, else the rule that found the unit."""
     return features.groupBy("unit_source").agg(F.round(F.avg(F.col("target_is_correct").cast("double")), 4).alias("precision"), F.count(F.lit(1)).alias("n"))
 
 
 def replay(active: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Both models' results of the same rows (workspace_name, raw_id, decision, building_type, unit_number, confidence) with match flags; null and '' are equal."""
+    """Both models' results of the same rows (workspace_name, raw_id, decision, building_type, unit_number (the suggested one), confidence) with match flags; null and '' are equal."""
     a = active.select("workspace_name", "raw_id", *[F.col(c).alias(f"a_{c}") for c in (*FIELDS, "confidence")])
     b = candidate.select("workspace_name", "raw_id", *[F.col(c).alias(f"c_{c}") for c in (*FIELDS, "confidence")])
     j = a.join(b, ["workspace_name", "raw_id"])

@@ -9,6 +9,7 @@ from waymark.functions import scalars as s
 from waymark.functions.profile import COMMERCIAL_HINTS, LONG_PROVINCES, POSTAL, PROVINCES, SIMPLE, TARGET_WORDS, UNIT_HINTS, get_profile
 from waymark.operators import assets, candidates, evaluate, labels, upsert
 from waymark.operators.decision import REASONS, validate
+from waymark.operators.models import Model
 from waymark.operators.parsers import spread
 from waymark.operators.reference import city_compatible, gps_score
 from waymark.sources import ingest, tables
@@ -128,6 +129,49 @@ v AS (SELECT *, {_ladder()}, round(greatest(parse_score, coalesce(reference_scor
   CASE WHEN street_number IS NOT NULL AND street_name IS NOT NULL AND province IS NOT NULL THEN {_base('street_number', 'street_name', 'city', 'province', 'postal_code')} END AS canonical_base_key,
   coalesce(unit_number, units[1], alternate_unit) AS suggested_unit FROM j)"""
 
+def _swapped(text: str, *pairs: tuple[str, str]) -> str:
+    for a, b in pairs:
+        if a not in text:
+            raise ValueError(f"not in the SQL: {a}")
+        text = text.replace(a, b)
+    return text
+
+
+def _models(models: list[Model], over: dict[str, float] | None = None) -> str:
+    """_VALID with a row v for each row and model: mdl lists the models' parsers, weights and thresholds; a parser that a model leaves out scores -1."""
+    d = lambda v: f"CAST({v} AS DOUBLE)"
+    names = {"simple_rule": "s", "hybrid_canada": "h", "libpostal": "l"}
+    columns = ["model", *[f"{k}_{x}" for x in names.values() for k in ("use", "w")], "t_delta", "t_commercial", "t_multi", "t_disagree", "t_creview", "t_high", "t_moderate"]
+    rows = []
+    for m in models:
+        p = m.policy
+        weights = {**p.parser_weights, **(over or {})}
+        flags = [v for n in names for v in (str(n in m.parsers).lower(), d(min(max(weights.get(n, 0.0), 0.0), 1.0)))]
+        numbers = [p.close_candidate_delta, p.commercial_accept, p.multi_unit_accept, p.parser_disagreement_review, p.commercial_review, p.high_confidence_accept, p.moderate_review]
+        rows.append(f"({', '.join([_q(m.name), *flags, *map(d, numbers)])})")
+    mdl = f"mdl({', '.join(columns)}) AS (VALUES {', '.join(rows)})"
+    scored = _PARSED
+    for x in ("s", "h", "l"):
+        at = scored.index(f" AS {x}_score")
+        start = scored.rindex("round(least(", 0, at)
+        old = scored[start:at]
+        new = old.replace(", CAST(0.99 AS DOUBLE)), 4)", f" + w_{x} * {d(0.03)}, CAST(0.99 AS DOUBLE)), 4)")
+        scored = scored[:start] + f"CASE WHEN use_{x} THEN {new} ELSE -1 END" + scored[at:]
+    scored = _swapped(scored, ("AS l_score FROM par)", "AS l_score FROM par CROSS JOIN mdl)"), ("b AS (SELECT workspace_name,", "b AS (SELECT model, workspace_name,"), ("parse_score - CAST(0.08 AS DOUBLE)", "parse_score - t_delta"))
+    matched = _swapped(
+        _MATCH, ("pr AS (SELECT b.raw_id,", "pr AS (SELECT b.model, b.raw_id,"), ("PARTITION BY raw_id", "PARTITION BY model, raw_id"), ("un AS (SELECT raw_id,", "un AS (SELECT model, raw_id,"), ("FROM ps GROUP BY raw_id", "FROM ps GROUP BY model, raw_id"),
+        ("mt AS (SELECT rk.raw_id,", "mt AS (SELECT rk.model, rk.raw_id,"), ("ON rk.raw_id = un.raw_id", "ON rk.model = un.model AND rk.raw_id = un.raw_id"),
+    )
+    valid = _swapped(
+        _VALID[len(f"{_PARSED}, {_MATCH},") :], ("FROM b LEFT JOIN mt ON b.raw_id = mt.raw_id", "FROM b LEFT JOIN mt ON b.model = mt.model AND b.raw_id = mt.raw_id"), ("FROM j)", "FROM j JOIN mdl USING (model))"),
+        ("'commercial' AND parse_score >= CAST(0.88 AS DOUBLE)", "'commercial' AND parse_score >= t_commercial"), ("'multi_unit' AND parse_score >= CAST(0.72 AS DOUBLE)", "'multi_unit' AND parse_score >= t_multi"),
+        ("parser_disagreement AND parse_score >= CAST(0.72 AS DOUBLE)", "parser_disagreement AND parse_score >= t_disagree"), ("'commercial' AND parse_score >= CAST(0.72 AS DOUBLE)", "'commercial' AND parse_score >= t_creview"),
+        ("parse_score >= CAST(0.82 AS DOUBLE)", "parse_score >= t_high"), ("parse_score >= CAST(0.62 AS DOUBLE)", "parse_score >= t_moderate"),
+        ("WHEN parser_disagreement AND", "WHEN unit_number IS NULL AND alternate_unit IS NOT NULL AND building_type IN ('multi_unit', 'commercial') THEN 'enrich' WHEN parser_disagreement AND"),
+    )
+    return f"{mdl}, {scored}, {matched}, {valid}"
+
+
 # ---- queries ----
 
 Q: dict = {}
@@ -324,18 +368,24 @@ def _cleaning(spark, d):
     return evaluate.distribution(derived(spark, d, "result"))
 
 
-@_query("decision_policy", f"""WITH {ctes('gold', 'result')}, j AS (SELECT CASE WHEN lower(gold_decision) = 'correct' THEN 'accept' ELSE gold_decision END AS d, building_type AS b, confidence AS c, reference_score AS s FROM gold g JOIN result r ON g.source_id = CAST(r.raw_id AS VARCHAR) WHERE review_status = 'accepted' AND label_source = 'human'),
-m AS (SELECT min(c) FILTER (d = 'accept' AND b = 'commercial') AS ac, min(c) FILTER (d = 'accept' AND b = 'multi_unit') AS am, min(c) FILTER (d = 'accept') AS a, min(c) FILTER (d = 'review') AS r, max(c) FILTER (d = 'reject') AS x, min(s) FILTER (s > 0) AS f FROM j)
-SELECT coalesce(round(greatest(0.7::DOUBLE, nullif(ac - 0.01::DOUBLE, NULL)), 4), 0.88::DOUBLE) AS commercial_accept, round(greatest(0.55::DOUBLE, am - 0.01::DOUBLE), 4) AS multi_unit_accept, round(greatest(0.65::DOUBLE, a - 0.01::DOUBLE), 4) AS high_confidence_accept,
- round(greatest(round(greatest(0.4::DOUBLE, r - 0.01::DOUBLE), 4), x + 0.01::DOUBLE), 4) AS moderate_review, round(greatest(0.4::DOUBLE, r - 0.01::DOUBLE), 4) AS parser_disagreement_review, round(greatest(0.4::DOUBLE, r - 0.01::DOUBLE), 4) AS commercial_review, round(greatest(0.5::DOUBLE, f), 4) AS gps_weak_match, round(greatest(0.4::DOUBLE, f - 0.05::DOUBLE), 4) AS gps_conflict FROM m""")
+_ROUND = lambda floor, x, step, default: f"coalesce(round(greatest(CAST({floor} AS DOUBLE), nullif({x}, -1) + CAST({step} AS DOUBLE)), 4), CAST({default} AS DOUBLE))"
+
+
+@_query("decision_policy", f"""WITH {ctes('gold', 'result')}, j AS (SELECT lower(trim(coalesce(gold_decision, ''))) AS d, lower(trim(coalesce(gold_building_type, ''))) AS b, coalesce(confidence, 0) AS c, coalesce(reference_score, 0) AS s
+  FROM gold g JOIN result r ON g.workspace_name = r.workspace_name AND g.source_id = CAST(r.raw_id AS VARCHAR) WHERE review_status = 'accepted' AND label_source = 'human'),
+m AS (SELECT coalesce(min(c) FILTER (d = 'accept' AND b = 'commercial'), -1) AS ac, coalesce(min(c) FILTER (d = 'accept' AND b = 'multi_unit'), -1) AS am, coalesce(min(c) FILTER (d = 'accept'), -1) AS a,
+  coalesce(min(c) FILTER (d = 'review'), -1) AS r, max(c) FILTER (d = 'reject') AS x, coalesce(min(s) FILTER (s > 0), -1) AS f FROM j)
+SELECT {_ROUND(0.7, 'ac', -0.01, 0.88)} AS commercial_accept, {_ROUND(0.55, 'am', -0.01, 0.72)} AS multi_unit_accept, {_ROUND(0.65, 'a', -0.01, 0.82)} AS high_confidence_accept,
+  greatest({_ROUND(0.4, 'r', -0.01, 0.62)}, round(x + CAST(0.01 AS DOUBLE), 4)) AS moderate_review, {_ROUND(0.4, 'r', -0.01, 0.72)} AS parser_disagreement_review, {_ROUND(0.4, 'r', -0.01, 0.72)} AS commercial_review,
+  {_ROUND(0.5, 'f', 0.0, 0.62)} AS gps_weak_match, {_ROUND(0.4, 'f', -0.05, 0.5)} AS gps_conflict FROM m""")
 def _policy(spark, d):
     return evaluate.learned_policy(derived(spark, d, "gold"), derived(spark, d, "result"))
 
 
-@_query("replay_summary", f"""WITH {ctes('raw', 'reference', 'result')}, {_VALID}, a AS (SELECT raw_id, decision AS ad, building_type AS ab, coalesce(unit_number, '') AS au, confidence AS ac FROM result), j2 AS (SELECT a.*, v.decision AS cd, v.building_type AS cb, coalesce(v.unit_number, '') AS cu, v.confidence AS cc FROM a JOIN v USING (raw_id))
+@_query("replay_summary", f"""WITH {ctes('raw', 'reference', 'result')}, {_VALID}, a AS (SELECT raw_id, decision AS ad, building_type AS ab, coalesce(unit_number, '') AS au, confidence AS ac FROM result), j2 AS (SELECT a.*, v.decision AS cd, v.building_type AS cb, coalesce(v.suggested_unit, '') AS cu, v.confidence AS cc FROM a JOIN v USING (raw_id))
 SELECT count(*) AS processed, {_rate('ad = cd')} AS decision_match_rate, {_rate('ab = cb')} AS building_type_match_rate, {_rate('au = cu')} AS unit_number_match_rate, {_rate('NOT (ad = cd AND ab = cb AND au = cu)')} AS disagreement_rate, {_rate("cd = 'review'")} AS review_rate, {_rate("cd = 'reject'")} AS reject_rate, round(coalesce(avg(cc - ac), 0), 4) AS confidence_delta FROM j2""")
 def _replay(spark, d):
-    return evaluate.replay_summary(evaluate.replay(derived(spark, d, "result"), _validated(spark, d)))
+    return evaluate.replay_summary(evaluate.replay(derived(spark, d, "result"), _validated(spark, d).withColumn("unit_number", F.col("suggested_unit"))))
 
 
 @_query("release_gate", f"WITH {ctes('model')} SELECT version, CASE WHEN score / 2000 < 0.90::DOUBLE THEN 'decision_f1' WHEN score / 1500 < 0.85::DOUBLE THEN 'building_type_f1' WHEN promoted_at IS NULL THEN 'unit_recall' WHEN created_at / 1000.0::DOUBLE > 0.35::DOUBLE THEN 'review_rate' END AS blocked_by FROM model")

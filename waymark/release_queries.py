@@ -4,22 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.fixtures import ctes, derived
-from waymark.operators import evaluate, labels, release
-from waymark.queries import _COMPARE, _HINTED, _RATES, _VALID, _query, _unit, _validated
+from waymark.fixtures import RAW, ctes, derived
+from waymark.operators import evaluate, labels, models, release
+from waymark.operators.candidates import DEFAULT_PARSERS
+from waymark.operators.models import Model, model_of
+from waymark.operators.parsers import spread
+from waymark.queries import _COMPARE, _PRESCREEN, _RATES, _VALID, _models, _query, _street, _unit, _validated
 
 _DEFAULTS = "coalesce(d, '') AS d, coalesce(b, '') AS b, coalesce(u, '') AS u"
 _NORMAL = f"""SELECT raw_id, coalesce(CASE WHEN lower(trim(decision)) = 'correct' THEN 'accept' ELSE nullif(trim(decision), '') END, '') AS d,
   coalesce(nullif(trim(building_type), ''), '') AS b, coalesce({_unit("nullif(trim(unit_number), '')")}, '') AS u"""
 
 
-def _runs(limit: int, where: str) -> str:
-    """cmp: the newest rows with what is current (k), the candidate (c) and the active model (a) say."""
-    return f"""nk AS ({_NORMAL} FROM result), nc AS ({_NORMAL} FROM candidate), na AS ({_NORMAL} FROM active),
+_PLAIN = "SELECT raw_id, decision AS d, building_type AS b, unit_number AS u"
+
+
+def _runs(limit: int, where: str, value: str = _NORMAL) -> str:
+    """ok: the newest rows with what is current (k), the candidate (c) and the active model (a) say."""
+    return f"""nk AS ({value} FROM result), nc AS ({value} FROM candidate), na AS ({value} FROM active), {_flags(limit, where)}"""
+
+
+def _filled(x: str) -> str:
+    return f"(coalesce({x}d, ''), coalesce({x}b, ''), coalesce({x}u, ''))"
+
+
+def _flags(limit: int, where: str) -> str:
+    return f"""
 rws AS (SELECT raw_id, raw_address_text FROM raw {where} ORDER BY raw_id DESC LIMIT {limit}),
 jn AS (SELECT rws.*, nc.raw_id IS NULL OR na.raw_id IS NULL AS failed, nk.raw_id IS NOT NULL AS known, nk.d AS kd, nk.b AS kb, nk.u AS ku, nc.d AS cd, nc.b AS cb, nc.u AS cu, na.d AS ad, na.b AS ab, na.u AS au
   FROM rws LEFT JOIN nk USING (raw_id) LEFT JOIN nc USING (raw_id) LEFT JOIN na USING (raw_id)),
-ok AS (SELECT *, (cd, cb, cu) <> (ad, ab, au) AS different, (cd, cb, cu) = (kd, kb, ku) AS ck, (ad, ab, au) = (kd, kb, ku) AS ak FROM jn WHERE NOT failed)"""
+ok AS (SELECT *, cd IS DISTINCT FROM ad OR cb IS DISTINCT FROM ab OR cu IS DISTINCT FROM au AS different, {_filled('c')} = {_filled('k')} AS ck, {_filled('a')} = {_filled('k')} AS ak FROM jn WHERE NOT failed)"""
 
 
 def _share(c: str) -> str:
@@ -33,31 +47,70 @@ def _four(spark, d):
     return [derived(spark, d, n) for n in ("raw", "result", "candidate", "active")]
 
 
-@_query("historical_replay", f"""WITH {_FIXTURES}, {_runs(2000, 'WHERE is_active')}
-SELECT (SELECT count(*) FROM jn) AS total_samples, (SELECT count(*) FROM jn WHERE failed) AS failures, count(*) AS processed, count(*) FILTER (different) AS mismatches,
-  {_share('cd = ad')} AS decision_match_rate, {_share('cb = ab')} AS building_type_match_rate, {_share('cu = au')} AS unit_number_match_rate,
+_REPLAYED = f"""SELECT (SELECT count(*) FROM jn) AS total_samples, (SELECT count(*) FROM jn WHERE failed) AS failures, count(*) AS processed, count(*) FILTER (different) AS mismatches,
+  {_share("coalesce(cd, '') = coalesce(ad, '')")} AS decision_match_rate, {_share("coalesce(cb, '') = coalesce(ab, '')")} AS building_type_match_rate, {_share("coalesce(cu, '') = coalesce(au, '')")} AS unit_number_match_rate,
   {_share('ak')} AS active_current_match_rate, {_share('ck')} AS candidate_current_match_rate, {_share('different')} AS disagreement_rate, {_share('NOT different')} AS consistency_score
-FROM ok""")
+FROM ok"""
+
+
+@_query("historical_replay", f"WITH {_FIXTURES}, {_runs(2000, 'WHERE is_active', _PLAIN)} {_REPLAYED}")
 def _replay_run(spark, d):
     return release.replay_run(*_four(spark, d))
 
 
-@_query("mismatch_samples", f"""WITH {_FIXTURES}, {_runs(2000, 'WHERE is_active')}
+@_query("mismatch_samples", f"""WITH {_FIXTURES}, {_runs(2000, 'WHERE is_active', _PLAIN)}
 SELECT raw_id, raw_address_text, ad AS a_decision, cd AS c_decision, ab AS a_building_type, cb AS c_building_type, au AS a_unit_number, cu AS c_unit_number
 FROM ok WHERE different ORDER BY raw_id DESC LIMIT 50""")
 def _mismatches(spark, d):
     return release.mismatch_samples(*_four(spark, d))
 
 
-@_query("shadow_run", f"""WITH {_FIXTURES}, {_runs(500, '')},
-s AS (SELECT count(*) AS compared, {_share('ck')} AS candidate_match_rate, {_share('ak')} AS active_match_rate, {_share('different')} AS disagreement_rate FROM ok),
+_SHADOWED = f"""s AS (SELECT count(*) AS compared, {_share('ck')} AS candidate_match_rate, {_share('ak')} AS active_match_rate, {_share('different')} AS disagreement_rate FROM ok),
 t AS (SELECT *, round(candidate_match_rate - active_match_rate, 4) AS shadow_advantage, CAST(0 AS DOUBLE) AS score_delta FROM s),
 p AS (SELECT *, compared >= 50 AND score_delta >= 0 AND shadow_advantage >= 0 AND disagreement_rate <= CAST(0.10 AS DOUBLE) AS promote_recommended FROM t)
-SELECT *, CASE WHEN promote_recommended THEN 'promote_candidate' ELSE 'keep_active' END AS decision FROM p""")
+SELECT *, CASE WHEN promote_recommended THEN 'promote_candidate' ELSE 'keep_active' END AS decision FROM p"""
+
+
+@_query("shadow_run", f"WITH {_FIXTURES}, {_runs(500, '')}, {_SHADOWED}")
 def _shadow(spark, d):
     return release.shadow_run(*_four(spark, d))
 
 
+#: An active model and a candidate, as their artifacts have them.
+ACTIVE_MODEL = model_of({"parsers": ["simple_rule", "hybrid_canada", "libpostal"], "decision_policy": {"parser_weights": {"hybrid_canada": 0.5, "libpostal": 0.2}}}, "a")
+CANDIDATE_MODEL = model_of({"parsers": ["simple_rule", "hybrid_canada"], "decision_policy": {"high_confidence_accept_threshold": 0.7, "moderate_confidence_review_threshold": 0.3, "close_candidate_delta": 0.4, "parser_weights": {"simple_rule": 0.9}}}, "c")
+_WEIGHTS = ACTIVE_MODEL.policy.parser_weights
+
+
+def _model_runs(limit: int, where: str, value: str) -> str:
+    """ok: the newest rows with what both models say of them, without positions, and what is current."""
+    seen = f"raw AS (SELECT * REPLACE (NULL::DOUBLE AS latitude, NULL::DOUBLE AS longitude, 'CA' AS country_code) FROM rows0 {where} ORDER BY raw_id DESC LIMIT {limit})"
+    own = lambda m: f"{value} FROM (SELECT raw_id, decision, building_type, suggested_unit AS unit_number FROM v WHERE model = '{m}')"
+    tables = f"{ctes('reference', 'result')}, rows0 AS ({RAW}), {seen}, {_models([CANDIDATE_MODEL, ACTIVE_MODEL], _WEIGHTS)}"
+    return f"{tables}, nk AS ({value} FROM result), nc AS ({own('c')}), na AS ({own('a')}), {_flags(limit, '')}"
+
+
+def _model_tables(spark, d):
+    return [derived(spark, d, n) for n in ("raw", "reference", "result")] + [CANDIDATE_MODEL, ACTIVE_MODEL]
+
+
+@_query("model_replay", f"WITH {_model_runs(2000, 'WHERE is_active', _PLAIN)} {_REPLAYED}")
+def _model_replay(spark, d):
+    """Both models run on the newest active rows, in one plan."""
+    return release.replay_counts(release.replay_models(*_model_tables(spark, d)))
+
+
+@_query("model_replay_rows", f"WITH {_model_runs(2000, 'WHERE is_active', _PLAIN)} SELECT raw_id, cd AS c_decision, ad AS a_decision, cb AS c_building_type, ab AS a_building_type, cu AS c_unit_number, au AS a_unit_number, kd AS k_decision, different FROM ok")
+def _model_replay_rows(spark, d):
+    rows = release.replay_models(*_model_tables(spark, d))
+    return rows.select("raw_id", *[f"{x}_{f}" for f in release.FIELDS for x in ("c", "a")], "k_decision", "different")
+
+
+@_query("model_shadow", f"WITH {_model_runs(500, '', _NORMAL)}, {_SHADOWED}")
+def _model_shadow(spark, d):
+    return release.shadow_counts(release.shadow_models(*_model_tables(spark, d)))
+
+
 _CASES = f"""{_VALID}, bm AS (
 SELECT case_id, 1 AS k, 'street_number' AS field, x_number AS expected, street_number AS predicted FROM cases JOIN v ON case_id = raw_id
 UNION ALL SELECT case_id, 2, 'street_name', upper(x_street), street_name FROM cases JOIN v ON case_id = raw_id
@@ -82,18 +135,30 @@ def _failures(spark, d):
     return evaluate.benchmark_failures(*_cases(spark, d))
 
 
-@_query("parser_weights", f"""WITH {ctes('result', 'cases')},
-m AS (SELECT unit_source AS parser_name, {_share('x_decision = decision')} + {_share('x_building = building_type')}
-    + round(coalesce(count(*) FILTER (x_kind <> 'absent' AND (CASE WHEN x_kind = 'given' THEN x_unit END) IS NOT DISTINCT FROM unit_number) / nullif(count(*) FILTER (x_kind <> 'absent'), 0), 0), 4) AS total
-  FROM cases JOIN result ON case_id = raw_id GROUP BY unit_source),
-s AS (SELECT parser_name, round(total / 5, 4) AS score FROM m)
+_ALONE = [Model(p, parsers=(p,)) for p in DEFAULT_PARSERS]
+_BY_PARSER = f"""{_models(_ALONE)}, bm AS (
+SELECT model, 'street_number' AS field, x_number AS expected, street_number AS predicted FROM cases JOIN v ON case_id = raw_id
+UNION ALL SELECT model, 'street_name', upper(x_street), street_name FROM cases JOIN v ON case_id = raw_id
+UNION ALL SELECT model, 'unit_number', CASE WHEN x_kind = 'given' THEN x_unit END, unit_number FROM cases JOIN v ON case_id = raw_id WHERE x_kind <> 'absent'
+UNION ALL SELECT model, 'building_type', x_building, building_type FROM cases JOIN v ON case_id = raw_id
+UNION ALL SELECT model, 'decision', x_decision, decision FROM cases JOIN v ON case_id = raw_id),
+acc AS (SELECT model AS parser_name, field, count(*) AS total, count(*) FILTER (expected IS NOT DISTINCT FROM predicted) AS matched, {_share('expected IS NOT DISTINCT FROM predicted')} AS accuracy FROM bm GROUP BY model, field)"""
+
+
+def _golden(spark, d):
+    return derived(spark, d, "cases"), spread(derived(spark, d, "raw")), derived(spark, d, "reference")
+
+
+@_query("parsers_alone", f"WITH {ctes('raw', 'reference', 'cases')}, {_BY_PARSER} SELECT * FROM acc")
+def _alone(spark, d):
+    """Each parser alone on the golden cases, from one parse."""
+    return models.parsers_alone(*_golden(spark, d))
+
+
+@_query("parser_weights", f"""WITH {ctes('raw', 'reference', 'cases')}, {_BY_PARSER}, s AS (SELECT parser_name, round(sum(accuracy) / 5, 4) AS score FROM acc GROUP BY parser_name)
 SELECT *, round(CASE WHEN sum(score) OVER () > 0 THEN score / sum(score) OVER () ELSE 1 / count(*) OVER () END, 4) AS weight FROM s""")
 def _weights(spark, d):
-    """Accuracies by what the results' units came from; two of the five fields aren't in the results and count as 0."""
-    results = derived(spark, d, "result").withColumnRenamed("raw_id", "case_id").withColumns({"street_number": F.lit(None).cast("string"), "street_name": F.lit(None).cast("string")})
-    rows = evaluate.benchmark_rows(derived(spark, d, "cases"), results).where(F.col("field").isin("decision", "building_type", "unit_number"))
-    by = rows.join(results.select("case_id", F.col("unit_source").alias("parser_name")), "case_id").groupBy("parser_name", "field")
-    return evaluate.parser_weights(by.agg(evaluate.rate(F.count_if("matched"), F.count(F.lit(1))).alias("accuracy")))
+    return models.learned_weights(*_golden(spark, d))
 
 
 _DISTRIBUTION = ", ".join(f"{_share(f"decision = '{x}'")} AS {x}_rate" for x in ("accept", "review", "reject"))
@@ -141,38 +206,39 @@ def _trend(spark, d):
     return release.accuracy_trend(derived(spark, d, "evaluated"))
 
 
-_FEATURES = f"""f AS (SELECT g.gold_label_id, unit_source, length(raw_address_text) AS text_length, coalesce(confidence, 0) AS system_confidence,
-  CASE WHEN length(coalesce(postal_code, '')) >= 3 THEN upper(postal_code[1:3]) ELSE 'UNK' END AS fsa_prefix,
+_FEATURES = f"""{_VALID}, lab AS (SELECT *, CASE gold_label_id % 3 WHEN 0 THEN 'Main St' WHEN 1 THEN NULL ELSE 'Oak  Ave' END AS gold_street_name FROM gold),
+f AS (SELECT g.gold_label_id, coalesce(nullif(trim(parser_name), ''), 'unknown') AS unit_source, length(raw_address_text) AS text_length, coalesce(confidence, 0) AS system_confidence,
+  CASE WHEN length(coalesce(raw.postal_code, '')) >= 3 THEN upper(raw.postal_code[1:3]) ELSE 'UNK' END AS fsa_prefix, 0 AS has_unit_keyword, 0 AS is_commercial_hit, 0 AS llm_was_involved,
   CAST(lower(coalesce(decision, '')) = lower(coalesce(gold_decision, '')) AND lower(coalesce(building_type, '')) = lower(coalesce(gold_building_type, ''))
-    AND {_unit('unit_number')} IS NOT DISTINCT FROM {_unit('gold_unit_number')} AS INTEGER) AS target_is_correct
-  FROM gold g JOIN result r ON g.workspace_name = r.workspace_name AND CAST(r.raw_id AS VARCHAR) = g.source_id JOIN raw ON raw.raw_id = r.raw_id WHERE review_status = 'accepted')"""
+    AND {_unit('suggested_unit')} IS NOT DISTINCT FROM {_unit('gold_unit_number')} AND (gold_street_name IS NULL OR street_name IS NOT DISTINCT FROM {_street('gold_street_name')}) AS INTEGER) AS target_is_correct
+  FROM lab g JOIN (SELECT * EXCLUDE (raw_address_text) FROM v) r ON g.workspace_name = r.workspace_name AND CAST(r.raw_id AS VARCHAR) = g.source_id JOIN raw ON raw.raw_id = r.raw_id WHERE review_status = 'accepted')"""
 
 
 def _training(spark, d):
-    none = {"street_name": F.lit(None).cast("string"), "regex_hit": F.lit(0), "is_commercial": F.lit(0), "llm_involved": F.lit(0)}
-    gold = derived(spark, d, "gold").withColumn("gold_street_name", F.lit(None).cast("string"))
-    return release.training_features(gold, derived(spark, d, "result").withColumns(none), derived(spark, d, "raw"))
+    """Labels against what the parsers and the ladder really say of the rows."""
+    street = F.when(F.col("gold_label_id") % 3 == 0, "Main St").when(F.col("gold_label_id") % 3 == 2, "Oak  Ave")
+    results = _validated(spark, d).drop("raw_address_text", "postal_code").withColumns({"unit_number": F.col("suggested_unit"), "regex_hit": F.lit(0), "is_commercial": F.lit(0), "llm_involved": F.lit(0)})
+    return release.training_features(derived(spark, d, "gold").withColumn("gold_street_name", street), results, derived(spark, d, "raw"))
 
 
-@_query("training_features", f"WITH {ctes('gold', 'raw', 'result')}, {_FEATURES} SELECT * FROM f")
+@_query("training_features", f"WITH {ctes('gold', 'raw', 'reference')}, {_FEATURES} SELECT * FROM f")
 def _features(spark, d):
-    return _training(spark, d).select("gold_label_id", "unit_source", "text_length", "system_confidence", "fsa_prefix", "target_is_correct")
+    return _training(spark, d)
 
 
-@_query("reranking_weights", f"WITH {ctes('gold', 'raw', 'result')}, {_FEATURES} SELECT unit_source, round(avg(target_is_correct), 4) AS precision, count(*) AS n FROM f GROUP BY unit_source")
+@_query("reranking_weights", f"WITH {ctes('gold', 'raw', 'reference')}, {_FEATURES} SELECT unit_source, round(avg(target_is_correct), 4) AS precision, count(*) AS n FROM f GROUP BY unit_source")
 def _reranking(spark, d):
     return evaluate.reranking_weights(_training(spark, d))
 
 
-@_query("batch_prescreen", f"""WITH {ctes('raw', 'result', 'queue')}, q AS (SELECT * FROM queue WHERE status = 'queued' ORDER BY priority DESC, source_id, task_type LIMIT 200),
-c AS (SELECT DISTINCT source_id, task_type FROM queue WHERE status = 'labeled'),
+@_query("batch_prescreen", f"""WITH {ctes('raw', 'result', 'queue')}, q AS (SELECT *, CAST(queue_id % 100 AS DOUBLE) / 100 AS confidence FROM queue WHERE status = 'queued' ORDER BY priority DESC, source_id, task_type, queue_id LIMIT 200),
+c AS (SELECT DISTINCT source_id, task_type FROM queue WHERE status = 'labeled'), r AS (SELECT raw_id, building_type FROM result),
 o AS (SELECT CASE WHEN q.source_id = '' THEN 'skipped' WHEN c.source_id IS NOT NULL THEN 'cached'
-    WHEN coalesce(raw_address_text, '') <> '' AND (q.task_type IN ('unit_number', 'building_type') OR true OR coalesce(building_type IN ('commercial', 'multi_unit'), false) OR {_HINTED}) THEN 'processed' ELSE 'skipped' END AS outcome
-  FROM q LEFT JOIN c ON q.source_id = c.source_id AND q.task_type = c.task_type LEFT JOIN raw ON CAST(raw.raw_id AS VARCHAR) = q.source_id LEFT JOIN result ON result.raw_id = raw.raw_id)
+    WHEN coalesce(raw_address_text, '') <> '' AND (q.task_type IN ('unit_number', 'building_type') OR {_PRESCREEN}) THEN 'processed' ELSE 'skipped' END AS outcome
+  FROM q LEFT JOIN c ON q.source_id = c.source_id AND q.task_type = c.task_type LEFT JOIN raw ON CAST(raw.raw_id AS VARCHAR) = q.source_id LEFT JOIN r ON r.raw_id = raw.raw_id)
 SELECT outcome, count(*) AS n FROM o GROUP BY outcome""")
 def _batch(spark, d):
-    """The queue has no confidence, which counts as 0: every item with a text is worth a prescreen."""
-    queue = derived(spark, d, "queue").withColumn("confidence", F.lit(None).cast("double"))
+    queue = derived(spark, d, "queue").withColumn("confidence", (F.col("queue_id") % 100).cast("double") / 100)
     details = derived(spark, d, "raw").join(derived(spark, d, "result").select("raw_id", "building_type"), "raw_id").withColumn("source_id", F.col("raw_id").cast("string"))
     out = labels.batch_prescreen(queue, details, queue.where("status = 'labeled'"))
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -110,14 +109,10 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_weights(spark: SparkSession, path: str) -> dict[str, float]:
-    """Parser weights from a JSON artifact: an object of numbers, or one under parser_weights; {} if there is none."""
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
-    try:
-        body = json.loads(text)
-    except ValueError:
-        return {}
-    body = body.get("parser_weights", body) if isinstance(body, dict) else {}
-    return {k: float(v) for k, v in body.items() if isinstance(v, (int, float)) and not isinstance(v, bool)} if isinstance(body, dict) else {}
+    """Parser weights from a model's JSON artifact (decision_policy.parser_weights); {} if there are none."""
+    from waymark.operators.models import model_of, read_artifact
+
+    return dict(model_of(read_artifact(spark, path), "").policy.parser_weights)
 
 
 def page(df: DataFrame, cursor: str, key: str, after: tuple | None, size: int) -> DataFrame:
@@ -180,30 +175,6 @@ def pages_of(fetch: Callable[[str | None], dict], data_path: str = "data", curso
         cursor = new
 
 
-def api_source(name: str, fetch: Callable[[str | None], dict], **paths: str) -> type:
-    """A Python data source whose rows are the JSON texts of an API's records; register it with spark.dataSource.register."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader
-
-    class Reader(DataSourceReader):
-        def read(self, partition):
-            for rows in pages_of(fetch, **paths):
-                for r in rows:
-                    yield (json.dumps(r, ensure_ascii=False),)
-
-    class Source(DataSource):
-        @classmethod
-        def name(cls):
-            return name
-
-        def schema(self):
-            return "record string"
-
-        def reader(self, schema):
-            return Reader()
-
-    return Source
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, cursor: str, after: str | None = None, partitions: int = 16, bounds: tuple | None = None, **options: str) -> DataFrame:
     """A table behind JDBC; the cursor predicate is pushed down, and bounds deal the scan out."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
