@@ -74,17 +74,18 @@ def ladder(policy: DecisionPolicy) -> Column:
     return chain.otherwise(outcome("reject", "low"))
 
 
-def validate(df: DataFrame, references: DataFrame, policy: DecisionPolicy | None = None, profile: CountryProfile | str | None = None, parsers: tuple[str, ...] = DEFAULT_PARSERS, drop_stub: bool = False) -> DataFrame:
+def validate(df: DataFrame, references: DataFrame, policy: DecisionPolicy | None = None, profile: CountryProfile | str | None = None, parsers: tuple[str, ...] = DEFAULT_PARSERS, drop_stub: bool = False, localities: tuple[str, ...] = ("city",), observed: tuple[str, ...] = ("city",)) -> DataFrame:
     """Raw addresses with best candidate, reference match, building type, decision, confidence, keys and hints.
 
     df: workspace_name, raw_id, raw_address_text, city, province, postal_code, country_code, latitude,
-    longitude. Parsing has no shuffle; the reference join is the only one.
+    longitude, and what else observed names. Parsing has no shuffle; the reference join is the only one.
+    localities, observed: as in match_reference().
     """
     policy, profile = policy or DecisionPolicy(), profile_of(profile)
-    return decided(close_candidates(parsed(df, profile, parsers, policy.parser_weights, drop_stub), policy.close_candidate_delta), references, policy, profile)
+    return decided(close_candidates(parsed(df, profile, parsers, policy.parser_weights, drop_stub), policy.close_candidate_delta), references, policy, profile, tuple(c for c in observed if c != "city" and c in df.columns), localities, observed)
 
 
-def decided(out: DataFrame, references: DataFrame, policy, profile: CountryProfile, carried: tuple[str, ...] = (), localities: tuple[str, ...] = ("city",)) -> DataFrame:
+def decided(out: DataFrame, references: DataFrame, policy, profile: CountryProfile, carried: tuple[str, ...] = (), localities: tuple[str, ...] = ("city",), observed: tuple[str, ...] = ("city",)) -> DataFrame:
     """Decisions of rows that have best, parser_disagreement and alternate_units. policy: thresholds as numbers or columns; carried: columns that stay."""
     p = F.col("best")["parsed"]
     out = once(out, {
@@ -94,7 +95,7 @@ def decided(out: DataFrame, references: DataFrame, policy, profile: CountryProfi
         "parser_disagreement": F.col("parser_disagreement"), "alternate_units": F.col("alternate_units"), **{c: F.col(c) for c in carried},  # all that is used above the generator comes through it
     })
     slim = out.select(*carried, "workspace_name", "raw_id", "raw_address_text", "country_code", "latitude", "longitude", "parser_name", "parse_score", "street_number", "street_name", "unit_number", F.col("__city").alias("city"), F.col("__province").alias("province"), F.col("__postal").alias("postal_code"), "parser_base_key", "parser_disagreement", "alternate_units", "best")  # candidates stay behind
-    out = match_reference(slim, references, localities)
+    out = match_reference(slim, references, localities, observed)
     out = out.withColumn("building_type", s.structure_type("raw_address_text", "unit_number"))
     out = out.withColumn("__d", ladder(policy))
     located = F.col("reference_id").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()

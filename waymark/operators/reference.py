@@ -46,14 +46,15 @@ def near_score(lat, lon, ref_lat, ref_lon, meters: Column) -> Column:
     return near.otherwise(FAR)
 
 
-def match_reference(df: DataFrame, references: DataFrame, localities: tuple[str, ...] = ("city",)) -> DataFrame:
+def match_reference(df: DataFrame, references: DataFrame, localities: tuple[str, ...] = ("city",), observed: tuple[str, ...] = ("city",)) -> DataFrame:
     """df (workspace_name, street_number, street_name, province, city, latitude, longitude) with the best reference.
 
     Adds reference_id, reference_external_id, reference_score, reference_candidates, reference_units. The
     references of an address (workspace, number, street and province: its units and entrances) are gathered
     first, with their cities prepared; one left join brings them to the rows, which are read once and keep
     their number, and each row ranks its candidates by itself. Of equal scores the least reference_id wins,
-    and score 0 never does. localities: the reference columns of which the first filled one is its locality.
+    and score 0 never does. localities: the reference columns of which the first filled one is its locality. observed:
+    the columns of df that name a locality; one that fits is enough, and without any all fit.
     """
     key = ["__w", "__n", "__s", "__p"]
     locality = F.coalesce(*[s.filled(F.trim(c)) for c in localities if c in references.columns])
@@ -63,11 +64,21 @@ def match_reference(df: DataFrame, references: DataFrame, localities: tuple[str,
     ).na.drop(subset=key)
     r = once(r, {"city": F.col("city")}).withColumn("words", city_words(F.col("city")))
     points = r.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in r.columns if c not in key])).alias("__refs"))
-    rows = once(df, {"__ca": s.city_name("city")}).withColumn("__wa", city_words(F.col("__ca")))
+    names = F.array_distinct(F.array_compact(F.array(*[s.city_name(c) for c in observed if c in df.columns])))
+    if observed == ("city",):
+        rows = once(df, {"__ca": s.city_name("city")}).withColumn("__wa", city_words(F.col("__ca")))
+    else:
+        rows = once(df, {"__seen": F.transform(names, lambda c: F.struct(c.alias("name"), city_words(c).alias("words")))})
+
+    def fits(x: Column) -> Column:
+        if observed == ("city",):
+            return same_city(F.col("__ca"), x["city"], F.col("__wa"), x["words"])
+        return (F.size("__seen") == 0) | F.exists("__seen", lambda o: F.coalesce(same_city(o["name"], x["city"], o["words"], x["words"]), F.lit(False)))
+
     on = (F.col("workspace_name") == F.col("__w")) & (F.upper("street_number") == F.col("__n")) & (F.upper("street_name") == F.col("__s")) & (F.upper("province") == F.col("__p"))
 
     def scored(x: Column) -> Column:
-        value = F.lit(LOCALITY) * F.when(same_city(F.col("__ca"), x["city"], F.col("__wa"), x["words"]), 1.0).otherwise(0.0)
+        value = F.lit(LOCALITY) * F.when(fits(x), 1.0).otherwise(0.0)
         value = value + F.lit(GPS) * near_score("latitude", "longitude", x["lat"], x["lon"], x["meters"]) + F.lit(QUALITY) * x["quality"]
         return F.struct(F.round(value, 4).alias("score"), (-x["reference_id"]).alias("order"), x["reference_id"].alias("id"), x["ext"].alias("ext"))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.fixtures import RAW, ctes, derived
-from waymark.operators import evaluate, labels, models, release
+from waymark.operators import evaluate, label_json, labels, models, release
 from waymark.operators.candidates import DEFAULT_PARSERS
 from waymark.operators.models import Model, model_of
 from waymark.operators.parsers import spread
-from waymark.queries import _COMPARE, _PRESCREEN, _RATES, _VALID, _models, _query, _street, _unit, _validated
+from waymark.operators.reference import match_reference
+from waymark.queries import _COMPARE, _MATCH, _PRESCREEN, _RATES, _VALID, _models, _query, _street, _swapped, _title, _unit, _validated
 
 _DEFAULTS = "coalesce(d, '') AS d, coalesce(b, '') AS b, coalesce(u, '') AS u"
 _NORMAL = f"""SELECT raw_id, coalesce(CASE WHEN lower(trim(decision)) = 'correct' THEN 'accept' ELSE nullif(trim(decision), '') END, '') AS d,
@@ -242,3 +243,78 @@ def _batch(spark, d):
     details = derived(spark, d, "raw").join(derived(spark, d, "result").select("raw_id", "building_type"), "raw_id").withColumn("source_id", F.col("raw_id").cast("string"))
     out = labels.batch_prescreen(queue, details, queue.where("status = 'labeled'"))
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- labels as JSON, reviews, errors from stored metrics, several localities ----
+
+_JSON = """CASE gold_label_id % 7 WHEN 0 THEN concat('{"decision": "', gold_decision, '", "structure_type": "commercial", "building_type": "", "canonical": {"unit_number": "# ', CAST(gold_label_id % 40 + 1 AS STRING), '"}}')
+  WHEN 1 THEN concat('{"decision": " ', gold_decision, ' ", "suggested_unit_number": ', CAST(gold_label_id % 3 AS STRING), ', "unit_number": null, "street_name": "Main St"}') WHEN 2 THEN '{"decision": "accept"' WHEN 3 THEN '["accept"]' WHEN 4 THEN '"accept"'
+  WHEN 5 THEN concat('{"decision": "', gold_decision, '", "building_type": "multi_unit", "unit_number": "', CAST(gold_label_id % 40 + 1 AS STRING), '"}') ELSE concat('{"decision": null, "building_type": "single_unit", "unit_number": 0, "canonical": {"unit_number": "', CAST(gold_label_id % 40 + 1 AS STRING), '"}}') END"""
+
+
+def _json_at(path: str) -> str:
+    at = f"json_extract(j, '$.{path}')"
+    return f"CASE WHEN json_type({at}) <> 'VARCHAR' AND json_extract_string(j, '$.{path}') IN ('0', '0.0', 'false') THEN NULL ELSE nullif(json_extract_string(j, '$.{path}'), '') END"
+
+
+def _json_first(*paths: str) -> str:
+    return f"coalesce({', '.join(_json_at(p) for p in paths)})"
+
+
+_LABELS = f"""lj AS (SELECT *, {_JSON} AS label_json FROM gold0), lv AS (SELECT *, CASE WHEN json_valid(label_json) THEN CAST(label_json AS JSON) END AS j FROM lj),
+lab AS (SELECT * EXCLUDE (j, gold_decision, gold_building_type, gold_unit_number), CASE WHEN lower(trim({_json_first('decision')})) = 'correct' THEN 'accept' ELSE trim({_json_first('decision')}) END AS gold_decision,
+  trim({_json_first('building_type', 'structure_type')}) AS gold_building_type, {_unit(_json_first('unit_number', 'suggested_unit_number', 'canonical.unit_number'))} AS gold_unit_number, trim({_json_first('street_name', 'canonical.street_name')}) AS gold_street_name FROM lv)"""
+_GOLD0 = ctes("gold").replace("gold AS", "gold0 AS", 1)
+
+
+def _json_gold(spark, d):
+    return label_json.with_labels(derived(spark, d, "gold").withColumn("label_json", F.expr(_JSON)))
+
+
+@_query("label_values", f"WITH {_GOLD0}, {_LABELS} SELECT gold_label_id, gold_decision, gold_building_type, gold_unit_number, gold_street_name FROM lab")
+def _label_values(spark, d):
+    return _json_gold(spark, d).select("gold_label_id", "gold_decision", "gold_building_type", "gold_unit_number", "gold_street_name")
+
+
+@_query("label_metrics", f"WITH {_GOLD0}, {_LABELS}, gold AS (SELECT * FROM lab), {ctes('raw', 'result')}, {_COMPARE}, k AS (SELECT field, count(g) AS total, count(*) - count(g) AS skipped, count(*) FILTER (g = p) AS tp, count(*) FILTER (g <> p) AS fp, count(*) FILTER (g IS NOT NULL AND g IS DISTINCT FROM p) AS fn FROM lng GROUP BY field), m AS (SELECT *, {_RATES} FROM k) SELECT *, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 4) AS f1 FROM m")
+def _label_metrics(spark, d):
+    """The metrics of each field with labels read from JSON."""
+    return evaluate.field_metrics(evaluate.gold_compare(_json_gold(spark, d), derived(spark, d, "raw"), derived(spark, d, "result")))
+
+
+@_query("errors_in_metrics", f"""WITH {ctes('gold', 'raw', 'result')}, {_COMPARE}, e AS (SELECT source_id, confidence, row_number() OVER (ORDER BY gold_label_id, source_id) AS n FROM cmp WHERE g_decision IS NOT NULL AND g_decision IS DISTINCT FROM p_decision)
+SELECT 'default' AS workspace_name, 'evaluation_error' AS source_name, source_id, 'decision' AS task_type, 100 AS priority, 'queued' AS status, 'Priority error bucket: decision' AS reason FROM e WHERE n <= 100 ORDER BY coalesce(confidence, 1), n LIMIT 25""")
+def _errors(spark, d):
+    """An evaluation's error samples, stored as metrics JSON with the newest model and read back from there."""
+    samples = evaluate.error_samples(evaluate.gold_compare(*[derived(spark, d, n) for n in ("gold", "raw", "result")]))
+    old = {"workspace_name": F.lit("default"), "status": F.lit("evaluated")}
+    stored = labels.metrics_json(samples).withColumns({**old, "created_at": F.lit(2)})
+    before = stored.withColumns({"metrics_json": F.lit('{"decision_errors": [{"source_id": "x"}]}'), "created_at": F.lit(1)})
+    return labels.errors_in_metrics(before.unionByName(stored), "decision", "default", 25)
+
+
+_REVIEWS = "SELECT queue_id, CASE queue_id % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'review' ELSE 'reject' END AS decision, CASE queue_id % 4 WHEN 0 THEN 'commercial' WHEN 1 THEN '' END AS building_type, CASE queue_id % 5 WHEN 0 THEN '12' WHEN 1 THEN '' END AS unit_number FROM queue WHERE queue_id % 2 = 0"
+
+
+@_query("submit_reviews", f"""WITH {ctes('queue', 'result')}, rv AS ({_REVIEWS})
+SELECT q.queue_id, q.source_id, CASE WHEN rv.decision = 'correct' THEN 'accept' ELSE rv.decision END AS decision, coalesce(nullif(rv.building_type, ''), r.building_type) AS building_type, coalesce(rv.unit_number, r.unit_number) AS unit_number,
+  CASE WHEN r.raw_id IS NOT NULL THEN concat('was ', r.decision) END AS reason, rv.decision AS review_action FROM rv JOIN queue q ON rv.queue_id = q.queue_id LEFT JOIN result r ON CAST(r.raw_id AS VARCHAR) = q.source_id AND r.workspace_name = q.workspace_name""")
+def _submit(spark, d):
+    queue, results = derived(spark, d, "queue"), derived(spark, d, "result")
+    reviews = spark.sql(_REVIEWS.replace("FROM queue", "FROM {queue}"), queue=queue).withColumn("notes", F.lit(None).cast("string"))
+    made, _ = labels.submit_reviews(queue, reviews, results.withColumn("reason", F.concat(F.lit("was "), "decision")))
+    value = lambda n: F.get_json_object("label_json", f"$.{n}").alias(n)
+    return made.select("queue_id", "source_id", *[value(n) for n in ("decision", "building_type", "unit_number", "reason", "review_action")])
+
+
+_SEEN = "SELECT workspace_name, reference_id AS raw_id, street_number, street_name, province, CASE reference_id % 4 WHEN 0 THEN NULL ELSE 'Nowhere' END AS city, CASE reference_id % 3 WHEN 0 THEN city WHEN 1 THEN 'Elsewhere' END AS municipality, CASE WHEN reference_id % 5 = 0 THEN upper(city) END AS county, reference_lat AS latitude, reference_lon AS longitude FROM reference WHERE is_active"
+_FIT = _MATCH[_MATCH.index("CASE WHEN c1 IS NULL") + len("CASE WHEN ") : _MATCH.index(" THEN CAST(1 AS DOUBLE)")]
+_ANY = _swapped(_MATCH, (_FIT, "(len(seen) = 0 OR len(list_filter(seen, lambda c1: " + _FIT + ")) > 0)"), (f"{_title('b.city')} AS c1", f"list_distinct(list_filter([{_title('b.city')}, {_title('b.municipality')}, {_title('b.county')}], lambda x: x IS NOT NULL)) AS seen"))
+
+
+@_query("reference_localities", f"WITH {ctes('reference')}, b AS ({_SEEN}), {_ANY} SELECT b.raw_id, reference_id, reference_score FROM b LEFT JOIN mt ON b.raw_id = mt.raw_id")
+def _localities(spark, d):
+    """Rows that name a city, a municipality and a county, of which any may fit the reference."""
+    references = derived(spark, d, "reference")
+    rows = spark.sql(_SEEN.replace("FROM reference", "FROM {reference}"), reference=references)
+    return match_reference(rows, references, observed=("city", "municipality", "county")).select("raw_id", "reference_id", "reference_score")

@@ -38,3 +38,9 @@ def setting(df: DataFrame, key: str, default=None):
         return json.loads(text)
     except ValueError:
         return text
+
+
+def newest_files(spark, pattern: str, top: int = 10) -> DataFrame:
+    """The newest files of a pattern (reports, manifests of exports): path, name, modified, length, newest first. Their bodies aren't read."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"), "length")
+    return files.orderBy(F.col("modified").desc(), F.col("path").desc()).limit(top)
