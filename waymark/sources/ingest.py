@@ -85,6 +85,8 @@ def run_once(records: DataFrame, table, settings, key: str) -> str | None:
 
     The largest cursor is observed while the records are written, so they are read once.
     """
+    if records.isEmpty():
+        return None
     seen = Observation("cursor")
     order = cursor_order(F.col("source_cursor"))
     observed = records.withColumn("__order", order).observe(seen, F.max(order).alias("last"))
