@@ -31,6 +31,8 @@ import functools
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,10 +65,78 @@ STATES = frozenset("has no not is with without hide enabled disabled".split())
 #: Roles that the share of text can take back, and certain ones.
 LIKELY, CERTAIN = 1, 2
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+#: Characters of a tag that are looked at by one regular expression; longer ones go by the page's list of quotes.
+_NEAR = 1024
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
+class Scanner:
+    """Tags of a page from front to back. Broken quotes cost no more than sound ones: where a tag ends is worked out once for each quote of the page."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.special: list[int] | None = None  # places of >, " and '
+        self.same: list[int] = []  # for each, the number of the next one of its kind, -1 without one
+        self.end: dict[int, int] = {}
+
+    def _listed(self) -> list[int]:
+        if self.special is None:
+            self.special = [m.start() for m in re.finditer("[>\"']", self.page)]
+            self.same, following = [-1] * len(self.special), {}
+            for k in range(len(self.special) - 1, -1, -1):
+                c = self.page[self.special[k]]
+                self.same[k] = following.get(c, -1)
+                following[c] = k
+        return self.special
+
+    def _closed(self, at: int) -> int:
+        """The end of a tag whose attributes begin at a place: after the first > outside quotes, -1 if a quote stays open."""
+        near = _REST.match(self.page, at, min(at + _NEAR, len(self.page)))
+        if near:
+            return near.end()
+        special = self._listed()
+        k, path, found = bisect_left(special, at), [], -1
+        while k < len(special):
+            if k in self.end:
+                found = self.end[k]
+                break
+            path.append(k)
+            if self.page[special[k]] == ">":
+                found = special[k] + 1
+                break
+            if self.same[k] < 0:
+                break
+            k = self.same[k] + 1
+        self.end.update(dict.fromkeys(path, found))
+        return found
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, slash, name and attributes of the next tag; the name is empty for comments and declarations."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", at + 3)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if at > self.last:
+                at = page.find("<!--", at)  # no other tag can end
+                if at < 0:
+                    return None
+                continue
+            if page[at] in "!?":
+                return start, page.find(">", at) + 1, "", "", ""
+            name = _NAME.match(page, at)
+            if name:
+                end = self._closed(name.end())
+                if end < 0:
+                    end = page.find(">", name.end()) + 1
+                if end > 0:
+                    return start, end, name[1], name[2], page[name.end() : end - 1]
+        return None
+
+
 class Node:
     """A place in a page's tree; like siblings in a row share one. role: 0, LIKELY or CERTAIN."""
 
@@ -105,6 +175,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
     stack: list[list] = [[root, "page", -1]]  # place, tag, position among the place's children
     blocks: list[tuple[Node, str, int]] = []
     text, links, link_chars = [], 0, 0
+    is_open: Counter[str] = Counter()
     page = page or ""
     lower = None
 
@@ -127,6 +198,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
         top = stack[-1]
         if len(stack) > MAX_DEPTH:
             stack.append([top[0], tag, top[2]])
+            is_open[tag] += 1
             return
         label, role = _label(tag, attributes)
         children = top[0].children
@@ -135,15 +207,21 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
                 break
         else:
             k = max(top[2] + 1, 0)
-            children.insert(k, Node(label, role or CERTAIN * (tag == "header" and not any(x[1] in ("article", "main") for x in stack))))
+            children.insert(k, Node(label, role or CERTAIN * (tag == "header" and not (is_open["article"] or is_open["main"]))))
         top[2] = k
         stack.append([children[k], tag, -1])
-
-    at = 0
-    for m in iter(lambda: _TAG.search(page, at), None):
-        add(page[at : m.start()])
-        at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        is_open[tag] += 1
+
+    def closed(k: int):
+        for _, tag, _ in stack[k:]:
+            is_open[tag] -= 1
+        del stack[k:]
+
+    at, scanner, unclosed = 0, Scanner(page), set()
+    while (found := scanner.after(at)) is not None:
+        start, end, slash, tag, attributes = found
+        add(page[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
@@ -153,7 +231,9 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
             if lower is None:
                 lower = page.lower()
                 lower = lower if len(lower) == len(page) else re.sub("[A-Z]", lambda x: x[0].lower(), page)
-            end = lower.find(f"</{tag}", at)
+            end = -1 if tag in unclosed else lower.find(f"</{tag}", at)
+            if end < 0:
+                unclosed.add(tag)
             end = end if end >= 0 else (len(page) if tag != "head" else at)
             at = page.find(">", end) + 1 or len(page) if end > at or tag != "head" else at
             text.append(" ")
@@ -166,17 +246,15 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
             if tag in VOID:
                 continue
             if slash:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == tag:
-                        del stack[k:]
-                        break
+                if is_open[tag]:
+                    closed(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag))
                 continue
             if tag in CLOSES_P and stack[-1][1] == "p":
-                stack.pop()
-            elif tag in ENDED_BY_LIKE:
+                closed(len(stack) - 1)
+            elif tag in ENDED_BY_LIKE and is_open[tag]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][1] == tag:
-                        del stack[k:]
+                        closed(k)
                         break
                     if stack[k][1] in ENDED_BY_LIKE[tag]:
                         break
