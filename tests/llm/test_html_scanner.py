@@ -6,8 +6,8 @@ import pytest
 
 from waymark.llm.html_extraction import Scanner, parse
 
-#: What a tag is, as one expression that may look ahead to the page's end at each tag.
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
+#: What a tag is, as one expression that may look ahead to the page's end at each tag; a name is never cut short for a quote in it.
+TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*)>)""", re.S)
 PIECES = ["<a ", "<p>", '<div class="x">', "<li>", "</li>", '"', "'", ">", "<", "text ", "<!-- c -->", "<!--", "-->", "</div>", "<!DOCTYPE x>", "<?x", "x='1' ", "/", "é\n", "x" * 1500]
 
 

@@ -7,10 +7,11 @@ the language with the largest corrected share is predicted.
 
 Learning counts all labelled rows: each partition counts its distinct (language, n-gram) pairs,
 Spark adds them up, and an n-gram belongs to a language if it is at least SHARE times as frequent
-there as where it is most frequent. The filter's size is fixed (SLOTS words of 8 bytes for each 64
-languages), whatever the corpus, so it can be sent to every executor.
-
-An n-gram seen less than MIN_COUNT times in a language isn't one of that language's.
+there as where it is most frequent. An n-gram seen less than MIN_COUNT times in a language isn't one of
+that language's; of more than MAX_GRAMS a language keeps its most frequent ones (whole classes of like
+frequency), which bounds the model by a parameter, however large the corpus is. The filter has 8 slots for
+each n-gram of the language with the most (SLOTS at least), so no language's false-positive rate
+exceeds 0.05, and at most 8 * MAX_GRAMS slots of 8 bytes (64 MB) for each 64 languages are sent to the executors.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; texts shorter than the
 n-gram are padded with blanks; without any training row every prediction is ``und``; ties go to the
@@ -21,6 +22,7 @@ other columns, lang_pred and score are replaced by predict() (rename them before
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +37,9 @@ SLOTS = 1 << 20
 HASHES = 2
 SHARE = 0.2
 MIN_COUNT = 2
+MAX_GRAMS = 1 << 20
+#: Classes of frequency for each doubling.
+_CLASSES = 8
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -60,6 +65,11 @@ def slots_of(keys: np.ndarray, k: int, slots: int) -> np.ndarray:
     return ((h * _MULTIPLIERS[2]) >> np.uint64(34)) & np.uint64(slots - 1)
 
 
+def slots_for(grams: int, least: int = SLOTS) -> int:
+    """Slots of a filter for so many n-grams of one language: a power of two, 8 for each and least at least; its false-positive rate is below 0.05."""
+    return max(least, 1 << max(0, 8 * grams - 1).bit_length())
+
+
 def _counts(batches, n: int):
     """Each partition's counts of (language, n-gram)."""
     pending: dict[str, list] = {}
@@ -115,8 +125,8 @@ class LanguageModel:
         return self.langs[best], float(corrected[best])
 
 
-def fit(labelled: DataFrame, n: int = N, slots: int = SLOTS, hashes: int = HASHES, share: float = SHARE, min_count: int = MIN_COUNT) -> LanguageModel:
-    """A model of all rows of labelled (text, lang) with a language; slots is a power of two."""
+def fit(labelled: DataFrame, n: int = N, slots: int | None = None, hashes: int = HASHES, share: float = SHARE, min_count: int = MIN_COUNT, max_grams: int = MAX_GRAMS) -> LanguageModel:
+    """A model of all rows of labelled (text, lang) with a language. slots: a power of two, by default as slots_for() has it."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counts = rows.mapInArrow(lambda b: _counts(b, n), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
@@ -126,11 +136,22 @@ def fit(labelled: DataFrame, n: int = N, slots: int = SLOTS, hashes: int = HASHE
     langs = sorted(totals)
     slices = max(1, -(-len(langs) // 64))
     at = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.struct(F.lit(i).alias("i"), F.lit(float(totals[lang])).alias("t")))]) if langs else None
-    masks = np.zeros((slices, slots), np.uint64)
     if langs:
         rates = F.transform("by", lambda x: F.struct(F.element_at(at, x["lang"])["i"].alias("i"), x["n"].alias("n"), (x["n"] / F.element_at(at, x["lang"])["t"]).alias("rate")))
-        kept = counts.select("gram", rates.alias("r")).select("gram", F.expr(f"transform(filter(r, x -> x.n >= {int(min_count)} AND x.rate >= {float(share)} * array_max(transform(r, y -> y.rate))), x -> x.i)").alias("langs"))
-        kept = kept.where(F.size("langs") > 0).select("gram", F.explode("langs").alias("i"))
+        kept = counts.select("gram", rates.alias("r")).select("gram", F.expr(f"transform(filter(r, x -> x.n >= {int(min_count)} AND x.rate >= {float(share)} * array_max(transform(r, y -> y.rate))), x -> struct(x.i AS i, x.n AS n))").alias("langs"))
+        kept = kept.select("gram", F.inline("langs")).withColumn("class", F.floor(F.log2("n") * _CLASSES).cast("int"))
+        sizes = kept.groupBy("i", "class").agg(F.count(F.lit(1)).alias("n")).orderBy("i", F.col("class").desc()).collect()  # some hundred classes a language at most
+        least, held = {}, Counter()
+        for r in sizes:
+            if held[r["i"]] + r["n"] <= max_grams or not held[r["i"]]:
+                held[r["i"]] += r["n"]
+                least[r["i"]] = r["class"]
+            else:
+                held[r["i"]] = max(held[r["i"]], max_grams)  # full: no class below gets in
+        if slots is None:
+            slots = slots_for(max(held.values(), default=0))
+        floors = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else None
+        kept = kept.where(F.col("class") >= F.element_at(floors, F.col("i"))) if least else kept
         kept = kept.groupBy("gram", F.expr("i div 64").alias("slice")).agg(F.expr("bit_or(shiftleft(1L, CAST(i % 64 AS INT)))").alias("mask"))
 
         def place(batches):
@@ -139,9 +160,13 @@ def fit(labelled: DataFrame, n: int = N, slots: int = SLOTS, hashes: int = HASHE
                 for k in range(hashes):
                     yield pa.RecordBatch.from_arrays([b.column("slice"), pa.array(slots_of(keys, k, slots).astype(np.int64)), b.column("mask")], names=["slice", "slot", "mask"])
 
+        masks = np.zeros((slices, slots), np.uint64)
         filled = kept.select(F.col("gram"), F.col("slice").cast("long"), "mask").mapInArrow(place, "slice long, slot long, mask long").groupBy("slice", "slot").agg(F.bit_or("mask").alias("mask"))
         for part in filled.toArrow().to_batches():  # at most slices * slots rows
             masks[part.column("slice").to_numpy(), part.column("slot").to_numpy()] = part.column("mask").to_numpy().view(np.uint64)
+    else:
+        masks = np.zeros((slices, slots or SLOTS), np.uint64)
+    slots = masks.shape[1]
     fill = np.array([np.count_nonzero(masks[i // 64] & np.uint64(1 << (i % 64))) / slots for i in range(len(langs))])
     return LanguageModel(langs, masks, fill**hashes, n, hashes)
 
