@@ -34,9 +34,10 @@ from waymark.llm.common import table, written
 MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-#: Terms in a tile, about, and groups in a block.
+#: Terms in a tile, about, and groups in a block; parts of the light terms' histograms.
 TILE = 512
 BLOCK = 256
+PARTS = 8
 #: Distinct terms that a task counts before it passes them on.
 MOST_HELD = 200_000
 #: ASCII letters in lower case, other ASCII characters as blanks; bytes of other characters stay.
@@ -132,12 +133,12 @@ class Audit:
         return over.withColumn("rank", F.row_number().over(_order())).where(F.col("rank") <= top)
 
     def _tiles(self) -> DataFrame:
-        """lang, g, h, value of the terms in tiles (tile 0 and up) and of all terms' base with the one-sided light ones (tile -1), g < h."""
+        """lang, g, h, value of the terms in tiles (tile 0 and up), of the one-sided light ones in PARTS (tiles below 0) and of all terms' base (with tile -1), g < h."""
         tiles = F.ceil(F.col("heavy") / self.tile).cast("long")
         row = ["lang", "g", "tile", "gid", "kind", "term", "p", "w"]
         heavy = self.cells.where("NOT is_light").withColumn("tile", F.pmod(F.xxhash64("term"), tiles)).withColumn("kind", F.lit(1)).withColumn("w", F.lit(1).cast("long"))
-        hist = self.cells.where("is_light").groupBy("lang", "g", "gid", "p").agg(F.count(F.lit(1)).alias("w")).withColumn("tile", F.lit(-1).cast("long")).withColumn("kind", F.lit(2)).withColumn("term", F.lit(None).cast("string"))
-        base = self.groups.withColumn("tile", F.explode(F.sequence(F.lit(-1).cast("long"), tiles - 1))).select("lang", "g", "tile", "gid", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.col("v").alias("w"))
+        hist = self.cells.where("is_light").groupBy("lang", "g", "gid", "p").agg(F.count(F.lit(1)).alias("w")).withColumn("tile", -1 - F.pmod(F.xxhash64("p"), F.lit(PARTS).cast("long"))).withColumn("kind", F.lit(2)).withColumn("term", F.lit(None).cast("string"))
+        base = self.groups.withColumn("tile", F.explode(F.sequence(F.lit(-PARTS).cast("long"), tiles - 1))).select("lang", "g", "tile", "gid", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.when(F.col("tile") == -1, F.col("v")).otherwise(0).alias("w"))
         rows = heavy.select(row).union(hist.select(row)).union(base)
         # each block meets each other one: a row goes to as many tasks as the language has blocks
         blocks = F.ceil(F.col("g") / self.block).cast("long")
