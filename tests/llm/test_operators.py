@@ -410,7 +410,7 @@ def test_stage_removes_copies_of_similarity_over_08(spark):
                     root[i] = root[j]
     assert {i for i, r in enumerate(root) if r == i} != {i for i in range(len(texts)) if simhash.fingerprint(texts[i]) not in {simhash.fingerprint(t) for t in texts[:i]}}
     df = docs(spark, texts)
-    for size in ((1024, 8), (2, 1)):
+    for size in ((1024, 8), (2, 1), (1024, 1, 150), (2, 2, 500)):
         got = {r.doc_id: r.component_id for r in similar.near_duplicates(df, *size).collect()}
         assert [got[i] for i in range(len(texts))] == root
     kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, df.union(df.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))), None)
