@@ -4,7 +4,7 @@ Documents may belong to several sources. Their sizes are added up by membership
 sources), and a flow routes the patterns' tokens to the sources' quotas: pattern -> source arcs carry
 a pattern's tokens, each pass over the same tokens costs more than the one before (convex cost), and
 a source takes its quota at most. The network has a node for each pattern and source, not for
-documents; it is solved by successive shortest paths. Then every pattern's flow to a source is turned
+documents; it is solved by cheapest augmenting paths, a maximum flow for each pass. Then every pattern's flow to a source is turned
 into documents: full passes for all, and for the rest documents in the seeded order of md5(seed, id)
 until the running sum passes the remainder's middle. Running sums are taken in two steps (hash range,
 then rows of the one range in which the remainder ends), so no source is ordered in one task.
@@ -21,7 +21,6 @@ patterns raise an error; the stage (repeated) keeps all columns, whatever their
 
 from __future__ import annotations
 
-import heapq
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -54,53 +53,88 @@ def targets(sizes: list[int], weights: list[int], max_passes: int = MAX_PASSES)
 
 
 def flow(capacity: dict[tuple, int], quota: dict, max_passes: int = MAX_PASSES) -> dict[tuple, dict]:
-    """Integer tokens from each pattern (tuple of sources) to each of its sources.
+    """Integer tokens from each pattern (tuple of sources) to each of its sources: of the largest flows one with the least cost.
 
-    Pattern p has capacity[p] tokens for each pass; pass k costs k. Successive shortest paths with
-    Dijkstra over potentials; the network has one node for each pattern and source.
+    Pattern p has capacity[p] tokens for each pass, pass k costs k, and a source takes its quota at most. Costs lie
+    on a pattern's passes only and an augmenting path never leaves a pattern's supply again, so its cost is that of
+    the pass it starts with. Cheapest paths first is therefore one maximum flow a pass, each built upon the one
+    before; a flow is raised in rounds over shortest paths, of which there are at most as many as sources.
     """
     patterns, sources = list(capacity), list(quota)
-    n = len(patterns) + len(sources) + 2
-    start, end = n - 2, n - 1
-    at = {s: len(patterns) + i for i, s in enumerate(sources)}
-    graph: list[list[list]] = [[] for _ in range(n)]  # to, capacity, cost, index of the reverse arc
-
-    def arc(a, b, cap, cost):
-        graph[a].append([b, cap, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    for i, p in enumerate(patterns):
-        for k in range(max_passes):
-            arc(start, i, capacity[p], k)
-        for s in p:
-            arc(i, at[s], capacity[p] * max_passes, 0)
-    for s in sources:
-        arc(at[s], end, int(quota[s]), 0)
-    potential = [0] * n
-    while True:
-        best, via = [math.inf] * n, [None] * n
-        best[start], heap = 0, [(0, start)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > best[u]:
-                continue
-            for k, (v, cap, cost, _) in enumerate(graph[u]):
-                if cap and d + cost + potential[u] - potential[v] < best[v]:
-                    best[v], via[v] = d + cost + potential[u] - potential[v], (u, k)
-                    heapq.heappush(heap, (best[v], v))
-        if best[end] == math.inf:
-            break
-        potential = [p + b if b < math.inf else p for p, b in zip(potential, best)]
-        path, v = [], end
-        while v != start:
-            path.append(via[v])
-            v = via[v][0]
-        sent = min(graph[u][k][1] for u, k in path)
-        for u, k in path:
-            a = graph[u][k]
-            a[1] -= sent
-            graph[a[0]][a[3]][1] += sent
-    return {p: {s: graph[a[0]][a[3]][1] for a in graph[i] for s in p if a[0] == at[s] and graph[a[0]][a[3]][1]} for i, p in enumerate(patterns)}
+    number = {s: j for j, s in enumerate(sources)}
+    of = [[number[s] for s in p] for p in patterns]
+    sent = [dict.fromkeys(own, 0) for own in of]
+    holders: list[list[int]] = [[] for _ in sources]
+    for i, own in enumerate(of):
+        for j in own:
+            holders[j].append(i)
+    room, supply = [int(quota[s]) for s in sources], [0] * len(patterns)
+    for _ in range(max_passes):
+        for i, p in enumerate(patterns):
+            supply[i] += capacity[p]
+        while _raise(of, holders, sent, supply, room):
+            pass
+    return {p: {sources[j]: n for j, n in by.items() if n} for p, by in zip(patterns, sent)}
+
+
+def _raise(of: list[list[int]], holders: list[list[int]], sent: list[dict], supply: list[int], room: list[int]) -> bool:
+    """One round: tokens move along shortest paths from patterns with supply to sources with room; False if there is no path.
+
+    A path alternates patterns and sources; from a full source it goes on by a pattern that gives to it and can give elsewhere.
+    """
+    pattern_level: list = [None] * len(of)
+    source_level = [0 if r > 0 else None for r in room]
+    frontier, level = [j for j, r in enumerate(room) if r > 0], 0
+    while frontier:
+        reached = []
+        for j in frontier:
+            for i in holders[j]:
+                if pattern_level[i] is None:
+                    pattern_level[i] = level + 1
+                    reached.append(i)
+        frontier, level = [], level + 2
+        for i in reached:
+            for j in of[i]:
+                if source_level[j] is None and sent[i][j] > 0:
+                    source_level[j] = level
+                    frontier.append(j)
+    from_pattern, from_source, moved = [0] * len(of), [0] * len(room), False
+    for start in range(len(of)):
+        if pattern_level[start] is None:
+            continue
+        path = [start]
+        while path and supply[start] > 0:
+            at = path[-1]
+            if len(path) % 2:  # at a pattern
+                k = from_pattern[at]
+                if k == len(of[at]):
+                    path.pop()
+                    if path:
+                        from_source[path[-1]] += 1
+                elif source_level[of[at][k]] == pattern_level[at] - 1:
+                    path.append(of[at][k])
+                else:
+                    from_pattern[at] += 1
+            elif source_level[at] == 0 and room[at] > 0:
+                n = min(supply[start], room[at], *(sent[path[x]][path[x - 1]] for x in range(2, len(path), 2)))
+                for x in range(0, len(path), 2):
+                    sent[path[x]][path[x + 1]] += n
+                    if x:
+                        sent[path[x]][path[x - 1]] -= n
+                supply[start] -= n
+                room[at] -= n
+                moved = True
+                path = path[:1]
+            else:
+                k = from_source[at]
+                if source_level[at] == 0 or k == len(holders[at]):
+                    path.pop()
+                    from_pattern[path[-1]] += 1
+                elif pattern_level[holders[at][k]] == source_level[at] - 1 and sent[holders[at][k]].get(at, 0) > 0:
+                    path.append(holders[at][k])
+                else:
+                    from_source[at] += 1
+    return moved
 
 
 def _keyed(docs: DataFrame, id_col: str, sources: str, seed: str) -> DataFrame:
@@ -128,7 +162,11 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", sources: str = "sources",
     for r in sums:
         capacity[pattern[r["__pattern"]]] = capacity.get(pattern[r["__pattern"]], 0) + (r["tokens"] or 0)
     names = sorted({s for p in capacity for s in p}, key=key)
-    source_size = [sum(c for p, c in capacity.items() if s in p) for s in names]
+    sizes = dict.fromkeys(names, 0)
+    for p, c in capacity.items():
+        for s in p:
+            sizes[s] += c
+    source_size = [sizes[s] for s in names]
     target = targets(source_size, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))], max_passes)
     routed = flow(capacity, {s: round(t) for s, t in zip(names, target)}, max_passes)
 
@@ -145,7 +183,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", sources: str = "sources",
     inside = inside.where(F.col(size) > 0).withColumn("__b", F.col("__before") + F.coalesce(running, F.lit(0))).where(2 * F.col("__b") + F.col(size) <= 2 * F.col("__rest"))
     last = inside.groupBy("__pattern").agg(F.max(F.struct("__order", F.col(id_col).alias("id"), F.col(size).alias("size"))).alias("__last"))
     plan = full.join(split.select("__pattern", F.col("__range").alias("__split")), "__pattern", "left").join(last, "__pattern", "left").drop("__rest")
-    return written(plan, "mix-plan"), {"names": names, "sizes": dict(zip(names, source_size)), "targets": dict(zip(names, target)), "flow": routed}
+    return written(plan, "mix-plan"), {"names": names, "sizes": sizes, "targets": dict(zip(names, target)), "flow": routed}
 
 
 def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", sources: str = "sources", size: str = "size", max_passes: int = MAX_PASSES, seed: str = SEED) -> DataFrame:
