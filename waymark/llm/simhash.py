@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import forgotten, table, written
-from waymark.llm.row_filter import FILTER_BITS, RowFilter
+from waymark.llm.row_filter import RowFilter
 
 SHINGLE = 3
 SEED = 42
@@ -166,7 +166,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     return first_of_each(docs, near_duplicates(docs, shingle, radius))
 
 
-def first_of_each(docs: DataFrame, found: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame, filter_bits: int | None = None) -> DataFrame:
     """The first row of docs of each component, with docs' columns: that with the least id, then the least hash of its text.
 
     found: doc_id, hash (xxhash64 of the text) and component of each row. Rows with a null id stay. Rows
