@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark.fixtures import ctes, derived
 from waymark.functions import scalars as s
 from waymark.functions.profile import COMMERCIAL_HINTS, LONG_PROVINCES, POSTAL, PROVINCES, SIMPLE, TARGET_WORDS, UNIT_HINTS, get_profile
+from waymark.functions import sql as sql_functions
 from waymark.operators import assets, candidates, evaluate, labels, upsert
 from waymark.operators.decision import REASONS, validate
 from waymark.operators.models import Model
@@ -226,6 +227,12 @@ def _ranking(spark, d):
     return candidates.candidate_rows(candidates.parsed(_raw(spark, d))).select("raw_id", "rank", "parser_name", "score")
 
 
+@_query("sql_candidates", SQL["candidate_ranking"])
+def _sql_candidates(spark, d):
+    sql_functions.register(spark)
+    return spark.sql("SELECT r.raw_id, c.rank, c.parser_name, c.score FROM {raw} r, LATERAL candidates(r.raw_address_text, r.city, r.province, r.postal_code) c", raw=_raw(spark, d))
+
+
 @_query("reference_match", f"WITH {ctes('raw', 'reference')}, {_PARSED}, {_MATCH} SELECT raw_id, reference_id, reference_score, reference_candidates, coalesce(array_to_string(units, ','), '') AS units FROM mt")
 def _reference(spark, d):
     return _validated(spark, d).where("reference_id IS NOT NULL").select("raw_id", "reference_id", "reference_score", "reference_candidates", F.array_join("reference_units", ",").alias("units"))
