@@ -387,6 +387,32 @@ def test_image_pairs_of_crowded_values(spark):
         assert sorted(tuple(r) for r in image_copies.candidate_pairs(corners, max_bucket=size).collect()) == want
 
 
+def test_images_whose_matches_share_no_band_value(spark):
+    """Five matches of 24 bits with bits changed in each 64-bit word: linked, however images are dealt out; 25 bits are too many."""
+    rng = np.random.default_rng(11)
+    d = rng.integers(0, 2, (5, 256), dtype=np.uint8)
+    places = [(20.0 * k, 11.0 * k * k, 1.0, 0.1) for k in range(5)]
+    rows = []
+    for image_id, changed in ((1, 0), (2, 24), (3, -25)):
+        for at, bits in zip(places, d):
+            bits = bits.copy()
+            bits[np.linspace(0, 255, abs(changed)).astype(int)] ^= 1
+            rows.append((image_id, *at, np.packbits(bits).view(np.int64).tolist()))
+    corners = spark.createDataFrame(rows, "image_id long, x double, y double, scale double, angle double, d array<long>")
+    for size in (1, 2, 8192):
+        assert {(r.a, r.b): r.inliers for r in image_copies.links(corners, size).collect()} == {(1, 2): 5}
+
+
+def test_near_descriptors_against_all_pairs():
+    rng = np.random.default_rng(12)
+    seeds = rng.integers(0, 2, (6, 256), dtype=np.uint8)
+    d = np.packbits(np.repeat(seeds, 50, axis=0) ^ (rng.random((300, 256)) < 0.05), axis=1).view(np.uint64)
+    d[250:] = d[:50]  # equal ones count each
+    want = {tuple(p) for p in np.argwhere(np.bitwise_count(d[:, None] ^ d[None, 100:]).sum(axis=2) <= image_copies.MAX_DISTANCE).tolist()}
+    found = list(zip(*[x.tolist() for x in image_copies.matches(d, d[100:])]))
+    assert len(found) == len(want) > 300 and set(found) == want
+
+
 def test_stage_removes_copies_of_similarity_over_08(spark):
     import corpus_pipeline
     from waymark.llm import similar
