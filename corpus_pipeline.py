@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Language ID learns
 from the labelled rows of its own input and rejects texts without a letter or with less than
 MIN_SCORE of their n-grams known in the best language. Near duplicates are texts whose five-word
-shingles are similar by 0.8 or more (stage simhash_dedup, named so before). Mixing repeats rows as often as the mix takes
+shingles are similar by 0.8 or more, found by SimHash fingerprints and a pivot distance table (similar.py). Mixing repeats rows as often as the mix takes
 them. The last stage returns the digest columns of the encoder. Stages that hand texts to Python bound the
 session's Arrow batches by bytes (common.bounded_batches).
 

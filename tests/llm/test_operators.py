@@ -413,6 +413,30 @@ def test_near_descriptors_against_all_pairs():
     assert len(found) == len(want) > 300 and set(found) == want
 
 
+def test_stage_has_fingerprints_and_a_pivot_table(spark):
+    """The operator's fingerprint first; neither distances nor pivots discard a similar pair, and they do discard others."""
+    from waymark.llm import similar
+
+    rng = np.random.default_rng(17)
+    text = " ".join(f"w{i}" for i in rng.permutation(900))
+    assert int(np.frombuffer(similar.fingerprint_of(similar.shingles(text)), np.int64)[0]) == simhash.fingerprint(text, 5)
+    sets = []
+    for n in (9, 40, 700):  # every second and third set resemble the first by 0.8 and more
+        common, others = rng.integers(1, 2**63, n, dtype=np.uint64), rng.integers(1, 2**63, n // 8, dtype=np.uint64)
+        sets += [np.unique(common), np.unique(np.concatenate([common, others])), np.unique(common[: n - n // 9])]
+    fp = np.frombuffer(b"".join(map(similar.fingerprint_of, sets)), np.uint64).reshape(-1, similar.WIDTH)
+    mark = np.concatenate([fp.view(np.uint8).reshape(len(fp), -1), similar.to_pivots(fp, fp[[0, 3]])], axis=1)
+    sizes = np.array([len(x) for x in sets])
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= similar.SIMILAR * len(np.union1d(x, y))
+    for x in range(len(sets)):
+        assert similar.may_be_similar(mark, sizes, mark[x], sizes[x]).tolist() == [alike(sets[x], y) for y in sets]
+    kinds = spark.createDataFrame([(k, int(n), bytearray(f.tobytes())) for k, (n, f) in enumerate(zip(sizes, fp))], "key long, size long, fp binary")
+    shared = spark.createDataFrame([(0, 1, k, 3) for k in (0, 1, 2)] + [(1, 5, k, 2) for k in (3, 4)], "band int, value long, key long, n long")
+    table = {r.key: np.frombuffer(r.mark, np.uint8) for r in similar.pivot_table(shared, kinds).collect()}
+    assert {0, 1, 2, 3, 4} <= set(table) and all(len(m) == 8 * similar.WIDTH + 2 and m[: 8 * similar.WIDTH].tobytes() == fp[k].tobytes() for k, m in table.items())
+    assert all(sorted(table[k][-2:]) == sorted(similar.to_pivots(fp[k : k + 1], fp[[0, 3]])[0]) for k in table)
+
+
 def test_stage_removes_copies_of_similarity_over_08(spark):
     import corpus_pipeline
     from waymark.llm import similar
