@@ -413,6 +413,36 @@ def test_near_descriptors_against_all_pairs():
     assert len(found) == len(want) > 300 and set(found) == want
 
 
+def test_image_links_with_few_matches_at_once(monkeypatch):
+    """Bits that go together lie in different bands; slices with too many matches are halved; pairs with equally many matches have the consensus each has alone."""
+    rng = np.random.default_rng(3)
+    bits = np.repeat(rng.integers(0, 2, (600, 64), dtype=np.uint8), 4, axis=1)  # four copies of each bit, side by side
+    d = np.packbits(bits, axis=1).view(np.uint64)
+    order = image_copies._spread(d)
+    assert sorted(order.tolist()) == list(range(256))
+    plain, spread = (image_copies.band_values(np.ascontiguousarray(np.packbits(b, axis=1)).view(np.uint64)) for b in (bits, bits[:, order]))
+    most = [max(np.bincount(v).max() for v in x) for x in (plain, spread)]
+    assert most[1] < 0.1 * most[0]
+
+    copies = np.concatenate([d[:20]] * 12)  # twelve images with the same twenty corners, moved
+    at = np.concatenate([np.stack([rng.permutation(200)[:20] + 3.0 * k, np.arange(20) * 9.0, np.ones(20), np.zeros(20)], axis=1) for k in range(12)])
+    at[20:120, 0] = np.tile(at[:20, 0], 5) + np.repeat(np.arange(5), 20)
+    image, block = np.repeat(np.arange(12, dtype=np.int32), 20), np.repeat(np.arange(12) % 2, 20)
+    want = {(0, 0): [], (0, 1): [], (1, 1): []}
+    for a in range(12):
+        for b in range(12):
+            m = np.concatenate([at[image == a], at[image == b]], axis=1)
+            agreed = image_copies.agreeing(m)
+            assert image_copies.agreeing_each(np.stack([m, m[::-1]])).tolist() == [agreed, agreed]
+            blocks = (a % 2, b % 2)
+            if agreed >= image_copies.MIN_INLIERS and blocks in want and (a < b or blocks == (0, 1)):
+                want[blocks].append((a, b, agreed))
+    assert len(want[0, 1]) >= 9 and image_copies.matches(copies, copies, 100) is None
+    for most in (1 << 22, 100, 10):
+        monkeypatch.setattr(image_copies, "MOST", most)
+        assert {k: sorted(image_copies.linked(at, copies, image, block, *k)) for k in want} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_stage_has_fingerprints_and_a_pivot_table(spark):
     """The operator's fingerprint first; neither distances nor pivots discard a similar pair, and they do discard others."""
     from waymark.llm import similar
