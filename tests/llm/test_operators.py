@@ -413,6 +413,29 @@ def test_near_descriptors_against_all_pairs():
     assert len(found) == len(want) > 300 and set(found) == want
 
 
+def test_token_ids_in_small_blocks(monkeypatch):
+    """Whatever words are remembered and ids are rolled at once, ids and marks are those of whole texts."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path(token_store.TOKENIZER)
+    texts = pa.array([None, *ODD, *[f"w{i} ab{i % 7}c Über{chr(97 + i % 26)} x, y. {'z' * (i % 9)}" for i in range(200)]]).slice(1)
+    whole = token_store.TextEncoder(path).tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+    want = [e.ids for e in whole]
+    for most in (0, 6, 1000):
+        monkeypatch.setattr(token_store, "REMEMBERED", most)
+        encoder = token_store.TextEncoder(path)
+        for part in (texts, texts.slice(50, 100), texts.slice(0, 120), texts.slice(3, 0)):
+            ids, edges = encoder(part)
+            first = part.offset - texts.offset
+            assert [ids[x:y].tolist() for x, y in zip(edges, edges[1:])] == want[first : first + len(part)]
+    ids = np.random.default_rng(4).integers(0, 50_000, 3000).astype(np.uint16)
+    at_once = token_store.marks(ids, 4).tolist()
+    assert len(at_once) > 100
+    for rolled in (1, 5, 8, 1000, 2999):
+        monkeypatch.setattr(token_store, "ROLLED", rolled)
+        assert token_store.marks(ids, 4).tolist() == at_once and not len(token_store.marks(ids[:0]))
+
+
 def test_image_links_with_few_matches_at_once(monkeypatch):
     """Bits that go together lie in different bands; slices with too many matches are halved; pairs with equally many matches have the consensus each has alone."""
     rng = np.random.default_rng(3)

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +41,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import shared_path, small, table, written
-from waymark.llm.pieces import careful, chunks_of
+from waymark.llm.pieces import careful
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 WINDOW = 8
 MASK_BITS = 10  # 1024 ids for a chunk on average
 MIN_CHUNK, MAX_CHUNK = 256, 8192
+#: Ids whose rolling hashes are made at once, so that they stay in the processor's cache.
+ROLLED = 1 << 14
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(b"gear %d" % i, digest_size=8).digest(), "little") for i in range(256)], np.uint64)
 
 
 #: Documents for each part of the recipes, and nodes for each node of the manifest.
 PART_DOCS, FAN = 100_000, 1024
-#: Words and other pieces that a worker remembers at most, in two generations (see _remembered).
+#: Words that a worker remembers at most, in two generations (see _words).
 REMEMBERED = 400_000
 #: Characters of text that are encoded together.
-SLICE = 3_000_000
+SLICE = 5_000_000
 _WHITE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 _ODD = f"^ | $|{_WHITE} | {_WHITE}"
 #: Letters, then signs that no pre-token joins to letters before or after them (the apostrophe is none of them).
@@ -85,48 +88,50 @@ class TextEncoder:
         self.old: dict[str, bytes] = {}
         self.id_bytes = [i.to_bytes(self.width, "little") for i in range(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts one after another, and how many each has."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(encoded), self.kind), list(map(len, encoded))
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """A blank and letters are one pre-token, which goes to the library's model at once."""
-        tokenize, blank, letters, of = self.tokenizer.model.tokenize, self.letters[32], self.letters, self.id_bytes
-        return [b"".join([of[t.id] for t in tokenize(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]) for w in words]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """_whole() of words after a blank: a blank and letters are one pre-token, which goes to the library's model at once.
 
-    def _remembered(self, pieces: list[str], make) -> list[bytes]:
-        """A piece met again moves to the young generation; when that is full the old one is forgotten."""
+        A word met again moves to the young generation; when that is full the old one is forgotten.
+        """
+        tokenize, blank, letters, of = self.tokenizer.model.tokenize, self.letters[32], self.letters, self.id_bytes
         if 2 * len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        found = list(map(self.young.get, pieces))
-        if None in found:
-            missing = [p for p, v in zip(pieces, found) if v is None]
-            older = list(map(self.old.get, missing))
-            self.young.update((p, v) for p, v in zip(missing, older) if v is not None)
-            new = [p for p, v in zip(missing, older) if v is None]
-            self.young.update(zip(new, make(new)))
-            found = list(map(self.young.__getitem__, pieces))
-        return found
-
-    def _units(self, pieces: pa.Array) -> tuple[list[bytes], np.ndarray]:
-        """Ids of words, signs and other pieces, and which two of them each piece is after a blank; the last one is empty."""
+        found = list(map(self.young.get, words))
+        at = [k for k, v in enumerate(found) if v is None]
+        missing = [words[k] for k in at]
+        values = list(map(self.old.get, missing))
+        for k, v in enumerate(values):
+            if v is None:
+                w = missing[k]
+                values[k] = b"".join([of[t.id] for t in tokenize(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))])
+        self.young.update(zip(missing, values))
+        for k, v in zip(at, values):
+            found[k] = v
+        return np.frombuffer(b"".join(found), self.kind), [n // self.width for n in map(len, found)]
+
+    def _units(self, pieces: pa.Array) -> tuple[list[tuple[np.ndarray, list[int]]], np.ndarray]:
+        """Ids of words, signs and other pieces and of an empty one, and which two of them each piece is after a blank."""
         parts = pc.extract_regex(pieces, _WORD)
         simple = parts.is_valid().to_numpy(zero_copy_only=False)
         words, signs = (parts.drop_null().field(k).dictionary_encode() for k in range(2))
         others = [" " + p for p in pieces.filter(pa.array(~simple)).to_pylist()]
-        values = self._remembered(words.dictionary.to_pylist(), self._words)
-        n = len(values)
-        values += self._whole(signs.dictionary.to_pylist())
-        of = np.full((len(pieces), 2), len(values) + len(others), np.int32)
+        n, m = len(words.dictionary), len(signs.dictionary)
+        of = np.full((len(pieces), 2), n + m + len(others), np.int32)
         of[simple, 0], of[simple, 1] = words.indices.to_numpy(), n + signs.indices.to_numpy()
-        of[~simple, 0] = len(values) + np.arange(len(others))
-        return [*values, *self._remembered(others, self._whole), b""], of
+        of[~simple, 0] = n + m + np.arange(len(others))
+        return [self._words(words.dictionary.to_pylist()), self._whole(signs.dictionary.to_pylist()), self._whole(others), (np.zeros(0, self.kind), [0])], of
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (None: none) one after another, and where each text's begin and end."""
-        texts = pa.array([t or "" for t in texts], pa.string())
+        texts = (texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         if not self.bytewise:
-            values = self._whole(texts.to_pylist())
-            return np.frombuffer(b"".join(values), self.kind), np.cumsum([0, *map(len, values)]) // self.width
+            ids, n = self._whole(texts.to_pylist())
+            return ids, np.cumsum([0, *n])
         odd = pc.match_substring_regex(texts, _ODD)
         lists = pc.split_pattern(texts, " ")
         if pc.any(odd).as_py():
@@ -134,17 +139,17 @@ class TextEncoder:
         flat, offsets = lists.flatten(), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
         distinct = flat.dictionary_encode()
         firsts = flat.take(pa.array(offsets[:-1])).dictionary_encode()  # these have no blank before them
-        values, of = self._units(distinct.dictionary)
-        units = of[distinct.indices.to_numpy()]
-        units[offsets[:-1]] = np.stack([len(values) + firsts.indices.to_numpy(), np.full(len(texts), len(values) - 1)], axis=1)
-        values += self._whole(firsts.dictionary.to_pylist())
-        known, units = np.frombuffer(b"".join(values), self.kind), units.ravel()
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.width
-        begins = np.cumsum(lengths) - lengths
+        made, of = self._units(distinct.dictionary)
+        units, n_units = of[distinct.indices.to_numpy()], sum(len(n) for _, n in made)
+        units[offsets[:-1]] = np.stack([n_units + firsts.indices.to_numpy(), np.full(len(texts), n_units - 1)], axis=1)
+        made.append(self._whole(firsts.dictionary.to_pylist()))
+        known, units = np.concatenate([ids for ids, _ in made]), units.ravel()
+        lengths = np.concatenate([np.array(n, np.int32) for _, n in made])
+        begins = np.cumsum(lengths, dtype=np.int64) - lengths
         n = lengths[units]
-        ends = np.cumsum(n)
-        ids = known[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[units] - (ends - n), n)]
-        return ids, np.concatenate([[0], ends])[2 * offsets]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.repeat((begins[units] - (ends - n)).astype(np.int32), n)  # an Arrow array has less than 2^31 bytes
+        return known[at + np.arange(len(at), dtype=np.int32)], np.concatenate([[0], ends])[2 * offsets]
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -159,11 +164,16 @@ def text_encoder(path: str) -> TextEncoder:
 
 def marks(ids: np.ndarray, mask_bits: int = MASK_BITS) -> np.ndarray:
     """Places after which the rolling hash of the last WINDOW ids allows a cut."""
-    gear = _GEAR[(ids & 0xFF).astype(np.int64)] ^ (_GEAR[(ids >> 8).astype(np.int64) & 0xFF] << np.uint64(1))
-    rolled = gear.copy()
-    for k in range(1, WINDOW):
-        rolled[k:] += gear[:-k] << np.uint64(5 * k)
-    return np.nonzero((rolled >> np.uint64(64 - mask_bits)) == 0)[0] + 1
+    gear = _GEAR[ids & 0xFF] ^ (_GEAR[(ids >> 8) & 0xFF] << np.uint64(1))
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(gear), ROLLED):
+        before = max(0, at - WINDOW + 1)
+        own = gear[before : at + ROLLED]
+        rolled = own.copy()
+        for k in range(1, WINDOW):
+            rolled[k:] += own[:-k] << np.uint64(5 * k)
+        out.append(np.flatnonzero((rolled[at - before :] >> np.uint64(64 - mask_bits)) == 0) + (at + 1))
+    return np.concatenate(out)
 
 
 def cuts(n: int, marked: list[int], min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> list[int]:
@@ -204,8 +214,10 @@ def _encode(batches, tokenizer: str, end_id: int):
     end = np.array([end_id], encoder.kind).tobytes()
     sent: set[bytes] = set()  # grows with the task's part of the input only
     for b in batches:
-        ids_of, texts, at = b.column("doc_id"), b.column("text").to_pylist(), 0
-        for part in chunks_of(texts, SLICE):
+        ids_of, texts, at = b.column("doc_id"), b.column("text"), 0
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy())
+        while at < b.num_rows:  # one text at least
+            part = texts.slice(at, max(1, int(np.searchsorted(sizes, SLICE + (sizes[at - 1] if at else 0), "right")) - at))
             ids, edges = encoder(part)
             marked, data, width = marks(ids), ids.tobytes(), encoder.width
             within = np.searchsorted(marked, edges, "right").tolist()
