@@ -436,6 +436,35 @@ def test_token_ids_in_small_blocks(monkeypatch):
         assert token_store.marks(ids, 4).tolist() == at_once and not len(token_store.marks(ids[:0]))
 
 
+def test_links_of_many_near_copies_are_counted(spark):
+    """A row for each image and two blocks in place of one for each link; numbers and classes are those of the links."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for image_id in range(70):  # forty near copies, a chain of twenty (each linked to the next), ten alone
+        seed = 0 if image_id < 40 else image_id
+        d = np.random.default_rng(seed).integers(0, 2, (12, 256), dtype=np.uint8)
+        if 40 < image_id < 60:
+            d[:6] = np.random.default_rng(image_id - 1).integers(0, 2, (12, 256), dtype=np.uint8)[6:]
+        for k in range(12):
+            d[k, rng.integers(0, 256, 3)] ^= 1
+            rows.append((1000 - image_id, 17.0 * (k % 6), 23.0 * (k % 6) + 5 * (k % 6) ** 2, 1.0, 0.2, np.packbits(d[k]).view(np.int64).tolist()))
+    corners = spark.createDataFrame(rows, "image_id long, x double, y double, scale double, angle double, d array<long>")
+    pairs = [(r.a, r.b) for r in image_copies.links(corners).collect()]
+    assert len(pairs) == 40 * 39 // 2 + 19
+    n = {i: sum(i in p for p in pairs) for p in pairs for i in p}
+    root = {i: i for i in n}
+    for _ in range(70):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    for size, most in ((8192, 60), (20, 60 * 7)):
+        got = image_copies.link_counts(corners, size)
+        rows = got.collect()
+        assert len(rows) <= most and {i: sum(r.n for r in rows if r.image_id == i) for i in n} == n
+        found = {r.node: r.root for r in image_copies.components(got.selectExpr("least AS a", "image_id AS b")).collect()}
+        assert found == root
+    assert image_copies.link_counts(corners.where("image_id < 935")).count() == 0
+
+
 def test_image_links_with_few_matches_at_once(monkeypatch):
     """Bits that go together lie in different bands; slices with too many matches are halved; pairs with equally many matches have the consensus each has alone."""
     rng = np.random.default_rng(3)
