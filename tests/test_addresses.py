@@ -8,6 +8,7 @@ from waymark.functions import scalars as s
 from waymark.functions.profile import get_profile
 from waymark.operators import candidates, labels, upsert
 from waymark.operators.decision import DecisionPolicy, validate
+from waymark.operators.reference import gathered, match_reference
 from waymark.sources import ingest, tables
 from waymark.streaming.cleaning import clean_stream
 
@@ -80,6 +81,18 @@ def test_reference_decides_and_ties_take_the_least_id(spark):
     assert rows[2]["reference_id"] is None and rows[2]["decision"] == "accept"  # D23: references of another workspace don't count
 
 
+def test_references_of_one_place_are_ranked_once(spark):
+    point = lambda i: (44.6, -63.6, 0.95) if i % 2 else (None, None, 0.82)
+    refs = spark.createDataFrame([("w", i, f"r{i}", "12", "Oak Ave", "NS", ("Halifax", "Bedford")[i // 2 % 2], str(i % 7) if i % 3 else None, *point(i), i > 2) for i in range(400, 0, -1)], REFERENCE)
+    address = gathered(refs).first()
+    assert (len(address["__refs"]), address["__k"], address["__u"]) == (4, 398, [str(i) for i in range(7)])
+    seen = [(44.6, "Halifax"), (44.6, "Bedford"), (None, "Halifax"), (45.0, "Bedford"), (44.6, None), (44.6, "Truro")]
+    rows = spark.createDataFrame([("w", n, "12", "OAK AVE", "NS", city, lat, -63.6) for n, (lat, city) in enumerate(seen)], "workspace_name string, raw_id int, street_number string, street_name string, province string, city string, latitude double, longitude double")
+    got = {r.raw_id: (r.reference_id, r.reference_external_id, r.reference_score, r.reference_candidates) for r in match_reference(rows, refs).collect()}
+    found = {n: (i, f"r{i}", score, 398) for n, i, score in ((0, 5, 0.9875), (1, 3, 0.9875), (2, 5, 0.8525), (4, 3, 0.9875))}
+    assert got == found | {n: (None,) * 4 for n in (3, 5)}
+
+
 def test_merge_rules_and_idempotence(spark):
     old = spark.createDataFrame([("a", 1, None, ["x"]), (None, 2, "k", ["y"])], "k string, v int, c string, s array<string>")
     new = spark.createDataFrame([("a", 5, "n", ["x", "z"]), (None, 6, None, ["y"]), ("b", 7, None, None)], old.schema)

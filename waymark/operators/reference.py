@@ -46,24 +46,33 @@ def near_score(lat, lon, ref_lat, ref_lon, meters: Column) -> Column:
     return near.otherwise(FAR)
 
 
+def gathered(references: DataFrame, localities: tuple[str, ...] = ("city",)) -> DataFrame:
+    """A row for each address of the active references (__w, __n, __s, __p): __refs (an entry for each place, with the reference that wins there), __k (how many references), __u (their units in order)."""
+    key = ["__w", "__n", "__s", "__p"]
+    locality = F.coalesce(*[s.filled(F.trim(c)) for c in localities if c in references.columns])
+    r = references.where("is_active").select(
+        F.col("workspace_name").alias("__w"), F.upper("street_number").alias("__n"), F.upper("street_name").alias("__s"), F.upper("province").alias("__p"), "reference_id", F.col("external_id").alias("ext"),
+        s.city_name(locality).alias("city"), F.col("reference_lat").alias("lat"), F.col("reference_lon").alias("lon"), F.coalesce("quality_score", F.lit(0.0)).alias("quality"), s.filled(F.upper(F.trim("unit_number"))).alias("unit"),
+    ).na.drop(subset=key)
+    place = ["city", "lat", "lon", "quality"]
+    r = r.groupBy(*key, *place).agg(F.max(F.struct((-F.col("reference_id")).alias("order"), F.col("reference_id").alias("id"), "ext")).alias("first"), F.count(F.lit(1)).alias("n"), F.collect_set("unit").alias("units"))
+    refs = F.collect_list(F.struct(*place, city_words(F.col("city")).alias("words"), "first"))
+    return r.groupBy(*key).agg(refs.alias("__refs"), F.sum("n").alias("__k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("units")))).alias("__u"))
+
+
 def match_reference(df: DataFrame, references: DataFrame, localities: tuple[str, ...] = ("city",), observed: tuple[str, ...] = ("city",)) -> DataFrame:
     """df (workspace_name, street_number, street_name, province, city, latitude, longitude) with the best reference.
 
     Adds reference_id, reference_external_id, reference_score, reference_candidates, reference_units. The
     references of an address (workspace, number, street and province: its units and entrances) are gathered
     first, with their cities prepared; one left join brings them to the rows, which are read once and keep
-    their number, and each row ranks its candidates by itself. Of equal scores the least reference_id wins,
-    and score 0 never does. localities: the reference columns of which the first filled one is its locality. observed:
-    the columns of df that name a locality; one that fits is enough, and without any all fit.
+    their number, and each row ranks its candidates by itself. References of an address in one city, at one point
+    and of one quality score alike, so the one that wins among them stands for all: a row ranks an address's
+    places, however many references they have. Of equal scores the least reference_id wins, and score 0 never
+    does. localities: the reference columns of which the first filled one is its locality. observed: the columns
+    of df that name a locality; one that fits is enough, and without any all fit.
     """
-    key = ["__w", "__n", "__s", "__p"]
-    locality = F.coalesce(*[s.filled(F.trim(c)) for c in localities if c in references.columns])
-    r = references.where("is_active").select(
-        F.col("workspace_name").alias("__w"), F.upper("street_number").alias("__n"), F.upper("street_name").alias("__s"), F.upper("province").alias("__p"), "reference_id", F.col("external_id").alias("ext"),
-        s.city_name(locality).alias("city"), F.col("reference_lat").alias("lat"), F.col("reference_lon").alias("lon"), F.coalesce("quality_score", F.lit(0.0)).alias("quality"), s.filled(F.upper(F.trim("unit_number"))).alias("unit"),
-    ).na.drop(subset=key)
-    r = once(r, {"city": F.col("city")}).withColumn("words", city_words(F.col("city")))
-    points = r.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in r.columns if c not in key])).alias("__refs"))
+    points = gathered(references, localities)
     names = F.array_distinct(F.array_compact(F.array(*[s.city_name(c) for c in observed if c in df.columns])))
     if observed == ("city",):
         rows = once(df, {"__ca": s.city_name("city")}).withColumn("__wa", city_words(F.col("__ca")))
@@ -80,12 +89,12 @@ def match_reference(df: DataFrame, references: DataFrame, localities: tuple[str,
     def scored(x: Column) -> Column:
         value = F.lit(LOCALITY) * F.when(fits(x), 1.0).otherwise(0.0)
         value = value + F.lit(GPS) * near_score("latitude", "longitude", x["lat"], x["lon"], x["meters"]) + F.lit(QUALITY) * x["quality"]
-        return F.struct(F.round(value, 4).alias("score"), (-x["reference_id"]).alias("order"), x["reference_id"].alias("id"), x["ext"].alias("ext"))
+        return F.struct(F.round(value, 4).alias("score"), x["first"].alias("first"))
 
-    measured = F.transform("__refs", lambda x: F.struct(*[x[c].alias(c) for c in ("reference_id", "ext", "city", "words", "lat", "lon", "quality")], s.haversine_meters("latitude", "longitude", x["lat"], x["lon"]).alias("meters")))
-    out = once(rows.join(points, on, "left"), {"__m": F.array_max(F.transform(measured, scored)), "__k": F.size("__refs"), "__u": F.sort_array(F.array_distinct(F.array_compact(F.transform("__refs", lambda x: x["unit"]))))})
+    measured = F.transform("__refs", lambda x: F.struct(*[x[c].alias(c) for c in ("first", "city", "words", "lat", "lon", "quality")], s.haversine_meters("latitude", "longitude", x["lat"], x["lon"]).alias("meters")))
+    out = once(rows.join(points, on, "left"), {"__m": F.array_max(F.transform(measured, scored)), "__k": F.col("__k"), "__u": F.col("__u")})
     ok = (F.col("__m.score") > 0) & (F.col("__m.score") >= F.when(F.col("__k") == 1, ACCEPT_ONE).otherwise(ACCEPT_MANY))
-    found = {"reference_id": F.col("__m.id"), "reference_external_id": F.col("__m.ext"), "reference_score": F.col("__m.score"), "reference_candidates": F.col("__k").cast("long"), "reference_units": F.col("__u")}
+    found = {"reference_id": F.col("__m.first.id"), "reference_external_id": F.col("__m.first.ext"), "reference_score": F.col("__m.score"), "reference_candidates": F.col("__k"), "reference_units": F.col("__u")}
     return out.select(*[F.col(c) for c in df.columns], *[F.when(ok, v).alias(c) for c, v in found.items()])
 
 
