@@ -465,6 +465,23 @@ def test_links_of_many_near_copies_are_counted(spark):
     assert image_copies.link_counts(corners.where("image_id < 935")).count() == 0
 
 
+def test_image_blocks_are_stored_once(spark, monkeypatch):
+    """Two blocks meet without a shuffle of their images, and over MAX_BROADCAST images none is shuffled: the same rows."""
+    images = image_copies.pictures(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60"))
+    images = images.union(images.where("image_id % 4 = 0").selectExpr("1000 + image_id", "image")).union(images.limit(3).selectExpr("CAST(NULL AS BIGINT)", "image"))
+    corners = image_copies.descriptors(images)
+    want = sorted(image_copies.links(corners).collect())
+    found = image_copies.links(corners, 10)
+    assert len(want) > 10 and sorted(found.collect()) == want and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [sorted(map(str, image_copies.image_copies(images).collect()))]
+    monkeypatch.setattr(image_copies, "MAX_BROADCAST", 0)
+    joined = []
+    passing = image_copies.passing
+    monkeypatch.setattr(image_copies, "passing", lambda *a: joined.append(passing(*a)) or joined[-1])
+    rows.append(sorted(map(str, image_copies.image_copies(images).collect())))
+    assert rows[0] == rows[1] and joined and "SortMergeJoin" not in joined[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_image_links_with_few_matches_at_once(monkeypatch):
     """Bits that go together lie in different bands; slices with too many matches are halved; pairs with equally many matches have the consensus each has alone."""
     rng = np.random.default_rng(3)
